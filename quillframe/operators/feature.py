@@ -155,6 +155,21 @@ def knots(df: DataFrame, name: str, n: int) -> list[float]:
     return list(some.agg(fn.alias("q")).first()["q"])
 
 
+def quantile_share(q: np.ndarray, normal: bool):
+    """Position of a value among the quantile knots, as a uniform or normal score."""
+    p = np.linspace(0, 1, len(q))
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series) -> pd.Series:
+        u = (np.interp(x, q, p) - np.interp(-x, -q[::-1], -p[::-1])) / 2
+        if normal:
+            inv = NormalDist().inv_cdf
+            u = np.array([inv(min(max(v, 1e-7), 1 - 1e-7)) if v == v else np.nan for v in u])
+        return pd.Series(u, index=x.index).where(x.notna())
+
+    return share
+
+
 @operator("feature.quantile_transform")
 def quantile_transform(df: DataFrame, column: str | None = None, distribution: str = "normal", n_quantiles: int = 1000) -> DataFrame:
     """Empirical quantile of a value (ties get the middle), mapped to uniform or normal."""
@@ -164,21 +179,7 @@ def quantile_transform(df: DataFrame, column: str | None = None, distribution: s
         n = min(n_quantiles, df.where(num(c).isNotNull()).limit(n_quantiles).count())
         if n < 2:
             raise ValueError(f"column {c!r} has fewer than two values")
-        q = np.array(knots(df, c, n))
-        p = np.linspace(0, 1, n)
-
-        @F.pandas_udf("double")
-        def share(x: pd.Series, q=q, p=p, normal=distribution == "normal") -> pd.Series:
-            up = np.interp(x, q, p)
-            down = -np.interp(-x, -q[::-1], -p[::-1])
-            u = (up + down) / 2
-            if normal:
-                u = np.clip(u, 1e-7, 1 - 1e-7)
-                inv = NormalDist().inv_cdf
-                u = np.array([inv(v) if v == v else np.nan for v in u])
-            return pd.Series(u, index=x.index).where(x.notna())
-
-        new[c] = share(num(c))
+        new[c] = quantile_share(np.array(knots(df, c, n)), distribution == "normal")(num(c))
     return df.withColumns(new)
 
 

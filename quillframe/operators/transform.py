@@ -472,16 +472,23 @@ def cumulative(df: DataFrame, column: str | None = None, agg: str = "sum", order
     return done.withColumn(out, F.when(num(c).isNotNull(), col(out)))
 
 
+def middle(values: Column) -> Column:
+    """Median of an array that is no longer than a rolling window."""
+    a, n = F.array_sort(values), F.size(values)
+    low = F.get(a, F.floor((n - 1) / 2).cast("int"))
+    return (low + F.get(a, F.floor(n / 2).cast("int"))) / 2
+
+
 def rolling_exprs(name: str, w, window: int, stats: Sequence[str], prefix: str, digits: int | None = None) -> dict:
     """Rolling statistics over the last ``window`` rows, one value is enough."""
     x, frame = num(name), w.rowsBetween(-(window - 1), 0)
     fns = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp,
-           "median": F.median, "count": F.count}
+           "median": None, "count": F.count}
     out = {}
     for s in stats:
         if s not in fns:
             raise ValueError(f"unknown rolling statistic {s!r}")
-        v = fns[s](x).over(frame)
+        v = middle(F.collect_list(x).over(frame)) if s == "median" else fns[s](x).over(frame)
         if s == "std":
             v = F.when(F.count(x).over(frame) > 1, v)
         out[prefix.format(stat=s)] = F.round(v, digits) if digits is not None else v
