@@ -17,10 +17,11 @@ from quillframe.columns import (col, is_numeric, is_time, num, numeric_cols, pic
 from quillframe.functions.dates import java_pattern, parse
 from quillframe.functions.freq import freq_long, modes, value_counts
 from quillframe.functions.levels import attach, oversample, undersample
-from quillframe.functions.ordered import index_rows
+from quillframe.functions.ordered import index_rows, reliable_checkpoint
 from quillframe.functions.profile import fit, nulls, skew_g1
 from quillframe.functions.quantile import fit_quantiles, quantiles
 from quillframe.functions.scale import clip_columns, quantile_bounds, replace_columns, sigma_bounds
+from quillframe.functions.space import nearest
 from quillframe.operators.stats import iqr_fences, label_column
 from quillframe.registry import operator
 
@@ -695,3 +696,66 @@ def random_oversample(df: DataFrame, column: str | None = None, target: str | No
 @operator("clean.random_undersample")
 def random_undersample(df: DataFrame, column: str | None = None, target: str | None = None, seed: int = 42) -> DataFrame:
     return undersample(df, label_column(df, target or column), seed)
+
+
+def class_points(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """(id, v, label): rows with a class, nulls of the numeric columns filled with the median."""
+    work = df.where(col(label).isNotNull())
+    nums = [c for c in numeric_cols(work) if c != label]
+    if not nums:
+        raise ValueError("numeric features are needed")
+    med = {c: q[0] for c, q in fit_quantiles(work, nums, [0.5]).items()}
+    v = F.array(*[F.coalesce(num(c), F.lit(med.get(c, 0.0))) for c in nums])
+    ix = index_rows(work.select(v.alias("v"), col(label).cast("string").alias("label")), ["label", "v"])
+    return ix.df.select(F.col("_idx").alias("id"), "v", "label"), nums
+
+
+def interpolate(base: DataFrame, near: DataFrame, seed: int) -> DataFrame:
+    """New points between a base point and one of its neighbours; ``base`` has (id, v, copy)."""
+    h = lambda s: F.xxhash64(F.lit(seed + s), "id", "copy")
+    t = base.join(near, "id").withColumn("_n", F.get("near", F.pmod(h(1), F.size("near").cast("long")).cast("int")))
+    u = F.pmod(h(2), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    return t.select(F.zip_with("v", F.col("_n.v"), lambda a, b: a + u * (b - a)).alias("v"))
+
+
+def synthesise(df: DataFrame, label: str, k: int, weighted: bool, seed: int) -> DataFrame:
+    points, nums = class_points(df, label)
+    points = reliable_checkpoint(points)
+    sizes = {x["label"]: x["count"] for x in points.groupBy("label").count().collect()}  # one row per class
+    top = max(sizes.values())
+    k = min(k, max(min(sizes.values()) - 1, 1))
+    parts = [points.select("v", "label")]
+    for name, n in sorted(sizes.items()):
+        need = top - n
+        if need <= 0 or n < 2:
+            continue
+        mine = points.where(F.col("label") == name)
+        own = nearest(mine, mine.select(F.col("id").alias("pid"), "v", "label"), k, seed)
+        if weighted:
+            around = nearest(mine, points.select(F.col("id").alias("pid"), "v", "label"), k, seed)
+            foreign = around.select("id", (F.size(F.filter("near", lambda x: x["label"] != name)) / F.size("near")).alias("r"))
+            total = fit(foreign, s=F.sum("r"))["s"]
+            if not total:
+                raise ValueError(f"class {name!r} has no neighbour of another class")
+            copies = foreign.select("id", F.bround(F.col("r") / F.lit(total) * F.lit(float(need)), 0).cast("int").alias("m"))
+            base = mine.join(copies, "id").where(F.col("m") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
+        else:
+            # need rows spread evenly: every point floor(need / n) times, the first need % n in hash order once more
+            ix = index_rows(mine.select("id", "v", F.xxhash64(F.lit(seed), "id").alias("_h")), ["_h", "id"])
+            m = F.lit(need // n) + F.when(F.col("_idx") < need % n, 1).otherwise(0)
+            base = ix.df.withColumn("m", m).where(F.col("m") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+        parts.append(interpolate(base.select("id", "v", "copy"), own, seed).withColumn("label", F.lit(name)))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(*[F.col("v")[i].alias(c) for i, c in enumerate(nums)], F.col("label").cast(df.schema[label].dataType).alias(label))
+
+
+@operator("clean.smote_oversample")
+def smote_oversample(df: DataFrame, column: str | None = None, target: str | None = None, k_neighbors: int = 5, seed: int = 42) -> DataFrame:
+    """Every class grows to the largest by points between a row and one of its k nearest rows of the same class."""
+    return synthesise(df, label_column(df, target or column), k_neighbors, False, seed)
+
+
+@operator("clean.adasyn_oversample")
+def adasyn_oversample(df: DataFrame, column: str | None = None, target: str | None = None, n_neighbors: int = 5, seed: int = 42) -> DataFrame:
+    """As SMOTE, with more new points where more of the nearest rows belong to other classes."""
+    return synthesise(df, label_column(df, target or column), n_neighbors, True, seed)

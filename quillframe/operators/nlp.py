@@ -392,7 +392,8 @@ def sentiment_score(df: DataFrame, column: str | None = None) -> DataFrame:
     def build(c, s):
         w = words(s)
         n = F.greatest(F.size(w), F.lit(1))
-        pos, neg = (F.size(F.filter(w, lambda x, v=v: x.isin(v))) for v in (POSITIVE, NEGATIVE))
+        pos = F.size(F.filter(w, lambda x: x.isin(POSITIVE)))
+        neg = F.size(F.filter(w, lambda x: x.isin(NEGATIVE)))
         mix = r((pos - neg) / n)
         return {f"{c}_sentiment_pos": r(pos / n), f"{c}_sentiment_neg": r(neg / n), f"{c}_sentiment_compound": mix,
                 f"{c}_sentiment_label": F.when(mix > 0.05, "positive").when(mix < -0.05, "negative").otherwise("neutral")}
@@ -596,11 +597,12 @@ def word_cloud(df: DataFrame, column: str | None = None, n: int = 40) -> DataFra
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """n-grams of a token array, as text."""
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                                         lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))).otherwise(
-        F.array().cast("array<string>"))
+    """n-grams of a token array, as text: the array zipped with itself shifted by 1 .. n-1."""
+    out = tokens
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1))),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(out)
 
 
 @operator("nlp.text_ngram_frequency")
@@ -850,7 +852,7 @@ def text_similarity(df: DataFrame, column: str | None = None, order_by: Sequence
 
 @operator("nlp.text_dedup")
 def text_dedup(df: DataFrame, column: str | None = None, threshold: float = 0.9, action: str = "flag",
-               order_by: Sequence[str] = (), vocab: int = 200, bits: int = 12, bands: int = 24, seed: int = 42,
+               order_by: Sequence[str] = (), vocab: int = 200, bits: int = 20, bands: int = 20, seed: int = 42,
                stop_words: Sequence[str] | None = None) -> DataFrame:
     """Near duplicates by tf-idf cosine: a text is a duplicate of the first kept text it resembles.
 
