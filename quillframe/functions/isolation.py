@@ -52,7 +52,7 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, seed: int)
     drawn = df.withColumn("_h", F.xxhash64(F.lit(seed), *[col(c) for c in names])).orderBy("_h").limit(trees * PSI)
     tagged = drawn.withColumn("_tree", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.lit(trees)))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("_h")[names].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, int(key[0])])
         return pd.DataFrame({"tree": [json.dumps(_grow(x, rng, 0, math.ceil(math.log2(max(len(x), 2)))))], "n": [len(x)]})

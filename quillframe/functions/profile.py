@@ -80,8 +80,11 @@ def pair_stats(df: DataFrame, cols: Sequence[str], stats: Mapping[str, Callable[
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation, null when a side is constant."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    """Pearson correlation over rows where both are known; null when a side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)
 
 
 def matrix(df: DataFrame, cols: Sequence[str], fn: Callable[[Column, Column], Column],

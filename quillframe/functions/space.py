@@ -109,7 +109,7 @@ def nearest(probes: DataFrame, points: DataFrame, k: int, seed: int = 42) -> Dat
     cells = build_cells(points, "v", seed)
     home = spread(points, "v", cells)
 
-    def radius(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def radius(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
             return pd.DataFrame({"id": [], "v": [], "r": []})
         x = np.array(p["v"].tolist(), dtype=float).reshape(len(p), -1)
@@ -123,7 +123,7 @@ def nearest(probes: DataFrame, points: DataFrame, k: int, seed: int = 42) -> Dat
     first = spread(probes.select("id", "v"), "v", cells)
     balls = first.groupBy("_cell").cogroup(home.groupBy("_cell")).applyInPandas(radius, "id long, v array<double>, r double")
 
-    def search(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(p) and len(q):
             x = np.array(p["v"].tolist(), dtype=float).reshape(len(p), -1)
