@@ -779,11 +779,19 @@ def idf_weights(df: DataFrame, c: str, n: int, tokens) -> dict[str, float]:
 def tfidf_array(df: DataFrame, c: str, idf: Mapping[str, float], tokens, out: str) -> DataFrame:
     """Unit-length tf-idf weights of each row, as an array in vocabulary order."""
     counted = count_array(df, c, list(idf), tokens, "_raw")
-    w = F.zip_with("_raw", F.lit(list(idf.values())), lambda a, b: a * b)
-    counted = counted.withColumn("_raw", w)
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
-    return counted.withColumn("_norm", norm).withColumn(
-        out, F.transform("_raw", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))).drop("_raw", "_norm")
+    raw = F.zip_with("_raw", F.lit(list(idf.values())), lambda a, b: a * b)
+    return counted.withColumn(out, unit_length(raw)).drop("_raw")
+
+
+def once(value: Column, body) -> Column:
+    """Bind a value so that ``body`` may use it many times, also inside a lambda, while it is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def unit_length(values: Column) -> Column:
+    """The array divided by its Euclidean length; all zeros stay."""
+    return once(values, lambda a: once(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)),
+                                       lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 @operator("nlp.tfidf")
@@ -826,11 +834,9 @@ def hash_vectorize(df: DataFrame, column: str | None = None, n: int = 32) -> Dat
     for c in pick_many(df, column, "text"):
         slots = F.transform(F.regexp_extract_all(F.lower(text(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)),
                             lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
-        zero = F.array_repeat(F.lit(0.0), n)
-        out = out.withColumn("_s", slots).withColumn("_a", F.transform(zero, lambda _, i: F.size(F.filter("_s", lambda s: s == i)).cast("double")))
-        out = out.withColumn("_norm", F.sqrt(F.aggregate("_a", F.lit(0.0), lambda a, x: a + x * x)))
-        out = out.withColumns({f"{c}_hash_{i}": F.when(F.col("_norm") > 0, F.col("_a")[i] / F.col("_norm")).otherwise(0.0)
-                               for i in range(n)}).drop("_s", "_a", "_norm")
+        counts = once(slots, lambda t: F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                                                   lambda i: F.size(F.filter(t, lambda s: s == i)).cast("double")))
+        out = spread(out.withColumn("_a", unit_length(counts)), "_a", [f"{c}_hash_{i}" for i in range(n)])
     return out
 
 

@@ -89,7 +89,7 @@ def prepare(df: DataFrame, target: str | None = None, mode: str = "full", config
         fitted.steps.append(step)
         log.append(("fill_missing", ", ".join(sorted(step["values"]))))
         return Prepared(out, None, None, fitted, report(df, log, "step string, detail string"))
-    out = out.where(col(target).isNotNull()).dropDuplicates()
+    out = out.where(col(target).isNotNull()).dropDuplicates().persist()  # every fit below reads it
     labels = None
     if not is_numeric(out, target):
         from quillframe.operators.transform import level_codes

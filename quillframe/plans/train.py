@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -63,8 +63,7 @@ def regressors() -> dict[str, Callable]:
 
 
 def clusterers(k: int) -> dict[str, Callable]:
-    return {"kmeans": lambda: KMeans(k=k, seed=SEED), "hierarchical": lambda: BisectingKMeans(k=k, seed=SEED),
-            "gaussian_mixture": lambda: GaussianMixture(k=k, seed=SEED)}
+    return {"kmeans": lambda: KMeans(k=k, seed=SEED), "gaussian_mixture": lambda: GaussianMixture(k=k, seed=SEED)}
 
 
 # Parameters tried when tuning, per family.
@@ -129,6 +128,7 @@ def preprocess(df: DataFrame, target: str, task: str, test_size: float = 0.2, au
         if log_target:
             rows = rows.withColumn("label", F.log1p("label"))
     split = train_test_split(rows, test_size, seed, "label" if task == "classification" else None)
+    split = split.persist()  # every fit below reads it
     train, test = (split.where(F.col("_split") == s).drop("_split") for s in ("train", "test"))
     fitted = Fitted([{"kind": "drop", "columns": drop}])
 

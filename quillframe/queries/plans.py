@@ -65,7 +65,7 @@ Q = {
     "plans.infer_dtypes": query(lambda t: R.infer_dtypes(t.orders.select(F.col("o_orderkey").cast("string").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), "o_orderstatus")),
         "SELECT o_orderkey::DOUBLE AS k, o_orderdate AS d, o_orderstatus FROM orders"),
     "plans.drop_unusable_columns": query(lambda t: (lambda d: d.drop(*R.unusable_columns(d)))(t.orders.withColumnRenamed("o_orderkey", "order_id").withColumn("one", F.lit(1))), "SELECT * EXCLUDE (o_orderkey) FROM orders"),
-    "plans.fill_missing": query(fitted(lambda d: ([P.fit_fill(d)], {})), FILLED + "SELECT round(l_quantity, 6) AS l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM x"),
+    "plans.fill_missing": query(lambda t: r6(fitted(lambda d: ([P.fit_fill(d)], {}))(t)), FILLED + "SELECT round(l_quantity, 6) AS l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM x"),
     "plans.clip_outliers": query(lambda t: r6(fitted(lambda d: ([P.fit_outliers(d, {"l_extendedprice": "winsorize"})], {}))(t)), LI + """, b AS (SELECT quantile_cont(l_extendedprice, 0.05) lo, quantile_cont(l_extendedprice, 0.95) hi FROM li)
         SELECT l_quantity, round(greatest(least(l_extendedprice, hi), lo), 6) AS l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM li, b"""),
     "plans.encode_categoricals": query(fitted(lambda d: (lambda s, tb: ([s], tb))(*P.fit_encode(d, {"l_returnflag": "onehot", "l_linestatus": "label"}))), LI + """SELECT l_quantity, l_extendedprice, l_discount, l_tax, (l_linestatus = 'O')::INT::DOUBLE AS l_linestatus,
@@ -130,6 +130,6 @@ Q = {
     "plans.train": query(lambda t: trained(t).comparison),
     "plans.predict": query(lambda t: trained(t).predict(LABELLED(t)).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))),
     "plans.train_regression": query(lambda t: T.train(t.part.select("p_size", "p_brand", "p_retailprice"), "p_retailprice", "regression", names=["ridge", "decision_tree_reg"], folds=2, tune_top=1).comparison),
-    "plans.train_clusters": query(lambda t: T.train_clusters(t.customer.select("c_acctbal", "c_nationkey", "c_mktsegment"), ["kmeans", "hierarchical"]).comparison),
+    "plans.train_clusters": query(lambda t: T.train_clusters(t.customer.select("c_acctbal", "c_nationkey", "c_mktsegment"), ["kmeans", "gaussian_mixture"]).comparison),
     "plans.auto_features": query(lambda t: P.auto_features(t.measures.withColumn("twin", F.col("l_extendedprice") * 2), "l_tax").transform(t.measures.withColumn("twin", F.col("l_extendedprice") * 2)), LI + "SELECT l_quantity, l_extendedprice, l_tax FROM li"),
 }
