@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,16 @@ def java_pattern(fmt: str) -> str:
     return out + (f"'{literal}'" if literal else "")
 
 
+def shape(layout: str) -> str:
+    """Rough regular expression of a layout: text that cannot match is never handed to the (slow) parser."""
+    rules = {"yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}",
+             "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "'T'": "T"}
+    return "^" + re.sub(r"'T'|([A-Za-z])\1*|[.]", lambda m: rules.get(m[0], r"\."), layout) + "$"
+
+
 def parse(c: Column, fmt: str | None = None) -> Column:
     """Timestamp of a text column; unreadable text gives null."""
     if fmt is not None:
         return F.try_to_timestamp(c, F.lit(java_pattern(fmt)))
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(p)) for p in LAYOUTS])
+    t = F.trim(c)
+    return F.coalesce(*[F.when(t.rlike(shape(p)), F.try_to_timestamp(t, F.lit(p))) for p in LAYOUTS])

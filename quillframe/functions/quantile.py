@@ -62,9 +62,9 @@ def _bracketed(df, cols, qs, by):
 
     def bound(q, side):
         p = q + side * edge
-        if p <= 0:
-            return F.col("_min")
-        return F.col("_max") if p >= 1 else F.col("_p")[probs.index(p)]
+        end = F.col("_min") if side < 0 else F.col("_max")
+        # in a group of few rows the margin is less than one row: keep the whole group
+        return end if p <= 0 or p >= 1 else F.when(F.col("_n") < 2 * _ACCURACY, end).otherwise(F.col("_p")[probs.index(p)])
 
     state = sketch.select(*group, F.inline(F.array(*[
         F.struct(F.lit(k).alias("_q"), ((F.col("_n") - 1) * F.lit(q)).alias("_at"),
@@ -83,8 +83,9 @@ def _bracketed(df, cols, qs, by):
         F.first("_at").alias("_at"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
         F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count(inside).alias("_m"),
         F.percentile_approx(inside, F.lit(grid), F.lit(_ACCURACY)).alias("_g"))
-    step = (F.col("_at") - F.col("_below")) / F.col("_m") * _GRID
-    left, right = F.floor(step - 2).cast("int"), F.ceil(step + 2).cast("int")
+    first, last = F.floor("_at") - F.col("_below"), F.ceil("_at") - F.col("_below") + 1
+    left = F.floor(first / F.col("_m") * _GRID - 2).cast("int")
+    right = F.ceil(last / F.col("_m") * _GRID + 2).cast("int")
     state = finer.select(
         *slot, "_at",
         F.when(left <= 0, F.col("_lo")).otherwise(F.get("_g", left)).alias("_lo"),

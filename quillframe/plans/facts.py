@@ -17,11 +17,16 @@ from quillframe.operators.stats import correlations, duplicate_count, outlier_re
 TARGET_WORDS = ("target", "label", "class", "y", "outcome", "price", "churn", "fraud", "default", "rating", "score")
 
 
-def column_facts(df: DataFrame) -> dict:
-    """{"rows": n, "columns": {name: {nulls, unique, skew, var, min, max, length, kind}}}: one aggregation."""
+def column_facts(df: DataFrame, distinct: Sequence[str] | None = None) -> dict:
+    """{"rows": n, "columns": {name: {nulls, unique, skew, var, min, max, length, kind}}}: one aggregation.
+
+    Exact distinct counts are the costly part; ``distinct`` names the columns that need one.
+    """
     aggs = {"n": F.count(F.lit(1))}
     for i, c in enumerate(df.columns):
-        aggs |= {f"m{i}": nulls(col(c)), f"u{i}": F.count_distinct(col(c))}
+        aggs[f"m{i}"] = nulls(col(c))
+        if distinct is None or c in distinct:
+            aggs[f"u{i}"] = F.count_distinct(col(c))
         if is_numeric(df, c):
             aggs |= {f"s{i}": skew_g1(num(c)), f"v{i}": F.var_samp(num(c)), f"a{i}": F.min(num(c)), f"b{i}": F.max(num(c))}
         elif c in text_cols(df):
@@ -30,7 +35,7 @@ def column_facts(df: DataFrame) -> dict:
     out = {}
     for i, c in enumerate(df.columns):
         kind = "numeric" if is_numeric(df, c) else "datetime" if is_time(df, c) else "text"
-        out[c] = {"kind": kind, "nulls": f[f"m{i}"], "unique": f[f"u{i}"], "skew": f.get(f"s{i}"), "var": f.get(f"v{i}"), "min": f.get(f"a{i}"),
+        out[c] = {"kind": kind, "nulls": f[f"m{i}"], "unique": f.get(f"u{i}"), "skew": f.get(f"s{i}"), "var": f.get(f"v{i}"), "min": f.get(f"a{i}"),
                   "max": f.get(f"b{i}"), "length": f.get(f"l{i}"), "null_pct": f[f"m{i}"] / f["n"] * 100 if f["n"] else 0.0}
     return {"rows": f["n"], "columns": out}
 

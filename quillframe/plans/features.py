@@ -130,7 +130,7 @@ def fit_derive(df: DataFrame, specs: Mapping[str, Mapping]) -> dict:
 def fit_fill(df: DataFrame, plan: Mapping[str, str] | None = None, default: str = "auto", constants: Mapping | None = None,
              order_by: Sequence[str] = (), skip: Sequence[str] = ()) -> dict:
     """Strategies: auto, drop, mean, median, mode, ffill, constant, none. Values come from the fitted rows."""
-    facts = column_facts(df)["columns"]
+    facts = column_facts(df, distinct=())["columns"]
     how = {}
     for c, x in facts.items():
         s = (plan or {}).get(c, default)
@@ -166,7 +166,7 @@ def fit_outliers(df: DataFrame, plan: Mapping[str, str], factor: float = 1.5) ->
 
 def fit_encode(df: DataFrame, plan: Mapping[str, str] | None = None, default: str = "auto", target: str | None = None) -> tuple[dict, dict[str, DataFrame]]:
     """onehot, label, ordinal, frequency, target or auto; unknown levels give -1, 0 or the global mean on replay."""
-    facts = column_facts(df)["columns"]
+    facts = column_facts(df, distinct=text_cols(df))["columns"]
     columns, tables = {}, {}
     for c in text_cols(df):
         if c == target:
@@ -297,7 +297,7 @@ def auto_features(df: DataFrame, target: str, var_limit: float = 0.01, corr_limi
     feats = [c for c in feats if c not in low]
     twin = correlated_later(df, feats, corr_limit)
     feats = [c for c in feats if c not in twin]
-    facts = column_facts(df.select(*[col(c) for c in feats]))["columns"] if feats else {}
+    facts = column_facts(df.select(*[col(c) for c in feats]), distinct=())["columns"] if feats else {}
     logs = {f"{c}_log": {"kind": "log", "columns": [c]} for c, x in facts.items() if x["skew"] is not None and abs(x["skew"]) > skew_limit and x["min"] >= 0}
     out = Fitted([{"kind": "drop", "columns": [*low, *twin]}])
     if logs:

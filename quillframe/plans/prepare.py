@@ -28,13 +28,11 @@ def infer_dtypes(df: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def unusable_columns(df: DataFrame, protect: str | None = None, threshold: float = 0.5) -> list[str]:
     """Constant columns, unique columns named like an id, and columns with too many nulls."""
-    f = column_facts(df)
-    out = []
-    for c, x in f["columns"].items():
-        values = x["unique"] + (1 if x["nulls"] else 0)
-        if c != protect and (values <= 1 or (ID_NAME.search(c) and x["unique"] == f["rows"]) or x["null_pct"] / 100 > threshold):
-            out.append(c)
-    return out
+    named = [c for c in df.columns if ID_NAME.search(c)]
+    f = column_facts(df, distinct=named)
+    same = clean.constant_columns(df)
+    return [c for c, x in f["columns"].items() if c != protect and (
+        c in same or (c in named and x["unique"] == f["rows"]) or x["null_pct"] / 100 > threshold)]
 
 
 @dataclass
@@ -64,7 +62,7 @@ class Prepared:
 
 def choose_encoding(df: DataFrame, method: str, target: str | None) -> dict[str, str]:
     """auto is one-hot up to ten levels, else label."""
-    facts = column_facts(df)["columns"]
+    facts = column_facts(df, distinct=text_cols(df))["columns"]
     return {c: ("onehot" if facts[c]["unique"] <= 10 else "label") if method == "auto" else method for c in text_cols(df) if c != target}
 
 

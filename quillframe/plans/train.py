@@ -109,8 +109,8 @@ def preprocess(df: DataFrame, target: str, task: str, test_size: float = 0.2, au
     one-hot below 15 levels else ordinal, log1p of a skewed target, scaling. ``label`` holds the target."""
     y = resolve(df, target)
     rows = df.where(col(y).isNotNull())
-    f = column_facts(rows)
-    drop = [c for c, x in f["columns"].items() if c != y and (x["unique"] == 0 or (ID_NAME.search(c) and x["unique"] == f["rows"]))]
+    f = column_facts(rows, distinct=[c for c in rows.columns if ID_NAME.search(c)])
+    drop = [c for c, x in f["columns"].items() if c != y and (x["nulls"] == f["rows"] or (ID_NAME.search(c) and x["unique"] == f["rows"]))]
     number = [c for c in text_cols(rows) if c != y and c not in drop]
     if number:
         k = fit_row(rows, **{f"k{i}": F.count(col(c).try_cast("double")) for i, c in enumerate(number)}, **{f"n{i}": F.count(col(c)) for i, c in enumerate(number)})
@@ -141,7 +141,7 @@ def preprocess(df: DataFrame, target: str, task: str, test_size: float = 0.2, au
 
     train, test = train.drop(*drop), test.drop(*drop)
     add(fit_fill(train, skip=["label"]))
-    facts = column_facts(train)["columns"]
+    facts = column_facts(train, distinct=text_cols(train))["columns"]
     add(*fit_encode(train, {c: "onehot" if facts[c]["unique"] < 15 else "ordinal" for c in text_cols(train)}, "none", "label"))
     rest = [c for c in train.columns if c != "label" and not is_numeric(train, c)]
     if rest:
