@@ -1,4 +1,9 @@
-"""Sources and sinks. NaN becomes null once, on the way in."""
+"""Sources and sinks.
+
+Operators treat null as missing. NaN becomes null on the way in for text and Arrow
+sources. Parquet is read as it is, so that filters on numbers reach the scan; pass
+``nans=True`` for files that hold NaN.
+"""
 
 from __future__ import annotations
 
@@ -17,9 +22,10 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(fix) if fix else df
 
 
-def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | Sequence[str], nans: bool = False) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
-    return nan_to_null(spark.read.parquet(*paths))
+    df = spark.read.parquet(*paths)
+    return nan_to_null(df) if nans else df
 
 
 def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True, **options) -> DataFrame:
