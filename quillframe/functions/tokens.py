@@ -1,10 +1,10 @@
-"""Word tokens and corpus counts."""
+"""Word tokens."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -24,8 +24,3 @@ def spaced(c: Column) -> Column:
 def without(tokens: Column, drop: Iterable[str]) -> Column:
     drop = sorted(drop)
     return F.filter(tokens, lambda w: ~w.isin(drop)) if drop else tokens
-
-
-def joined_with_vocab(exploded: DataFrame, vocab: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join tokens to a vocabulary; the adaptive planner broadcasts a small one and splits hot words."""
-    return exploded.join(vocab, on, how)

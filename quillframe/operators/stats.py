@@ -601,7 +601,7 @@ def two_level_group(df: DataFrame, name: str | None) -> str:
 
 
 def first_two_levels(df: DataFrame, group: str) -> list:
-    """The two smallest values of the group column (the reference takes the first two met)."""
+    """The two smallest values of the group column: rows have no order, so the first two met are not defined."""
     rows = df.where(col(group).isNotNull()).select(col(group).alias("v")).distinct().orderBy("v").limit(2).collect()
     if len(rows) < 2:
         raise ValueError(f"column {group!r} has fewer than two groups")
