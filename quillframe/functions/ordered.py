@@ -13,6 +13,7 @@ change between the count and the use, also when an executor is lost.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -27,12 +28,19 @@ _POSITION_BITS = 33  # fixed value: monotonically_increasing_id keeps the row po
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder named by ``spark.checkpoint.dir``."""
-    spark: SparkSession = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session without one gets a temporary folder; on a cluster it is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def _order(order_by) -> list[Column]:
