@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.functions.ordered import reliable_checkpoint
+from quillframe.functions.ordered import checkpoint_folder, reliable_checkpoint
 
 ROWS = 512  # rows that a task turns into Python objects at once
 
@@ -25,9 +25,7 @@ def text_bytes(name: str = "text"):
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that all executors share."""
-    empty = spark.range(0)
-    reliable_checkpoint(empty)  # sets the folder where the session names none
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
