@@ -8,13 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import mixing, quality, urls
+from quillframe.llm import fingerprints, mixing, packing, quality, simhash, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """Path of the tokenizer file that op4 and the pipeline count tokens with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_neighbours(_read(spark, folder, "documents"))
+
+
 RULES: list[urls.Rule] = [
     ("org", "", "allow"), ("example.org", "es/", "block"), ("example.org", "en/1", "block"), ("com", "fr/", "allow"), ("com", "de/", "block"),
 ]
@@ -56,6 +67,10 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row.doc_id", "size", "source_size", "target", "taken", "row.source")
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, folder, "documents"), word_tokenizer())
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _read(spark, folder, "documents"), _read(spark, folder, "labels")
     rules = quality.fit_rules(docs, labels)
@@ -63,5 +78,12 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op3_mix_sources": op3_mix_sources, "op8_quality_rules": op8_quality_rules}
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, folder, "documents"))
+
+
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_mix_sources": op3_mix_sources,
+    "op4_best_fit_packing": op4_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op10_simhash": op10_simhash,
+}
 ORACLE_SQL = {"op2_url_filter": OP2_SQL}
