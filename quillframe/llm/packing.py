@@ -28,11 +28,11 @@ WORDS_HELD = 300_000  # words whose ids a task remembers
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _class(first: str) -> str:
-    """Character class of all code points whose Unicode category starts so."""
+def _class(first: str, last: int) -> str:
+    """Character class of the code points up to ``last`` whose Unicode category starts so."""
     out, begin = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == first
+    for c in range(last + 2):
+        inside = c <= last and unicodedata.category(chr(c))[0] == first
         if inside and begin is None:
             begin = c
         elif not inside and begin is not None:
@@ -44,13 +44,16 @@ def _class(first: str) -> str:
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # fixed values: Unicode White_Space
 
 
-@lru_cache(maxsize=1)
-def _pattern() -> re.Pattern:
-    """The tokenizer file's pattern, with its classes spelled out for ``re``."""
-    letters, numbers = _class("L"), _class("N")
+@lru_cache(maxsize=2)
+def _pattern(last: int) -> re.Pattern:
+    """The tokenizer file's pattern, with its classes spelled out for ``re`` up to a code point; below 0x10000 it is much faster."""
+    letters, numbers = _class("L", last), _class("N", last)
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+")
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
 @lru_cache(maxsize=1)
 def _byte_letters() -> list[str]:
     """The printable stand-in of every byte in byte-level vocabularies."""
@@ -87,7 +90,8 @@ class WordIds(dict):
         if any(s in text for s in self.special):
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
-        return b"".join([*map(self.__getitem__, _pattern().findall(low)), bytes(4)])
+        words = _pattern(sys.maxunicode if _ASTRAL.search(low) else 0xFFFF).findall(low)
+        return b"".join([*map(self.__getitem__, words), bytes(4)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
