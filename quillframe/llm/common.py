@@ -103,6 +103,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A checkpointed narrow table, broadcast if it was counted to hold at most ``rows`` rows; else Spark chooses the join."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
