@@ -9,12 +9,13 @@ due. So a document's share is found by arithmetic; no block is written out.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import arrow_rows
+from quillframe.llm.common import small
 
 WORD = r"[^\x20\x09-\x0D]++"
 REPEATS = 3  # how often a document's words are taken at most
@@ -78,8 +79,8 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, most: str, over: li
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS,
-        shard_words: int = SHARD_WORDS, repeats: int = REPEATS, seed: int = 11) -> DataFrame:
-    """Every document with ``row`` (its columns), ``size``, ``source_size``, ``target``, ``taken`` and ``from_word``.
+        shard_words: int = SHARD_WORDS, repeats: int = REPEATS, seed: int = 11, carry: list[str] | None = None) -> DataFrame:
+    """Every document with ``row`` (its columns ``carry``, all by default), ``size``, ``source_size``, ``target``, ``taken`` and ``from_word``.
 
     ``taken`` counts the words the mix takes, repeats counted, starting at word
     ``from_word`` of the document and going round. A null text has no words and takes
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     An empty table gives no rows. Shards hold about ``shard_words`` words, so a hot
     source is many groups.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row")
     d = docs.select(row, F.col(f"`{key}`").alias("_id"), F.col(f"`{source}`").alias("_source"), word_count(text).alias("size"))
     sizes = d.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, repeats)
@@ -96,12 +97,14 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     seats = sainte_lague(seats.withColumnRenamed("_most", "most"), "target", "_k", "most", [], ["source"]).drop("most", "_k")
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
     source_row = seats.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("_source_quota"), shards.cast("long").alias("_shards"))
+    source_row = small(source_row)  # one row per source
     placed = (d.join(source_row, F.col("_source").eqNullSafe(F.col("_s")), "left")
               .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.col("_id"), F.col("size")), F.col("_shards"))))
     cells = (placed.groupBy("_s", "_shard", "_source_quota").agg(F.sum("size").alias("_n"))
              .withColumn("_most", F.floor(repeats * F.col("_n") / block_words).cast("long")))
     quotas = sainte_lague(cells.withColumnRenamed("_most", "_cap"), "_n", "_source_quota", "_cap", ["_s"], ["_shard"])
     quotas = quotas.select(F.col("_s").alias("_cs"), F.col("_shard").alias("_cshard"), "_n", (F.col("quota") * block_words).alias("_due"))
+    quotas = small(quotas)  # one row per shard_words words
     ring = Window.partitionBy("_s", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("_id"), F.col("size")), "_id", "size")
     laid = placed.withColumn("_at", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     laid = laid.join(quotas, F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_shard") == F.col("_cshard")), "left")
@@ -118,11 +121,12 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     return laid.select("row", "size", "source_size", "target", taken.alias("taken"), begin.cast("long").alias("from_word"))
 
 
-def _word_spans(text: str) -> tuple[list[int], list[int]]:
-    import re
-
-    found = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    return [a for a, _ in found], [b for _, b in found]
+def some_words(text: str, begin: int, n: int) -> str:
+    """``n`` words from word ``begin`` on, as they stand in the text; past its end on a new line from its start."""
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    head = text[spans[begin][0]:spans[min(begin + n, len(spans)) - 1][1]]
+    over = begin + n - len(spans)
+    return head if over <= 0 else f"{head}\n{text[spans[0][0]:spans[over - 1][1]]}"
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -132,24 +136,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     words of the half (from its first due word, going round); ``n_chars``, if there, is
     that of the row's text. Documents of which nothing is taken give no row.
     """
-    names = docs.columns
-    mixed = mix(docs, **how).where("taken > 0")
+    names, kinds = docs.columns, dict(docs.dtypes)
     copies = F.floor(F.col("taken") / F.col("size")).cast("int")
     part = F.col("taken") % F.col("size")
-    whole = mixed.where(copies > 0).select(F.explode(F.array_repeat("row", copies)).alias("row")).select("row.*")
-    cut = mixed.where(part > 0).select("row", F.coalesce(F.col("row.text"), F.lit("")).alias("_t"), "from_word", part.alias("_words"))
-
-    def rows(given: Iterable[tuple]) -> Iterator[tuple]:
-        for row, text, begin, words in given:
-            starts, ends = _word_spans(text)
-            n = len(starts)
-            first = text[starts[begin]:ends[min(begin + words, n) - 1]]
-            over = begin + words - n
-            out = first if over <= 0 else f"{first}\n{text[starts[0]:ends[over - 1]]}"
-            yield (row, out)
-
-    kind = dict(cut.dtypes)["row"]
-    pieces = arrow_rows(cut, rows, f"row {kind}, _new string")
+
+    @F.arrow_udf("string")
+    def words_of(texts: pa.Array, begin: pa.Array, n: pa.Array) -> pa.Array:
+        rows = zip(texts, begin.to_pylist(), n.to_pylist(), strict=True)
+        return pa.array([some_words(t.as_py(), b, k) if k else None for t, b, k in rows], pa.string())
+
+    mixed = mix(docs, **how).where("taken > 0").select("row", copies.alias("_copies"), words_of(F.col("row.text"), "from_word", part).alias("_part"))
+    texts = F.array_compact(F.concat(F.array_repeat(F.col("row.text"), F.col("_copies")), F.array("_part")))
+    out = mixed.select("row", F.explode(texts).alias("_new"))
     new = F.col("_new")
-    columns = [new.alias(c) if c == "text" else F.char_length(new).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return whole.unionByName(pieces.select(*columns))
+    return out.select(*[new.alias(c) if c == "text" else F.char_length(new).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names])

@@ -63,7 +63,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "source", "text")
-    out = mixing.mix(docs)
+    out = mixing.mix(docs, carry=["doc_id", "source"])
     return out.select("row.doc_id", "size", "source_size", "target", "taken", "row.source")
 
 
