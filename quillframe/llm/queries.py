@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import fingerprints, lines, mixing, packing, quality, simhash, urls
+from quillframe.llm import fingerprints, licences, lines, mixing, packing, quality, simhash, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,12 +83,18 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
+def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    return licences.scan_licences(docs, licences.fit_licences(docs))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, folder, "documents"))
 
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_mix_sources": op3_mix_sources,
-    "op4_best_fit_packing": op4_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op10_simhash": op10_simhash,
+    "op4_best_fit_packing": op4_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules,
+    "op9_licence_scan": op9_licence_scan, "op10_simhash": op10_simhash,
 }
 ORACLE_SQL = {"op2_url_filter": OP2_SQL}
