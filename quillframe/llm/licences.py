@@ -127,7 +127,7 @@ class LicenceModel:
 def _tempered(t: float) -> Column:
     p = vector_to_array(F.col("probability"))
     powers = F.transform(p, lambda x: F.pow(F.greatest(x, F.lit(1e-12)), F.lit(1 / t)))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    return F.transform(F.array(powers), lambda q: F.transform(q, lambda x: x / F.aggregate(q, F.lit(0.0), lambda a, b: a + b)))[0]
 
 
 def training_rows(docs: DataFrame, templates: dict[str, list[str]], unknown_rows: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -144,13 +144,12 @@ def training_rows(docs: DataFrame, templates: dict[str, list[str]], unknown_rows
     other = paragraphs(docs, key, text).select("body").where(F.char_length("body") <= 2000)
     gate = gated(other, gate_words(templates, CONFIRM))
 
-    def unlike(rows: DataFrame, n: int) -> DataFrame:
-        rows = rows.withColumn("_p", _pairs(_words(F.col("body")))).where(template_share(F.col("_p"), all_texts) < 0.25)
-        return rows.select("body").distinct().orderBy(F.xxhash64("body"), "body").limit(n)
+    def some(rows: DataFrame) -> DataFrame:
+        return rows.select("body").distinct().orderBy(F.xxhash64("body"), "body").limit(unknown_rows // 2)
 
-    plain = unlike(other.where(F.pmod(F.xxhash64("body"), F.lit(8)) == 0), unknown_rows // 2)
-    near = unlike(gate, unknown_rows // 2)
-    unknown = saved(plain.unionByName(near).distinct())
+    plain = some(other.where(F.pmod(F.xxhash64("body"), F.lit(8)) == 0))
+    paired = saved(plain.unionByName(some(gate)).distinct().withColumn("_p", _pairs(_words(F.col("body")))))
+    unknown = saved(paired.where(template_share(F.col("_p"), all_texts) < 0.25).select("body"))
     around = [r["body"] for r in unknown.orderBy(F.xxhash64(F.lit(5), "body")).limit(SURROUNDINGS).select(F.substring("body", 1, 160).alias("body")).collect()]
     rows = []
     for family in families:
@@ -181,8 +180,8 @@ def fit_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, u
     losses = held.agg(*[F.avg(-F.log(F.get(tempered(t), F.col("y").cast("int")) / F.aggregate(tempered(t), F.lit(0.0), lambda a, b: a + b))).alias(f"t{i}") for i, t in enumerate(grid)]).first()
     found = [losses[f"t{i}"] for i in range(len(grid))]
     temperature = grid[min(range(len(grid)), key=lambda i: found[i] if found[i] is not None else float("inf"))]
-    q = F.transform(tempered(temperature), lambda x: x / F.aggregate(tempered(temperature), F.lit(0.0), lambda a, b: a + b))
-    cut = held.where("y = 0").agg(F.percentile(F.array_max(F.slice(q, 2, len(families) - 1)), 1 - false_rate).alias("c")).first()["c"]
+    best = F.array_max(F.slice(tempered(temperature), 2, len(families) - 1)) / F.aggregate(tempered(temperature), F.lit(0.0), lambda a, b: a + b)
+    cut = held.where("y = 0").agg(F.percentile(best, 1 - false_rate).alias("c")).first()["c"]
     return LicenceModel(model, families, temperature, min(max(cut or 0.5, 0.5), 0.95), templates, confirm)
 
 
@@ -193,7 +192,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, key: str = "doc_id", tex
     holds. Paragraphs whose best family is unknown, is below the cut or is not confirmed
     give no row; null and empty texts and empty tables give none. Repeated rows are scanned each.
     """
-    rows = _grams(gated(paragraphs(docs, key, text), gate_words(model.templates, model.confirm)))
+    rows = saved(_grams(gated(paragraphs(docs, key, text), gate_words(model.templates, model.confirm))))
     shares = F.array(F.lit(0.0), *[template_share(F.col("_p"), model.templates[f]) for f in model.families[1:]])
     rows = rows.withColumn("_s", shares).where(F.array_max("_s") >= model.confirm)
     scored = model.probabilities(rows)
