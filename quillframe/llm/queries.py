@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import fingerprints, licences, lines, mixing, packing, quality, simhash, urls
+from quillframe.llm import fingerprints, licences, lines, mixing, packing, quality, simhash, substrings, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_read(spark, folder, "documents"), word_tokenizer())
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.remove_repeats(_read(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = lines.dedup_lines(_read(spark, folder, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "repeats", "nears", "links", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -94,7 +99,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_mix_sources": op3_mix_sources,
-    "op4_best_fit_packing": op4_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules,
     "op9_licence_scan": op9_licence_scan, "op10_simhash": op10_simhash,
 }
 ORACLE_SQL = {"op2_url_filter": OP2_SQL}
