@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions.ordered import checkpoint_folder, reliable_checkpoint
@@ -23,6 +23,11 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(f"`{name}`"), F.lit("")).cast("binary")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that all executors share."""
     return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"

@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import saved, small
+from quillframe.llm.common import bound, saved, small
 
 THRESHOLD = 2  # edits (insert, delete, replace) at most
 MIN_CHARS = 20  # shorter lines are neither compared nor removed
 BROADCAST_ROWS = 200_000  # counted rows of narrow tables that may be broadcast; beyond it Spark shuffles
-_LETTERS = "eanotihrsd"  # counted by the bound, six bits each
+_LETTERS = "eanotihr"  # counted by the bound, six bits each
 
 
 def segment_spans(n: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -43,25 +43,37 @@ def probe_keys(line: Column, n: Column, threshold: int) -> Column:
     its left and ``threshold - i`` to its right; so its place shifts by -i .. i seen from
     the left end, and by the same rule seen from the right end.
     """
-    out = []
-    for less in range(threshold + 1):
-        other = n - less
-        for i, (start, size) in enumerate(segment_spans(other, threshold)):
-            low = max(-i, less - (threshold - i))
-            high = min(i, less + (threshold - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                inside = (at >= 0) & (at + size <= n) & (other > 0)
-                out.append(F.when(inside, F.struct(_key(other, i, line.substr(at + 1, size)).alias("key"), F.lit(less).alias("less"))))
-    return F.array_compact(F.array(*out))
+    spans = [segment_spans(n - less, threshold) for less in range(threshold + 1)]
+
+    def of_segment(i: int) -> Column:
+        # what the substrings of one segment number are cut from
+        begin = F.greatest(spans[threshold][i][0] - threshold, F.lit(0))
+        end = F.least(spans[0][i][0] + spans[0][i][1] + threshold, n)
+
+        def keys(near: Column) -> Column:
+            out = []
+            for less in range(threshold + 1):
+                start, size = spans[less][i]
+                low = max(-i, less - (threshold - i))
+                high = min(i, less + (threshold - i))
+                for shift in range(low, high + 1):
+                    at = start + shift
+                    inside = (at >= 0) & (at + size <= n) & (n > less)
+                    part = near.substr((at - begin + 1).cast("int"), size)
+                    out.append(F.when(inside, F.struct(_key(n - less, i, part).alias("key"), F.lit(less).alias("less"))))
+            return F.array(*out)
+
+        return bound(line.substr(begin + 1, end - begin), keys)
+
+    return F.array_compact(F.concat(*[of_segment(i) for i in range(threshold + 1)]))
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of ten frequent letters modulo 64, six bits each."""
+    """Counts of eight frequent letters modulo 64, six bits each."""
     n = F.char_length(line)
     out = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
-        count = (n - F.char_length(F.translate(line, c, ""))).cast("long").bitwiseAND(F.lit(63))
+        count = (n - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(63))
         out = out.bitwiseOR(F.shiftleft(count, 6 * i))
     return out
 
@@ -83,41 +95,54 @@ def within_edits(long: Column, short: Column, threshold: int) -> Column:
     that ends in the last cell: it grows where the diagonal difference is one.
     """
     k = threshold
-    mask = (1 << (2 * k + 2)) - 1
-    rows, columns = F.split(long, ""), F.split(short, "")
+    mask = F.lit((1 << (2 * k + 2)) - 1)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     gap = F.char_length(long) - F.char_length(short)
-    one = F.lit(1).cast("long")
-
-    def step(state: Column, j: Column) -> Column:
-        c = F.get(columns, j - 1)
-        same = F.lit(0).cast("long")
-        for p in range(2 * k + 1):  # bit p is row j - k + p, 1-based
-            same = same.bitwiseOR(F.when(F.get(rows, j - k + p - 1) == c, F.lit(1 << p).cast("long")).otherwise(F.lit(0).cast("long")))
-        return F.struct(state["up"].alias("up"), state["down"].alias("down"), same.alias("same"), state["score"].alias("score"))
-
-    def advance(s: Column) -> Column:
-        up, down, same = s["up"], s["down"], s["same"]
-        flat = (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(F.lit(mask))
-        right = down.bitwiseOR(F.bitwise_not(flat.bitwiseOR(up)).bitwiseAND(F.lit(mask)))
-        left = flat.bitwiseAND(up)
+
+    def flat_step(s: Column) -> Column:
+        """One column: ``flat`` has the rows where the diagonal difference is zero."""
+        up, down, flat = s["up"], s["down"], s["flat"]
+        right = down.bitwiseOR(F.bitwise_not(flat.bitwiseOR(up)).bitwiseAND(mask))
         below = F.shiftright(flat, 1)
-        grown = F.call_function("shiftright", flat, (gap + k).cast("int")).bitwiseAND(one)
-        return F.struct(left.bitwiseOR(F.bitwise_not(below.bitwiseOR(right)).bitwiseAND(F.lit(mask))).alias("up"),
-                        below.bitwiseAND(right).alias("down"), same.alias("same"), (s["score"] + 1 - grown).cast("long").alias("score"))
+        grown = one - F.call_function("shiftright", flat, s["diagonal"]).bitwiseAND(one)
+        return F.struct(flat.bitwiseAND(up).bitwiseOR(F.bitwise_not(below.bitwiseOR(right)).bitwiseAND(mask)).alias("up"),
+                        below.bitwiseAND(right).alias("down"), (s["score"] + grown).alias("score"))
+
+    def column(pair: Column) -> Column:
+        rows, columns, diagonal = pair["rows"], pair["columns"], (pair["gap"] + k).cast("int")
+
+        def step(state: Column, j: Column) -> Column:
+            def with_char(c: Column) -> Column:
+                same = zero
+                for p in range(2 * k + 1):  # bit p is row j - k + p, 1-based
+                    same = same.bitwiseOR(F.when(F.get(rows, j - k + p - 1) == c, F.lit(1 << p).cast("long")).otherwise(zero))
+
+                def with_same(m: Column) -> Column:
+                    up = state["up"]
+                    flat = (m.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(m).bitwiseOR(state["down"]).bitwiseAND(mask)
+                    return bound(F.struct(up.alias("up"), state["down"].alias("down"), state["score"].alias("score"),
+                                          flat.alias("flat"), diagonal.alias("diagonal")), flat_step)
+
+                return bound(same, with_same)
+
+            return bound(F.get(columns, j - 1), with_char)
+
+        first = F.struct(F.lit((((1 << (2 * k + 2)) - 1) >> k) << k).cast("long").alias("up"), zero.alias("down"), pair["gap"].cast("long").alias("score"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(columns)), first, step)["score"]
 
-    first = F.struct(F.lit((mask >> k) << k).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(0).cast("long").alias("same"), gap.cast("long").alias("score"))
-    end = F.aggregate(F.sequence(F.lit(1), F.char_length(short)), first, lambda state, j: advance(step(state, j)))
-    score = F.when(F.char_length(short) == 0, gap.cast("long")).otherwise(end["score"])
-    return (gap <= k) & (score <= k)
+    pair = F.struct(F.split(long, "").alias("rows"), F.split(short, "").alias("columns"), gap.alias("gap"))
+    score = F.when(F.char_length(short) == 0, gap.cast("long")).otherwise(bound(pair, column))
+    return F.when(gap > k, F.lit(False)).otherwise(score <= k)
 
 
 def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows ``line, first``: every distinct line of at least ``min_chars`` characters and the place of its first occurrence.
+    """Every distinct line of at least ``min_chars`` characters, in the shared folder: ``line``, the place of its ``first``
+    occurrence, how many ``times`` it occurs, and its ``id`` (a hash), length ``n`` and ``letters``.
 
     A place is a number that grows with (doc_id, line number); null ids come last.
     """
-    rows = _occurrences(docs, key, text, min_chars)
-    return rows.groupBy("line").agg(F.min("place").alias("first"))
+    rows = _occurrences(docs, key, text, min_chars).groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+    return saved(rows.withColumns({"id": _id(), "n": F.char_length("line"), "letters": letter_counts(F.col("line"))}))
 
 
 def _place(key: str, number: str) -> Column:
@@ -137,20 +162,18 @@ def _id(line: str = "line") -> Column:
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Rows ``line_a, first_a, line_b, first_b``: all pairs of different lines within ``threshold`` edits, a no shorter than b.
 
-    ``lines`` holds distinct lines with ``first``. No group is collected: pairs come
+    ``lines`` holds distinct lines with ``first``, ``id``, ``n`` and ``letters``. No group is collected: pairs come
     from an equi-join on segment keys (adaptive execution splits a hot key), and only pairs
     that pass the letter-count bound leave it.
     """
-    n = F.char_length("line")
-    base = lines.select("line", _id().alias("id"), n.alias("n"), letter_counts(F.col("line")).alias("letters"))
-    index = base.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
-    probe = base.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
+    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
+    probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
     probe = probe.select(F.col("p.key").alias("pkey"), "a", "letters_a", (F.col("p.less") > 0).alias("shorter"))
     meet = (F.col("pkey") == F.col("key")) & (F.col("shorter") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
     meet = meet & (letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold)
     pairs = saved(probe.join(index, meet).select("a", "b").distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    some = lines.select("line", "first", _id().alias("id")).join(small(needed, BROADCAST_ROWS), F.col("id") == F.col("need")).drop("need")
+    some = lines.select("line", "first", "id").join(small(needed, BROADCAST_ROWS), F.col("id") == F.col("need")).drop("need")
     left = some.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     right = some.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -158,10 +181,10 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Two narrow tables: ``line_id, line_check, first`` of every distinct line that occurs at two places or has a link, with
-    ``near`` (an earlier line is within ``threshold`` edits) and ``links`` (number of different lines within them)."""
-    found = saved(_occurrences(docs, key, text, min_chars).groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("times")))
-    links = edit_links(found.select("line", "first"), threshold)
+    """The distinct lines, and ``line, links, near`` of those with a link: how many different lines are within
+    ``threshold`` edits, and whether one of them occurs earlier."""
+    found = distinct_lines(docs, key, text, min_chars)
+    links = edit_links(found, threshold)
     ends = links.select(F.explode(F.array(
         F.struct(F.col("line_a").alias("line"), (F.col("first_b") < F.col("first_a")).alias("earlier")),
         F.struct(F.col("line_b").alias("line"), (F.col("first_a") < F.col("first_b")).alias("earlier")))).alias("e")).select("e.*")

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import fingerprints, licences, lines, mixing, packing, quality, simhash, substrings, urls
+from quillframe.llm import fingerprints, licences, lines, mixing, packing, quality, secret_scan, simhash, substrings, urls
+from quillframe.llm.common import saved
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +77,22 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def labelled_findings(found: DataFrame) -> DataFrame:
+    """Labels of the test tables' findings by the formats that issuers publish: fixed-length hex tokens and passwords, and
+    access key ids are secrets; runs of digits, mixed words and other findings are not."""
+    hex40, hex18 = F.col("candidate").rlike("^[0-9a-f]{40}$"), F.col("candidate").rlike("^[0-9a-f]{18}$")
+    issued = F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$")
+    return found.withColumn("label", (((hex40 | hex18) & (F.col("assigned") > 0)) | issued).cast("int"))
+
+
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text", "source")
+    found = secret_scan.candidates(docs, secret_scan.fit_text_model(docs), path="source")
+    found = saved(found)
+    out = secret_scan.judge(found, secret_scan.fit_forest(labelled_findings(found)))
+    return out.select("doc_id", "start", F.col("length_chars").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret")
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = lines.dedup_lines(_read(spark, folder, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "repeats", "nears", "links", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -99,7 +116,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_mix_sources": op3_mix_sources,
-    "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op6_secret_scan": op6_secret_scan,
+    "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules,
     "op9_licence_scan": op9_licence_scan, "op10_simhash": op10_simhash,
 }
 ORACLE_SQL = {"op2_url_filter": OP2_SQL}
