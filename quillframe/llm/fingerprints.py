@@ -82,7 +82,8 @@ def signature(hashes: np.ndarray, tries: np.ndarray, bins: int = BINS, bits: int
         values[empty[hit]] = values[source[hit]]
         empty = empty[~hit]
         attempt += 1
-    low = (_mix(values) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    # the bin takes part, so that two values that agree by chance do so in single bins only
+    low = (_mix(values ^ _mix(np.arange(bins, dtype=np.uint64) + np.uint64(1))) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     planes = (low[:, None] >> np.arange(bits, dtype=np.uint8)) & 1
     return np.packbits(planes.reshape(-1)).tobytes()
 
@@ -138,7 +139,7 @@ def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks: i
     d = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), text_bytes(text).alias("_raw"))
     share = [i / blocks for i in range(1, blocks)]
     cuts = sorted(set(d.select(F.percentile_approx(F.col("_id"), share, 1000).alias("q")).first()["q"] or [])) if share else []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [float("-inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
     # rounding to double keeps the order, and equal ids stay together
     known = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep")
     placed = known.transform(d.withColumn("_x", F.col("_id").cast("double")))
