@@ -1,8 +1,8 @@
 """One-permutation MinHash fingerprints of documents.
 
 Every shingle is hashed once. The high bits choose one of ``BINS`` bins, and a bin keeps
-its least hash. Empty bins are filled by optimal densification: bin i tries bins drawn by
-a hash of (i, attempt) until one is filled, the same tries for every document. Only the
+its least hash. Empty bins are filled by optimal densification: each bin tries the others in
+an order of its own until one is filled, the same order for every document. Only the
 low ``BITS`` bits of each bin are stored. Two fingerprints agree in a bin with
 probability J + (1 - J) / 2^BITS, so the share of agreeing bins is corrected for that.
 """
@@ -50,17 +50,22 @@ def shingle_hashes(raw: bytes, known: dict, width: int = WIDTH) -> np.ndarray:
         n, width = min(len(h), 1), len(h)
     acc = np.full(n, width, np.uint64)
     for i in range(width):
-        acc = _mix(acc * np.uint64(_PAIR) + h[i:i + n])
-    return acc
+        acc *= np.uint64(_PAIR)
+        acc += h[i:i + n]
+    return _mix(acc)
 
 
-def _tries(bins: int, most: int = 64) -> np.ndarray:
-    """Bins tried by each bin, by attempt."""
-    i = np.arange(bins, dtype=np.uint64) * np.uint64(most) + np.arange(most, dtype=np.uint64)[:, None]
-    return (_mix(i + np.uint64(1)) % np.uint64(bins)).astype(np.int64)
+def try_order(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which each bin tries the others, a permutation drawn by hashing: the first tries as rows, and the
+    place of bin j in the order of bin i."""
+    i = np.arange(bins * bins, dtype=np.uint64).reshape(bins, bins)
+    order = np.argsort(_mix(i + np.uint64(1)), axis=1, kind="stable")
+    place = np.empty((bins, bins), np.int32)
+    np.put_along_axis(place, order, np.arange(bins, dtype=np.int32)[None, :], axis=1)
+    return np.ascontiguousarray(order[:, :16].T), place
 
 
-def signature(hashes: np.ndarray, tries: np.ndarray, bins: int = BINS, bits: int = BITS) -> bytes:
+def signature(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], salt: np.ndarray, bins: int = BINS, bits: int = BITS) -> bytes:
     """Packed low-order bits of all bins; no shingles: no bytes."""
     if not len(hashes):
         return b""
@@ -72,43 +77,49 @@ def signature(hashes: np.ndarray, tries: np.ndarray, bins: int = BINS, bits: int
     filled = np.zeros(bins, bool)
     values[where[first]] = ordered[first]
     filled[where[first]] = True
-    empty = np.nonzero(~filled)[0]
-    attempt = 0
-    while len(empty):
-        # beyond the table the tries go on with a shifted column, so that every bin is reached in the end
-        row = tries[attempt % len(tries)]
-        source = (row[empty] + attempt // len(tries)) % bins
-        hit = filled[source]
-        values[empty[hit]] = values[source[hit]]
-        empty = empty[~hit]
-        attempt += 1
+    if not filled.all():
+        tries, place = order
+        hit = filled[tries]
+        source = tries[hit.argmax(axis=0), np.arange(bins)]
+        late = np.nonzero(~filled & ~hit.any(axis=0))[0]
+        if len(late):  # few bins are filled, or few are left
+            own = np.nonzero(filled)[0]
+            source[late] = own[place[late[:, None], own].argmin(axis=1)]
+        values = np.where(filled, values, values[source])
     # the bin takes part, so that two values that agree by chance do so in single bins only
-    low = (_mix(values ^ _mix(np.arange(bins, dtype=np.uint64) + np.uint64(1))) & np.uint64((1 << bits) - 1)).astype(np.uint8)
-    planes = (low[:, None] >> np.arange(bits, dtype=np.uint8)) & 1
-    return np.packbits(planes.reshape(-1)).tobytes()
+    low = (_mix(values ^ salt) & np.uint64((1 << bits) - 1)).astype(np.uint8).reshape(-1, 8 // bits)
+    packed = low[:, 0]
+    for k in range(1, 8 // bits):
+        packed = (packed << np.uint8(bits)) | low[:, k]
+    return packed.tobytes()
 
 
 def likeness(a: bytes, b: bytes, bins: int = BINS, bits: int = BITS) -> float:
     """Estimated Jaccard similarity, corrected for chance agreement; two empty texts are alike, one empty text is like none."""
     if not a or not b:
         return float(a == b)
-    differ = np.unpackbits(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8))[:bins * bits].reshape(bins, bits)
-    same = 1.0 - differ.any(axis=1).mean()
+    x = np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)
+    mask = (1 << bits) - 1
+    differ = sum(np.count_nonzero(x & np.uint8(mask << at)) for at in range(0, 8, bits))
     chance = 2.0 ** -bits
-    return float(min(1.0, max(0.0, (same - chance) / (1.0 - chance))))
+    return float(min(1.0, max(0.0, (1.0 - differ / bins - chance) / (1.0 - chance))))
+
+
+def bin_salt(bins: int) -> np.ndarray:
+    return _mix(np.arange(bins, dtype=np.uint64) + np.uint64(1))
 
 
 class Fingerprinter:
     """Fingerprints of whole texts, with the state that one task keeps."""
 
     def __init__(self, width: int = WIDTH, bins: int = BINS, bits: int = BITS):
-        if bins & (bins - 1):
-            raise ValueError("bins must be a power of two")
+        if bins & (bins - 1) or bits not in (1, 2, 4, 8) or bins < 8:
+            raise ValueError("bins must be a power of two from 8 on, bits 1, 2, 4 or 8")
         self.width, self.bins, self.bits = width, bins, bits
-        self.known, self.tries = _WordHashes(), _tries(bins)
+        self.known, self.order, self.salt = _WordHashes(), try_order(bins), bin_salt(bins)
 
     def __call__(self, raw: bytes) -> bytes:
-        return signature(shingle_hashes(raw, self.known, self.width), self.tries, self.bins, self.bits)
+        return signature(shingle_hashes(raw, self.known, self.width), self.order, self.salt, self.bins, self.bits)
 
     def likeness(self, a: bytes, b: bytes) -> float:
         return likeness(a, b, self.bins, self.bits)
