@@ -156,13 +156,19 @@ class Indexed:
         return self.df.drop("_idx")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; what has no hash (maps) is hashed as JSON."""
+    return F.xxhash64(*[F.to_json(col(f.name)) if "map<" in f.dataType.simpleString() else col(f.name) for f in df.schema])
+
+
 def index_rows(df: DataFrame, order_by, partition_by: str | Sequence[str] | None = None) -> Indexed:
     """Give each row its 0-based position in (partition_by, order_by).
 
-    Order columns should identify a row; rows that tie may swap places.
+    Rows that tie are ordered by a hash of the row, so that they spread over partitions
+    and keep their places in a rerun; only identical rows may swap.
     """
     keys = resolve_all(df, _names(partition_by))
-    spec = [col(k).asc_nulls_first() for k in keys] + _order(order_by)
+    spec = [col(k).asc_nulls_first() for k in keys] + _order(order_by) + [row_hash(df)]
     laid = (df.repartitionByRange(*spec).sortWithinPartitions(*spec)
             .withColumn("_m", F.monotonically_increasing_id()))
     saved = reliable_checkpoint(laid)
@@ -180,9 +186,3 @@ def index_rows(df: DataFrame, order_by, partition_by: str | Sequence[str] | None
 
 def running(df: DataFrame, order_by, partition_by=None, **specs) -> DataFrame:
     return index_rows(df, order_by, partition_by).running(**specs).result()
-
-
-def top_per_key(df: DataFrame, keys: Sequence[str], order_by, n: Column | int) -> DataFrame:
-    """First n rows of every key, also when one key holds most rows."""
-    return (index_rows(df, order_by, keys).key_position().df
-            .where(F.col("_pos") < n).drop("_pos", "_idx"))

@@ -1,9 +1,9 @@
-"""Exact quantiles with linear interpolation.
+"""Exact quantiles with linear interpolation, by one method at every size.
 
-The built-in ``percentile`` keeps every distinct value in one state, so it is used
-only up to ``DIRECT_ROWS`` rows. Beyond that a mergeable sketch brackets each
-quantile, the bracket is narrowed once more, and the exact order statistics come
-from the few values left inside: every pass is a map-side combined aggregation.
+The built-in ``percentile`` keeps every distinct value in one state. Here a mergeable
+sketch brackets each quantile, the bracket is narrowed once more, and the exact order
+statistics come from the few values left inside: every pass is a map-side combined
+aggregation.
 """
 
 from __future__ import annotations
@@ -15,45 +15,23 @@ from pyspark.sql import functions as F
 
 from quillframe.columns import col, num
 
-DIRECT_ROWS = 2_000_000
 _ACCURACY = 10_000
 _GRID = 1_000
 
 
-def is_small(df: DataFrame, limit: int) -> bool:
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
-              direct_rows: int | None = None) -> DataFrame:
-    """(by..., column, q0, q1, ...): one row per group and column."""
-    limit = DIRECT_ROWS if direct_rows is None else direct_rows
-    qs = [float(q) for q in qs]
-    if is_small(df, limit):
-        return _direct(df, cols, qs, by)
-    return _bracketed(df, cols, qs, by)
-
-
 def fit_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float]]:
     """Global quantiles as numbers; columns without values are missing from the result."""
     rows = quantiles(df, cols, qs).collect()  # one row per column
     return {r["column"]: [r[f"q{i}"] for i in range(len(qs))] for r in rows if r["q0"] is not None}
 
 
-def _direct(df, cols, qs, by):
-    out = df.groupBy(*[col(k) for k in by]).agg(
-        *[F.percentile(num(c), F.lit(qs)).alias(f"_p{i}") for i, c in enumerate(cols)])
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"_p{i}")[k].alias(f"q{k}") for k in range(len(qs))])
-            for i, c in enumerate(cols)]
-    return out.select(*[col(k) for k in by], F.inline(F.array(*rows)))
-
-
-def _bracketed(df, cols, qs, by):
+def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, q0, q1, ...): one row per group and column; null quantiles where there is no value."""
+    qs = [float(q) for q in qs]
     keys = [f"_k{i}" for i in range(len(by))]
     group = [*keys, "column"]
     long = df.select(*[col(k).alias(a) for k, a in zip(by, keys)],
                      F.inline(F.array(*[F.struct(F.lit(c).alias("column"), num(c).alias("_x")) for c in cols])))
-    long = long.where(F.col("_x").isNotNull())
     edge = 3 / _ACCURACY
     probs = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-edge, edge)})
     sketch = long.groupBy(*group).agg(
@@ -102,5 +80,8 @@ def _bracketed(df, cols, qs, by):
     value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
     wide = picked.groupBy(*group).agg(
         *[F.max(F.when(F.col("_q") == k, value)).alias(f"q{k}") for k in range(len(qs))])
+    # groups and columns without a value have null quantiles
+    none = sketch.where("_n = 0").select(*group, *[F.lit(None).cast("double").alias(f"q{k}") for k in range(len(qs))])
+    wide = wide.unionByName(none)
     return wide.select(*[F.col(a).alias(k) for k, a in zip(by, keys)], "column",
                        *[f"q{k}" for k in range(len(qs))])

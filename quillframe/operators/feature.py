@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import combinations
 from statistics import NormalDist
 
@@ -24,7 +25,7 @@ from quillframe.functions.levels import attach, level_stats
 from quillframe.functions.ordered import index_rows
 from quillframe.functions.power import best_lambda, box_cox, yeo_johnson
 from quillframe.functions.profile import fit, nulls, r, safe_corr, skew_g1
-from quillframe.functions.quantile import DIRECT_ROWS, fit_quantiles, is_small
+from quillframe.functions.quantile import fit_quantiles
 from quillframe.functions.ranks import with_rank
 from quillframe.functions.scale import clip_columns, moments, quantile_bounds, shift_scale
 from quillframe.functions.tokens import spaced
@@ -147,12 +148,16 @@ def power_transform(df: DataFrame, column: str | None = None, method: str = "yeo
     return df.withColumns({c: F.when(complete(cols), (y - F.lit(m)) / F.lit(s)).otherwise(num(c)) for c, (y, m, s) in fits.items()})
 
 
-def knots(df: DataFrame, name: str, n: int) -> list[float]:
-    """n evenly spaced quantiles: exact on small input, by sketch beyond it."""
+def knots(df: DataFrame, name: str, n: int, accuracy: int) -> list[float]:
+    """n evenly spaced quantiles by a sketch whose rank error is at most rows / ``accuracy``."""
     grid = [i / (n - 1) for i in range(n)]
-    some = df.where(num(name).isNotNull())
-    fn = F.percentile(num(name), F.lit(grid)) if is_small(some, DIRECT_ROWS) else F.percentile_approx(num(name), F.lit(grid), 100_000)
-    return list(some.agg(fn.alias("q")).first()["q"])
+    return list(df.agg(F.percentile_approx(num(name), F.lit(grid), F.lit(accuracy)).alias("q")).first()["q"])
+
+
+@lru_cache(maxsize=1)
+def _normal_table() -> tuple[np.ndarray, np.ndarray]:
+    z = np.linspace(-5.25, 5.25, 42_001)
+    return np.array([NormalDist().cdf(v) for v in z]), z
 
 
 def quantile_share(q: np.ndarray, normal: bool):
@@ -163,23 +168,22 @@ def quantile_share(q: np.ndarray, normal: bool):
     def share(x: pd.Series) -> pd.Series:
         u = (np.interp(x, q, p) - np.interp(-x, -q[::-1], -p[::-1])) / 2
         if normal:
-            inv = NormalDist().inv_cdf
-            u = np.array([inv(min(max(v, 1e-7), 1 - 1e-7)) if v == v else np.nan for v in u])
+            u = np.interp(np.clip(u, 1e-7, 1 - 1e-7), *_normal_table())
         return pd.Series(u, index=x.index).where(x.notna())
 
     return share
 
 
 @operator("feature.quantile_transform")
-def quantile_transform(df: DataFrame, column: str | None = None, distribution: str = "normal", n_quantiles: int = 1000) -> DataFrame:
-    """Empirical quantile of a value (ties get the middle), mapped to uniform or normal."""
+def quantile_transform(df: DataFrame, column: str | None = None, distribution: str = "normal", n_quantiles: int = 1000, accuracy: int = 100_000) -> DataFrame:
+    """Empirical quantile of a value (ties get the middle), mapped to uniform or normal; knots have rank error rows / ``accuracy``."""
     cols = pick_many(df, column)
     new = {}
     for c in cols:
         n = min(n_quantiles, df.where(num(c).isNotNull()).limit(n_quantiles).count())
         if n < 2:
             raise ValueError(f"column {c!r} has fewer than two values")
-        new[c] = quantile_share(np.array(knots(df, c, n)), distribution == "normal")(num(c))
+        new[c] = quantile_share(np.array(knots(df, c, n, accuracy)), distribution == "normal")(num(c))
     return df.withColumns(new)
 
 
@@ -357,29 +361,29 @@ def feature_cross(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.withColumn(f"{a}_x_{b}", F.concat(col(a).cast("string"), F.lit("_x_"), col(b).cast("string")))
 
 
-def chosen(df: DataFrame, columns, n: int) -> list[str]:
-    return resolve_all(df, columns) if columns else pick_many(df, None)[:n]
+def chosen(df: DataFrame, columns) -> list[str]:
+    return resolve_all(df, columns) if columns else pick_many(df, None)
 
 
 @operator("feature.interaction_features")
 def interaction_features(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.withColumns({f"{a}_x_{b}": num(a) * num(b) for a, b in combinations(chosen(df, columns, 4), 2)})
+    return df.withColumns({f"{a}_x_{b}": num(a) * num(b) for a, b in combinations(chosen(df, columns), 2)})
 
 
 @operator("feature.polynomial_features")
 def polynomial_features(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return interaction_features(df, chosen(df, columns, 3))
+    return interaction_features(df, chosen(df, columns))
 
 
 @operator("feature.ratio_features")
 def ratio_features(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.withColumns({f"{a}_per_{b}": r(num(a) / F.when(num(b) != 0, num(b))) for a, b in combinations(chosen(df, columns, 4), 2)})
+    return df.withColumns({f"{a}_per_{b}": r(num(a) / F.when(num(b) != 0, num(b))) for a, b in combinations(chosen(df, columns), 2)})
 
 
 @operator("feature.aggregation_features")
 def aggregation_features(df: DataFrame, column: str | None = None, agg_column: str | None = None) -> DataFrame:
     g = pick(df, column, "text")
-    cols = [resolve(df, agg_column)] if agg_column else [c for c in numeric_cols(df) if c != g][:3]
+    cols = [resolve(df, agg_column)] if agg_column else [c for c in numeric_cols(df) if c != g]
     aggs = {}
     for c in cols:
         aggs |= {f"{c}_mean_by_{g}": r(F.avg(num(c))), f"{c}_std_by_{g}": r(F.stddev_samp(num(c))), f"{c}_count_by_{g}": F.count(num(c))}
@@ -401,8 +405,8 @@ def is_zero_features(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def ordered_columns(df: DataFrame, column, n: int = 3) -> list[str]:
-    return [resolve(df, column)] if column else pick_many(df, None)[:n]
+def ordered_columns(df: DataFrame, column) -> list[str]:
+    return [resolve(df, column)] if column else pick_many(df, None)
 
 
 @operator("feature.lag_features")
@@ -605,7 +609,7 @@ def time_since(df: DataFrame, column: str | None = None, reference: str | None =
 
 
 @operator("feature.string_length_features")
-def string_length_features(df: DataFrame, column: str | None = None, max_columns: int = 5) -> DataFrame:
+def string_length_features(df: DataFrame, column: str | None = None, max_columns: int | None = None) -> DataFrame:
     new = {}
     for c in pick_many(df, column, "text")[:max_columns]:
         new |= {f"{c}_char_len": F.length(col(c)), f"{c}_word_count": F.size(spaced(col(c)))}

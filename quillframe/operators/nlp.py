@@ -924,35 +924,15 @@ def text_dedup_exact(df: DataFrame, column: str | None = None, keep: str = "firs
 
 @operator("nlp.text_summary_report")
 def text_summary_report(df: DataFrame, column: str | None = None) -> DataFrame:
-    """(category, detail) findings; every number comes from all rows."""
+    """Typed rows (metric, value) about one text column; every number comes from all rows."""
     c = first_text(df, column)
     s = text(c)
-    script = F.when(s.rlike(r"[\x{0E00}-\x{0E7F}]"), "Thai").when(s.rlike(r"[\x{4E00}-\x{9FFF}]"), "Chinese").when(
-        s.rlike(r"[\x{3040}-\x{30FF}]"), "Japanese").otherwise("Latin")
     n_words = F.size(spaced(s))
-    f = fit(df, n=F.count(F.lit(1)), empty=F.count_if(strip(s) == ""), total=F.sum(n_words), mean=F.avg(n_words), lo=F.min(n_words),
-            hi=F.max(n_words), short=F.count_if(n_words < 5),
-            **{k: F.count_if(script == k) for k in ("Thai", "Chinese", "Japanese", "Latin")})
-    v = word_counts(df, c).agg(F.count(F.lit(1)).alias("u"), F.coalesce(F.sum("count"), F.lit(0)).alias("t")).first()
-    distinct = df.select(F.sha2(strip(F.lower(s)), 256).alias("h")).distinct().count()
-    dups, n = f["n"] - distinct, max(f["n"], 1)
-    rows = [("Size", f"{f['n']} documents, {f['total'] or 0:,} total words"),
-            ("Length", f"avg {f['mean'] or 0:.0f} words/doc, range [{f['lo']}-{f['hi']}]")]
-    if f["empty"]:
-        rows.append(("Quality", f"{f['empty']} empty rows ({f['empty'] / n * 100:.1f}%)"))
-    rows.append(("Vocabulary", f"{v['u']:,} unique words, TTR={v['u'] / max(v['t'], 1):.4f}"))
-    if dups:
-        rows.append(("Quality", f"{dups} exact duplicates ({dups / n * 100:.1f}%)"))
-    found = sorted(((f[k], k) for k in ("Thai", "Chinese", "Japanese", "Latin") if f[k]), reverse=True)
-    rows.append(("Language", ", ".join(f"{k}: {m}" for m, k in found)))
-    if f["short"]:
-        rows.append(("Quality", f"{f['short']} very short texts (<5 words)"))
-    if f["empty"]:
-        rows.append(("Recommendation", f"Remove {f['empty']} empty rows with nlp.text_filter"))
-    if dups:
-        rows.append(("Recommendation", f"Remove {dups} duplicates with nlp.text_dedup_exact"))
-    if (f["hi"] or 0) > 500:
-        rows.append(("Recommendation", f"Consider nlp.text_chunk for long documents (max={f['hi']} words)"))
-    if v["u"] > 10000:
-        rows.append(("Recommendation", "Large vocabulary: consider nlp.text_normalize or nlp.remove_stopwords"))
-    return df.sparkSession.createDataFrame(rows, "category string, detail string")
+    scripts = {"thai": r"[\x{0E00}-\x{0E7F}]", "han": r"[\x{4E00}-\x{9FFF}]", "kana": r"[\x{3040}-\x{30FF}]"}
+    shape = df.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(n_words), F.lit(0)).alias("words"), F.avg(n_words).alias("words_mean"),
+                   F.min(n_words).alias("words_min"), F.max(n_words).alias("words_max"), F.count_if(strip(s) == "").alias("empty"),
+                   F.count_if(n_words < 5).alias("under_five_words"), *[F.count_if(s.rlike(p)).alias(f"with_{k}") for k, p in scripts.items()])
+    vocabulary = word_counts(df, c).agg(F.count(F.lit(1)).alias("distinct_tokens"), F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"))
+    kept = df.select(F.sha2(strip(F.lower(s)), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicates"))
+    wide = shape.crossJoin(vocabulary).crossJoin(kept)  # one row each
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(F.col(k).cast("double"), 4).alias("value")) for k in wide.columns])))

@@ -439,7 +439,7 @@ def covariance(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 
 @operator("stats.pairwise_stats")
-def pairwise_stats(df: DataFrame, max_columns: int = 10) -> DataFrame:
+def pairwise_stats(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     cols = pick_many(df, None)[:max_columns]
     corr = correlations(df, cols)
     p = profile(df, cols, {"mean": F.avg, "std": F.stddev_samp}, numeric=True).drop("n")
@@ -453,7 +453,7 @@ def pairwise_stats(df: DataFrame, max_columns: int = 10) -> DataFrame:
 
 
 @operator("stats.ratio_report")
-def ratio_report(df: DataFrame, max_columns: int = 10) -> DataFrame:
+def ratio_report(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     cols = pick_many(df, None)[:max_columns]
     one = df.agg(*[F.avg(num(c)).alias(f"_{i}") for i, c in enumerate(cols)])
     structs = []
@@ -548,7 +548,7 @@ def chi2_test(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 @operator("stats.cramers_v")
-def cramers_v(df: DataFrame, max_levels: int = 50, max_columns: int = 10) -> DataFrame:
+def cramers_v(df: DataFrame, max_levels: int = 50, max_columns: int | None = None) -> DataFrame:
     cats = text_cols(df)
     few = fit(df, **{f"c{i}": F.count_distinct(col(c)) for i, c in enumerate(cats)}) if cats else {}
     cats = [c for i, c in enumerate(cats) if few[f"c{i}"] <= max_levels][:max_columns]

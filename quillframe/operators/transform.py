@@ -514,7 +514,7 @@ def shift_column(df: DataFrame, column: str, periods: int = 1, order_by: Sequenc
 @operator("transform.pct_change")
 def pct_change(df: DataFrame, column: str | None = None, periods: int = 1, order_by: Sequence[str] = (),
                partition_by=None) -> DataFrame:
-    cols = [resolve(df, column)] if column else pick_many(df, None)[:5]
+    cols = [resolve(df, column)] if column else pick_many(df, None)
     ix = index_rows(df, order_by, partition_by).running(lasts={f"_f{i}": num(c) for i, c in enumerate(cols)})
     ix = ix.windowed(lambda w: {f"_l{i}": F.lag(f"_f{i}", periods).over(w) for i in range(len(cols))}, before=periods)
     out = ix.result().withColumns({

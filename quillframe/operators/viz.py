@@ -162,7 +162,7 @@ def donut_chart(df: DataFrame, column: str | None = None, n: int = 6) -> DataFra
 
 
 @operator("viz.pie_subplots")
-def pie_subplots(df: DataFrame, columns: Sequence[str] | None = None, n: int = 8, max_columns: int = 4) -> DataFrame:
+def pie_subplots(df: DataFrame, columns: Sequence[str] | None = None, n: int = 8, max_columns: int | None = None) -> DataFrame:
     cols = resolve_all(df, columns) if columns else pick_many(df, None, "text")
     return reduce(DataFrame.unionByName, [counts_chart(df, c, n, False).withColumn("column", F.lit(c)) for c in cols[:max_columns]])
 
@@ -194,12 +194,12 @@ def dot_plot(df: DataFrame, column: str | None = None, value: str | None = None,
 
 
 @operator("viz.box_plot")
-def box_plot(df: DataFrame, column: str | None = None, max_columns: int = 6) -> DataFrame:
+def box_plot(df: DataFrame, column: str | None = None, max_columns: int | None = None) -> DataFrame:
     return box_stats(df, pick_many(df, column)[:max_columns])
 
 
 @operator("viz.box_comparison")
-def box_comparison(df: DataFrame, column: str | None = None, group: str | None = None, max_columns: int = 6) -> DataFrame:
+def box_comparison(df: DataFrame, column: str | None = None, group: str | None = None, max_columns: int | None = None) -> DataFrame:
     g = resolve(df, group) if group else (text_cols(df) or [None])[0]
     if g is None:
         return box_stats(df, pick_many(df, column)[:max_columns])
@@ -267,16 +267,16 @@ def histogram_2d(df: DataFrame, columns: Sequence[str] | None = None, bins: int
 
 @operator("viz.bubble_chart")
 def bubble_chart(df: DataFrame, points: int = POINTS) -> DataFrame:
-    return sampled(df, pick_many(df, None)[:3], points)
+    return sampled(df, pick_many(df, None), points)
 
 
 @operator("viz.parallel_coords")
-def parallel_coords(df: DataFrame, points: int = POINTS, max_columns: int = 6) -> DataFrame:
+def parallel_coords(df: DataFrame, points: int = POINTS, max_columns: int | None = None) -> DataFrame:
     return sampled(df, pick_many(df, None)[:max_columns], points)
 
 
 @operator("viz.pairplot")
-def pairplot(df: DataFrame, points: int = POINTS, max_columns: int = 5) -> DataFrame:
+def pairplot(df: DataFrame, points: int = POINTS, max_columns: int | None = None) -> DataFrame:
     return sampled(df, pick_many(df, None)[:max_columns], points)
 
 
@@ -463,7 +463,7 @@ def path_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 @operator("viz.icicle_chart")
 def icicle_chart(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return path_counts(df, resolve_all(df, columns) if columns else pick_many(df, None, "text")[:3])
+    return path_counts(df, resolve_all(df, columns) if columns else pick_many(df, None, "text"))
 
 
 @operator("viz.sunburst")

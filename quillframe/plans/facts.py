@@ -96,7 +96,7 @@ def task_and_targets(df: DataFrame) -> DataFrame:
         elif few:
             rows.append((c, "classification", 32 - x["unique"]))
     rows.sort(key=lambda t: -t[2])
-    return report(df, [t for t in rows if t[1] == rows[0][1]][:5], "column string, task string, score long")
+    return report(df, [t for t in rows if t[1] == rows[0][1]], "column string, task string, score long")
 
 
 def target_candidates(df: DataFrame) -> DataFrame:
@@ -117,10 +117,10 @@ def target_candidates(df: DataFrame) -> DataFrame:
         else:
             continue
         rows.append((c, score, task, "; ".join(why)))
-    return report(df, sorted(rows, key=lambda t: -t[1])[:5], "column string, score long, task_type string, reason string")
+    return report(df, sorted(rows, key=lambda t: -t[1]), "column string, score long, task_type string, reason string")
 
 
-def categorical_balance(df: DataFrame, max_columns: int = 20) -> DataFrame:
+def categorical_balance(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """Share of the most frequent value of text columns (null counts as a value)."""
     cols = text_cols(df)[:max_columns]
     filled = df.select(*[F.coalesce(col(c), F.lit("(null)")).alias(c) for c in cols])
@@ -134,14 +134,14 @@ def high_cardinality(df: DataFrame, limit: int = 50) -> DataFrame:
     return p.select("column", "unique", F.round(pct(F.col("unique"), F.col("n")), 1).alias("pct_of_rows")).orderBy(F.desc("unique"), "column")
 
 
-def datetime_summary(df: DataFrame, max_columns: int = 5) -> DataFrame:
+def datetime_summary(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     p = profile(df, time_cols(df)[:max_columns], {"k": F.count, "min": lambda c: F.min(c.cast("timestamp")), "max": lambda c: F.max(c.cast("timestamp")),
                                                   "n_unique": F.count_distinct})
     days = F.floor((F.unix_micros("max") - F.unix_micros("min")) / F.lit(86_400_000_000))
     return p.where(F.col("k") > 0).select("column", "min", "max", days.alias("range_days"), "n_unique", (F.col("n_unique") == F.col("k")).alias("unique_per_row"))
 
 
-def strong_pairs(df: DataFrame, limit: float = 0.3, top: int = 15, max_columns: int = 30) -> DataFrame:
+def strong_pairs(df: DataFrame, limit: float = 0.3, top: int = 15, max_columns: int | None = None) -> DataFrame:
     nums = numeric_cols(df)[:max_columns]
     return correlations(df, nums).where(F.abs("r") > limit).select("a", "b", r(F.col("r")).alias("value")).orderBy(F.desc(F.abs("value")), "a", "b").limit(top)
 

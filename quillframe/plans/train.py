@@ -367,13 +367,13 @@ def importance_frame(df: DataFrame, model, features: Sequence[str]) -> DataFrame
 
 def train(df: DataFrame, target: str | None = None, task: str = "auto", names: Sequence[str] | None = None, folds: int = 5, tune_top: int = 3,
           clusters: int = 3, test_size: float = 0.2) -> Trained:
-    """Cross-validate up to eight algorithms, tune the best, score all on the test part, keep the winner."""
+    """Cross-validate the algorithms, tune the best, score all on the test part, keep the winner."""
     kind = detect_task(df, target, task)
     if kind == "clustering":
         return train_clusters(df, names, clusters)
     data = preprocess(df, target, kind, test_size)
     data.train.persist(), data.test.persist()
-    pool = list(names or algorithms(kind, data))[:8]
+    pool = list(names or algorithms(kind, data))
     cv = {r["algorithm"]: r for r in cross_validate(data, kind, pool, folds).collect()}  # one row per algorithm
     higher = kind == "classification"
     order = sorted(pool, key=lambda a: -cv[a]["mean"] if higher else cv[a]["mean"])

@@ -24,8 +24,12 @@ def fitted(build):
     return go
 
 
-def r6(d):
-    return d.withColumns({c: F.round(c, 6) for c in d.columns if d.schema[c].dataType.simpleString() == "double"})
+def r6(d, digits=6):
+    return d.withColumns({c: F.round(c, digits) for c in d.columns if d.schema[c].dataType.simpleString() == "double"})
+
+
+def r8(d):
+    return r6(d, 8)
 
 
 def scored(d):
@@ -72,8 +76,8 @@ Q = {
         coalesce((l_returnflag = 'A')::INT, 0) AS l_returnflag_A, coalesce((l_returnflag = 'N')::INT, 0) AS l_returnflag_N, coalesce((l_returnflag = 'R')::INT, 0) AS l_returnflag_R FROM li"""),
     "plans.encode_frequency": query(lambda t: r6(fitted(lambda d: (lambda s, tb: ([s], tb))(*P.fit_encode(d.select(*FACTS), {"l_returnflag": "frequency", "l_linestatus": "none"})))(t)), LI + """SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
         round(CASE WHEN l_returnflag IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY l_returnflag)::DOUBLE/count(l_returnflag) OVER () END, 6) AS l_returnflag FROM li"""),
-    "plans.encode_target": query(lambda t: r6(fitted(lambda d: (lambda s, tb: ([s], tb))(*P.fit_encode(d, {"l_returnflag": "target", "l_linestatus": "none"}, target="l_tax")))(t)), LI + """SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
-        round(CASE WHEN l_returnflag IS NULL THEN avg(l_tax) OVER () ELSE avg(l_tax) OVER (PARTITION BY l_returnflag) END, 6) AS l_returnflag FROM li"""),
+    "plans.encode_target": query(lambda t: r8(fitted(lambda d: (lambda s, tb: ([s], tb))(*P.fit_encode(d, {"l_returnflag": "target", "l_linestatus": "none"}, target="l_tax")))(t)), LI + """SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
+        round(CASE WHEN l_returnflag IS NULL THEN avg(l_tax) OVER () ELSE avg(l_tax) OVER (PARTITION BY l_returnflag) END, 8) AS l_returnflag FROM li"""),
     "plans.scale_features": query(lambda t: r6(fitted(lambda d: ([P.fit_scale(d, "minmax", ["l_tax"])], {}))(t)), LI + "SELECT " + ", ".join(
         f"round(({c} - (SELECT min({c}) FROM li))/(SELECT max({c}) - min({c}) FROM li), 6) AS {c}" for c in NUM[:3]) + ", l_tax, l_returnflag, l_linestatus FROM li"),
     "plans.prepare_cleaning": query(lambda t: r6(R.prepare(t.facts, mode="cleaning").train), FILLED + "SELECT DISTINCT round(l_quantity, 6) AS l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM x"),

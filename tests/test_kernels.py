@@ -45,14 +45,26 @@ def test_windows_and_totals_match_pandas_per_hot_key(series):
 
 
 @pytest.mark.parametrize("by", [[], ["k"]])
-def test_bracketed_quantiles_equal_direct_ones(series, by):
+def test_quantiles_equal_the_built_in_ones(series, by):
     df, _ = series
     qs = [0.0, 0.1, 0.5, 0.75, 1.0]
-    big = {tuple(r[: len(by) + 1]): r for r in quantiles(df, ["x", "t"], qs, by, direct_rows=0).collect()}
-    small = {tuple(r[: len(by) + 1]): r for r in quantiles(df, ["x", "t"], qs, by).collect()}
-    assert big.keys() == small.keys()
-    for key in big:
-        assert all(math.isclose(big[key][f"q{i}"], small[key][f"q{i}"], abs_tol=1e-9) for i in range(len(qs)))
+    got = {tuple(r[: len(by) + 1]): r for r in quantiles(df, ["x", "t"], qs, by).collect()}
+    for c in ("x", "t"):
+        for row in df.groupBy(*by).agg(F.percentile(F.col(c).cast("double"), F.lit(qs)).alias("p")).collect():
+            mine = got[(*row[: len(by)], c)]
+            for i in range(len(qs)):
+                want = row["p"][i] if row["p"] else None
+                assert mine[f"q{i}"] is want is None or math.isclose(mine[f"q{i}"], want, abs_tol=1e-9)
+
+
+def test_equal_order_values_spread_over_partitions(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, F.lit(1)).otherwise(F.col("id")).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        laid = index_rows(df, "x").df.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in laid) < 6_000 and sum(r["count"] for r in laid) == 20_000
 
 
 def test_ranks_with_ties_and_nulls(spark):
