@@ -66,7 +66,7 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, most: str, over: li
         return F.when(F.col("_votes") > 0, F.floor(F.col(votes) * seats_at / F.col("_votes") + 0.5)).otherwise(F.lit(0)).cast("long")
 
     sure = rounded(F.greatest(F.col(seats) - F.col("_parties"), F.lit(0)))
-    p = p.withColumn("_may", F.least(F.col(most), rounded(F.col(seats) + F.col("_parties")) + 1))
+    p = p.withColumn("_may", F.when(F.col(votes) > 0, F.least(F.col(most), rounded(F.col(seats) + F.col("_parties")) + 1)).otherwise(F.lit(0).cast("long")))
     p = p.withColumn("_sure", F.least(F.when(F.col(seats) > F.col("_parties"), sure).otherwise(F.lit(0)), F.col("_may")))
     p = p.withColumn("_left", F.col(seats) - F.sum("_sure").over(group))
     got = F.explode_outer(F.when(F.col("_may") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_may") - 1)))

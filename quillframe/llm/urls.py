@@ -51,7 +51,7 @@ def rule_of(h: Column, p: Column, rules: list[Rule]) -> Column:
         fits = ((h == name) | h.endswith("." + name)) & p.startswith("/" + prefix)
         value = F.struct(F.lit(f"{name}/{prefix}").alias("rule"), F.lit(verdict).alias("verdict"))
         out = F.when(fits, value) if out is None else out.when(fits, value)
-    return out
+    return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
 def _hashes(c: Column, blocks: Column | int) -> tuple[Column, list[Column]]:
