@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillframe.plans import facts as X, features as P, prepare as R, train as T
 from quillframe.queries.base import LI, NUM, TXT, query
 from quillframe.queries.feature import LABELLED
+from quillframe.queries.stats import KIND
 from quillframe.registry import run
 from quillframe.sources.io import read_parquet
 
@@ -24,6 +25,14 @@ def fitted(build):
     return go
 
 
+def named(c: str) -> bool:
+    return any(w in c for w in X.TARGET_WORDS)
+
+
+def why(c: str) -> str:
+    return "'" + ("last column; " if c == FACTS[-1] else "") + ("name suggests target; " if named(c) else "") + "'"
+
+
 def r6(d, digits=6):
     return d.withColumns({c: F.round(c, digits) for c in d.columns if d.schema[c].dataType.simpleString() == "double"})
 
@@ -96,7 +105,11 @@ Q = {
     "plans.eda_overview": query(lambda t: X.eda_numbers(t.facts)["overview"], LI + ", s AS (SELECT count(*)::DOUBLE n, sum((l_quantity IS NULL)::INT + (l_returnflag IS NULL)::INT)::DOUBLE m FROM li) " + " UNION ALL ".join(
         f"SELECT '{k}' AS metric, ({e})::DOUBLE AS value FROM s" for k, e in {"rows": "n", "columns": "6", "missing_cells": "m", "completeness_pct": "round(100 - m/(n*6)*100, 1)",
         "duplicates": f"n - (SELECT count(*) FROM (SELECT DISTINCT {COLS} FROM li))", "numeric": "4", "categorical": "2"}.items())),
-    "plans.target_candidates": query(lambda t: X.target_candidates(t.facts)),
+    "plans.target_candidates": query(lambda t: X.target_candidates(t.facts), LI + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", ({30 if c == 'l_linestatus' else 0} + {40 if named(c) else 0} + """ + (
+            f"""CASE WHEN count(DISTINCT {c}) <= 10 THEN 15 ELSE 10 END)::BIGINT AS score, CASE WHEN count(DISTINCT {c}) <= 10 THEN 'classification' ELSE 'regression' END AS task_type,
+            {why(c)} || CASE WHEN count(DISTINCT {c}) <= 10 THEN count(DISTINCT {c}) || ' discrete values' ELSE 'continuous numeric' END AS reason FROM li""" if c in NUM else
+            f"""25)::BIGINT, 'classification', {why(c)} || count(DISTINCT {c}) || ' categories' FROM li HAVING count(DISTINCT {c}) BETWEEN 2 AND 20""") for c in FACTS)),
     "plans.categorical_balance": query(lambda t: X.categorical_balance(t.facts), LI + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) AS n_classes, max_by(v, k) AS dominant_value, round(max(k)*100.0/sum(k), 1)::DOUBLE AS dominant_pct, max(k)*100.0/sum(k) > 80 AS imbalanced FROM (SELECT coalesce({c}, '(null)') v, count(*) k FROM li GROUP BY 1)" for c in TXT)),
     "plans.ml_readiness": query(lambda t: X.ml_readiness(t.facts), LI + """, s AS (SELECT count(*)::DOUBLE n, round(100 - sum((l_quantity IS NULL)::INT + (l_returnflag IS NULL)::INT)::DOUBLE/(count(*)*6)*100, 1) c, (max(l_extendedprice) - min(l_extendedprice))/least(max(l_tax) - min(l_tax), max(l_discount) - min(l_discount)) w FROM li)
@@ -106,8 +119,18 @@ Q = {
         count(DISTINCT ts) = count(ts) AS unique_per_row FROM events"""),
     "plans.high_cardinality": query(lambda t: X.high_cardinality(t.customer), """SELECT 'c_name' AS "column", count(DISTINCT c_name) AS "unique", round(count(DISTINCT c_name)*100.0/count(*), 1)::DOUBLE AS pct_of_rows FROM customer"""),
     "plans.eda_report": query(lambda t: X.eda_report(t.facts)["dtypes"], "SELECT 'double' AS dtype, 4::BIGINT AS columns UNION ALL SELECT 'string', 2"),
-    "plans.column_suggestions": query(lambda t: X.column_suggestions(t.facts)),
-    "plans.task_and_targets": query(lambda t: X.task_and_targets(t.facts)),
+    "plans.column_suggestions": query(lambda t: X.column_suggestions(t.facts), LI + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{KIND[c]}' AS dtype, """ + ("'numeric'" if c in NUM else f"CASE WHEN avg(length({c})) > 40 AND count(DISTINCT {c}) > 30 THEN 'text' ELSE 'categorical' END")
+        + f""" AS role, round((count(*) - count({c}))*100.0/count(*), 1)::DOUBLE AS null_pct, count(DISTINCT {c}) AS n_unique, CASE WHEN count({c}) = count(*) THEN 'none'
+            WHEN count({c}) < 0.4*count(*) THEN 'drop' ELSE """ + (f"CASE WHEN abs(avg(({c} - m)**3)/max(s)**3) > 1 THEN 'median' ELSE 'mean' END" if c in NUM else "'mode'")
+        + " END AS null_strategy, " + ("NULL::VARCHAR" if c in NUM else f"CASE WHEN count(DISTINCT {c}) = 2 THEN 'label' WHEN count(DISTINCT {c}) BETWEEN 3 AND 50 THEN 'ordinal' WHEN count(DISTINCT {c}) > 50 THEN 'frequency' END")
+        + f" AS encoding, CASE WHEN count(DISTINCT {c}) <= 1 THEN 'constant: drop' WHEN count({c}) < 0.4*count(*) THEN 'high null share' ELSE '' END AS note FROM li"
+        + (f", (SELECT avg({c}) m, stddev_pop({c}) s FROM li)" if c in NUM else "") for c in FACTS)),
+    "plans.task_and_targets": query(lambda t: X.task_and_targets(t.facts), LI + ", t AS (" + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN count(DISTINCT {c}) BETWEEN 2 AND 20 THEN 'classification' ELSE 'regression' END AS task,
+        (CASE WHEN count(DISTINCT {c}) BETWEEN 2 AND 20 THEN {30 if c in NUM else 32} - count(DISTINCT {c}) ELSE 5 END)::BIGINT AS score FROM li
+        HAVING count(DISTINCT {c}) > 1 AND count({c}) >= 0.2*count(*)""" + ("" if c in NUM else f" AND count(DISTINCT {c}) <= 20") for c in FACTS)
+        + ") SELECT * FROM t WHERE task = (SELECT max_by(task, score) FROM t)"),
     "plans.derive": query(lambda t: r6(P.Fitted([P.fit_derive(t.measures, {"r": {"kind": "ratio", "columns": ["l_quantity", "l_tax"]}, "x": {"kind": "interaction", "columns": ["l_quantity", "l_tax"]}, "g": {"kind": "log", "columns": ["l_extendedprice"]}})]).transform(t.measures)),
         LI + "SELECT l_quantity, l_extendedprice, l_discount, l_tax, round(l_quantity/nullif(l_tax, 0), 6) AS r, round(l_quantity*l_tax, 6) AS x, round(ln(1 + l_extendedprice), 6) AS g FROM li"),
     "plans.zscore_remove": query(lambda t: P.Fitted([P.fit_outliers(t.series, {"value": "zscore_remove"})]).transform(t.series.select("event_id", "value")),
