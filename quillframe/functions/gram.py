@@ -1,10 +1,11 @@
-"""Least squares from one aggregation: sums of products in Spark, a k x k solve on the driver."""
+"""Least squares from sums of products: one matrix per task, added up in Spark, and a k x k solve on the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,26 +15,23 @@ def moment_matrix(df: DataFrame, columns: Sequence[Column], intercept: bool = Tr
     """Sums of products of all columns over rows where none is null."""
     k = len(columns)
     rows = df.select(*[c.cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).na.drop()
-    if centre is not None:
-        rows = rows.select(*[(F.col(f"_{i}") - F.lit(float(centre[i]))).alias(f"_{i}") for i in range(k)])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(f"_{i}").alias(f"s{i}") for i in range(k)]
-    one = rows.agg(*aggs).first()
-    n = one["n"]
-    size = k + int(intercept)
-    out = np.zeros((size, size))
-    if n == 0:
-        return out, 0
-    o = int(intercept)
-    if intercept:
-        out[0, 0] = n
-        for i in range(k):
-            out[0, o + i] = out[o + i, 0] = one[f"s{i}"]
-    for i in range(k):
-        for j in range(i, k):
-            out[o + i, o + j] = out[o + j, o + i] = one[f"p{i}_{j}"]
-    return out, n
+    shift = np.zeros(k) if centre is None else np.asarray(centre, float)
+    schema = pa.schema([("cell", pa.int32()), ("value", pa.float64())])
+
+    def products(batches):
+        """One matrix per task: sums of products of (1, columns)."""
+        total = np.zeros((k + 1, k + 1))
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(i).to_numpy(zero_copy_only=False) - shift[i] for i in range(k)]])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], schema=schema)
+
+    cells = rows.mapInArrow(products, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # (k + 1)^2 rows
+    out = np.zeros((k + 1) ** 2)
+    for r in cells:
+        out[r["cell"]] = r["value"]
+    out = out.reshape(k + 1, k + 1)
+    return (out if intercept else out[1:, 1:]), int(round(out[0, 0]))
 
 
 def solve(gram: np.ndarray, features: Sequence[int], target: int) -> tuple[np.ndarray, float]:
