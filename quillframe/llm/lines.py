@@ -18,7 +18,7 @@ from quillframe.llm.common import bound, saved, small
 THRESHOLD = 2  # edits (insert, delete, replace) at most
 MIN_CHARS = 20  # shorter lines are neither compared nor removed
 BROADCAST_ROWS = 200_000  # counted rows of narrow tables that may be broadcast; beyond it Spark shuffles
-_LETTERS = "eanotihr"  # counted by the bound, six bits each
+_LETTERS = "eanotihrsd"  # counted by the bound, six bits each
 
 
 def segment_spans(n: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -36,40 +36,34 @@ def index_keys(line: Column, n: Column, threshold: int) -> Column:
     return F.array(*[_key(n, i, line.substr(s + 1, size)) for i, (s, size) in enumerate(segment_spans(n, threshold))])
 
 
-def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line ``less`` characters shorter.
+def probe_rows(lines: DataFrame, threshold: int) -> DataFrame:
+    """Rows ``key, less`` of every line: the substrings that can equal a segment of a line ``less`` characters shorter.
 
     If segment i (from 0) is the first that is unchanged in place, at most i edits lie to
     its left and ``threshold - i`` to its right; so its place shifts by -i .. i seen from
-    the left end, and by the same rule seen from the right end.
+    the left end, and by the same rule seen from the right end. The substrings of one
+    segment number lie close together and are cut from one short piece of the line.
     """
-    spans = [segment_spans(n - less, threshold) for less in range(threshold + 1)]
-
-    def of_segment(i: int) -> Column:
-        # what the substrings of one segment number are cut from
-        begin = F.greatest(spans[threshold][i][0] - threshold, F.lit(0))
-        end = F.least(spans[0][i][0] + spans[0][i][1] + threshold, n)
-
-        def keys(near: Column) -> Column:
-            out = []
-            for less in range(threshold + 1):
-                start, size = spans[less][i]
-                low = max(-i, less - (threshold - i))
-                high = min(i, less + (threshold - i))
-                for shift in range(low, high + 1):
-                    at = start + shift
-                    inside = (at >= 0) & (at + size <= n) & (n > less)
-                    part = near.substr((at - begin + 1).cast("int"), size)
-                    out.append(F.when(inside, F.struct(_key(n - less, i, part).alias("key"), F.lit(less).alias("less"))))
-            return F.array(*out)
-
-        return bound(line.substr(begin + 1, end - begin), keys)
-
-    return F.array_compact(F.concat(*[of_segment(i) for i in range(threshold + 1)]))
+    n, parts = F.col("n"), range(threshold + 1)
+    spans = [segment_spans(n - less, threshold) for less in parts]
+    begins = {f"_b{i}": F.greatest(spans[threshold][i][0] - threshold, F.lit(0)) for i in parts}
+    ends = [F.least(spans[0][i][0] + spans[0][i][1] + threshold, n) for i in parts]
+    pieces = {f"_p{i}": F.col("line").substr(F.col(f"_b{i}") + 1, ends[i] - F.col(f"_b{i}")) for i in parts}
+    keys = []
+    for i in parts:
+        for less in parts:
+            start, size = spans[less][i]
+            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
+                at = start + shift
+                inside = (at >= 0) & (at + size <= n) & (n > less)
+                part = F.col(f"_p{i}").substr((at - F.col(f"_b{i}") + 1).cast("int"), size)
+                keys.append(F.when(inside, F.struct(_key(n - less, i, part).alias("key"), F.lit(less).alias("less"))))
+    cut = lines.withColumns(begins).withColumns(pieces)
+    return cut.select("id", "letters", F.explode(F.array(*keys)).alias("p")).where("p is not null").select("id", "letters", "p.*")
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of eight frequent letters modulo 64, six bits each."""
+    """Counts of ten frequent letters modulo 64, six bits each."""
     n = F.char_length(line)
     out = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
@@ -87,6 +81,19 @@ def letters_apart(a: Column, b: Column) -> Column:
     return out
 
 
+def _without_common_head(pair: Column) -> Column:
+    """Both strings (fields ``a`` and ``b``, reversed on the way out) without the 16-character pieces that they begin with alike."""
+    pieces = F.zip_with(*[F.regexp_extract_all(pair[s], F.lit("(?s).{1,16}"), F.lit(0)) for s in "ab"], lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(pieces, False)
+    same = F.when(first > 0, 16 * (first - 1)).otherwise(F.least(F.char_length(pair["a"]), F.char_length(pair["b"]))).cast("int")
+    return bound(same, lambda n: F.struct(*[F.reverse(pair[s].substr(n + 1, F.char_length(pair[s]))).alias(s) for s in "ab"]))
+
+
+def without_common_ends(a: Column, b: Column) -> Column:
+    """The two strings, as fields ``a`` and ``b``, without common pieces at either end: their distance stays what it is."""
+    return bound(bound(F.struct(a.alias("a"), b.alias("b")), _without_common_head), _without_common_head)
+
+
 def within_edits(long: Column, short: Column, threshold: int) -> Column:
     """Whether two strings, the first no shorter, are within ``threshold`` edits: banded bit-parallel dynamic programming.
 
@@ -167,17 +174,17 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     that pass the letter-count bound leave it.
     """
     index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
-    probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
-    probe = probe.select(F.col("p.key").alias("pkey"), "a", "letters_a", (F.col("p.less") > 0).alias("shorter"))
+    probe = probe_rows(lines, threshold).select(F.col("key").alias("pkey"), F.col("id").alias("a"), F.col("letters").alias("letters_a"), (F.col("less") > 0).alias("shorter"))
     meet = (F.col("pkey") == F.col("key")) & (F.col("shorter") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
     meet = meet & (letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold)
     pairs = saved(probe.join(index, meet).select("a", "b").distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+    needed = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
     some = lines.select("line", "first", "id").join(small(needed, BROADCAST_ROWS), F.col("id") == F.col("need")).drop("need")
     left = some.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     right = some.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(within_edits(F.col("line_a"), F.col("line_b"), threshold)).select("line_a", "first_a", "line_b", "first_b")
+    near = bound(without_common_ends(F.col("line_a"), F.col("line_b")), lambda p: within_edits(p["a"], p["b"], threshold))
+    return both.where(near).select("line_a", "first_a", "line_b", "first_b")
 
 
 def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:

@@ -372,19 +372,21 @@ def emoji_features(df: DataFrame, column: str | None = None) -> DataFrame:
 
 @operator("nlp.readability_score")
 def readability_score(df: DataFrame, column: str | None = None) -> DataFrame:
-    def build(c, s):
-        w = case_words(s)
-        nw = F.greatest(F.size(w), F.lit(1)).cast("double")
-        ns = F.greatest(F.size(sentences(s)), F.lit(1)).cast("double")
-        chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-        syllables = F.aggregate(w, F.lit(0), lambda a, x: a + F.greatest(
-            F.lit(1), F.regexp_count(F.regexp_replace(F.lower(x), "e+$", ""), F.lit("[aeiouy]+"))))
-        flesch = 206.835 - 1.015 * (nw / ns) - 84.6 * (syllables / nw)
-        return {f"{c}_flesch_score": r(F.greatest(F.lit(0.0), F.least(flesch, F.lit(120.0))), 1),
-                f"{c}_coleman_liau": r(0.0588 * (chars / nw * 100) - 0.296 * (ns / nw * 100) - 15.8, 1),
-                f"{c}_ari_score": r(4.71 * (chars / nw) + 0.5 * (nw / ns) - 21.43, 1)}
-
-    return over_text(df, column, build)
+    out = df
+    for c in pick_many(df, column, "text"):
+        # words and counts are columns of their own, so that each is computed once
+        t = out.withColumns({"_w": case_words(text(c)), "_ns": F.greatest(F.size(sentences(text(c))), F.lit(1)).cast("double")})
+        t = t.withColumns({
+            "_nw": F.greatest(F.size("_w"), F.lit(1)).cast("double"), "_chars": F.length(F.array_join("_w", "")),
+            "_syllables": F.aggregate(F.split(F.regexp_replace(F.lower(F.array_join("_w", " ")), "e+( |$)", "$1"), " "), F.lit(0),
+                                      lambda a, x: a + F.greatest(F.lit(1), F.regexp_count(x, F.lit("[aeiouy]+"))))})
+        t = t.withColumn("_syllables", F.when(F.size("_w") > 0, F.col("_syllables")).otherwise(F.lit(0)))
+        per_sentence, per_word, size = F.col("_nw") / F.col("_ns"), F.col("_syllables") / F.col("_nw"), F.col("_chars") / F.col("_nw")
+        flesch = 206.835 - 1.015 * per_sentence - 84.6 * per_word
+        out = t.withColumns({f"{c}_flesch_score": r(F.greatest(F.lit(0.0), F.least(flesch, F.lit(120.0))), 1),
+                             f"{c}_coleman_liau": r(0.0588 * (size * 100) - 0.296 * (F.col("_ns") / F.col("_nw") * 100) - 15.8, 1),
+                             f"{c}_ari_score": r(4.71 * size + 0.5 * per_sentence - 21.43, 1)}).drop("_w", "_ns", "_nw", "_chars", "_syllables")
+    return out
 
 
 @operator("nlp.sentiment_score")
