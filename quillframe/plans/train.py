@@ -367,7 +367,7 @@ def importance_frame(df: DataFrame, model, features: Sequence[str]) -> DataFrame
 
 def train(df: DataFrame, target: str | None = None, task: str = "auto", names: Sequence[str] | None = None, folds: int = 5, tune_top: int = 3,
           clusters: int = 3, test_size: float = 0.2) -> Trained:
-    """Cross-validate the algorithms, tune the best, score all on the test part, keep the winner."""
+    """Cross-validate the algorithms, tune the best, keep the winner of the folds; the test scores only report."""
     kind = detect_task(df, target, task)
     if kind == "clustering":
         return train_clusters(df, names, clusters)
@@ -382,10 +382,12 @@ def train(df: DataFrame, target: str | None = None, task: str = "auto", names: S
         models[a] = tune(data, kind, a) if a in order[:tune_top] else algorithms(kind, data)[a]().fit(data.train)
         score = float(evaluator(kind).evaluate(models[a].transform(data.test)))
         rows.append((a, cv[a]["mean"], cv[a]["std"], a in order[:tune_top], round(score, 6)))
-    rows.sort(key=lambda t: -t[4] if higher else t[4])
-    best = rows[0][0]
+    rows.sort(key=lambda t: order.index(t[0]))
+    best = order[0]
     table = report(df, rows, "algorithm string, cv_mean double, cv_std double, tuned boolean, test_score double")
-    return Trained(kind, best, models[best], data.fitted, data.features, data.labels, data.log_target, table, importance_frame(df, models[best], data.features), {"data": data})
+    weights = importance_frame(df, models[best], data.features)
+    data.train.unpersist(), data.test.unpersist()
+    return Trained(kind, best, models[best], data.fitted, data.features, data.labels, data.log_target, table, weights, {"data": data})
 
 
 def train_clusters(df: DataFrame, names: Sequence[str] | None = None, k: int = 3) -> Trained:
