@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import arrow_rows, saved, small, text_bytes
+from quillframe.llm.common import arrow_rows, saved, text_bytes
 
 LENGTH = 100
 GRAM = 32  # bytes of an anchor
@@ -401,7 +401,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     edges = marks.where("kind = 2")
     wanted = edges.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("cuts"))  # within one document
     wanted = wanted.select(F.col("doc").alias("_d"), F.col("th").alias("_t"), "cuts")
-    cut = texts.join(small(wanted, 100_000), (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t")))
+    cut = texts.join(wanted, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t")))
     part = F.substring(F.col("raw"), (F.col("c.lo") + 1).cast("int"), (F.col("c.n") + length - 1).cast("int"))
     segments = cut.select("doc", "th", "raw", F.explode("cuts").alias("c")).select(F.col("c.anchor").alias("anchor"), "doc", "th", F.col("c.lo").alias("lo"), part.alias("raw"))
     segments = segments.dropDuplicates(["doc", "th", "lo"])
