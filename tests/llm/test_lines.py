@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -44,7 +45,12 @@ def brute(rows, threshold=2, least=20):
             places[doc, n] = line
             if len(line) >= least:
                 first.setdefault(line, (doc, n))
-    near = {a: [b for b in first if b != a and distance(a, b) <= threshold] for a in first}
+    letters = {a: Counter(a) for a in first}  # an edit changes at most one letter of a for another
+
+    def close(a, b):
+        return abs(len(a) - len(b)) <= threshold and (letters[a] - letters[b]).total() <= threshold and distance(a, b) <= threshold
+
+    near = {a: [b for b in first if b != a and close(a, b)] for a in first}
     out = {}
     for doc, text in rows:
         kept, repeats, nears, links = [], 0, 0, 0
