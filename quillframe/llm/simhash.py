@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.llm import near
 from quillframe.llm.common import arrow_rows, checkpointed, components, saved, text_bytes, text_udf
 
 WIDTH = 3  # words of a shingle
@@ -163,24 +164,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component, with all columns of ``docs``: the smallest ``doc_id`` (null last), of repeated ones one.
+def keep_one(docs: DataFrame, width: int = near.WIDTH, similarity: float = near.SIMILARITY) -> DataFrame:
+    """One row of each near-duplicate group, with all columns of ``docs``: the smallest ``doc_id`` (null last), of repeated ones one.
 
-    Rows are told by their fingerprint, so repeated or null ids are no matter.
+    Texts link at a Jaccard similarity of ``similarity`` of their ``width``-word shingles (module ``near``); texts without
+    words are one group. Rows are told by their id and a hash of all columns, so repeated or null ids are no matter.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     kind = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
-    printed = docs.select(row, F.col("doc_id").alias("_id"), fingerprint_column("text", width).alias("fp"), kind.alias("_kind"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), kind.alias("_kind"))
     place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_kind").alias("kind"))
-    narrow = saved(printed.select("fp", place.alias("place")))
-    nodes = narrow.groupBy("fp").agg(F.min("place").alias("place"))
-    roots = checkpointed(fingerprint_roots(nodes.select("fp"), distance))
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    winner = rooted.groupBy("root").agg(F.min("place").alias("place"), F.min_by("fp", "place").alias("fp"))
-    copies = narrow.groupBy("fp", "place").agg(F.count("*").alias("copies"))
-    chosen = winner.join(copies, ["fp", "place"]).select(
-        F.col("fp").alias("_fp"), F.col("place.last").alias("_last"), F.col("place.id").alias("_want"), F.col("place.kind").alias("_want_kind"), "copies")
-    kept = printed.join(chosen, (F.col("fp") == F.col("_fp")) & F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_kind") == F.col("_want_kind")))
+    narrow = saved(rows.select(near.signature_column("_text", width).alias("s"), place.alias("place")).select("s.*", "place"))
+    nodes = saved(narrow.groupBy("node").agg(F.min("place").alias("place"), F.min("size").alias("size"), F.first("bands").alias("bands")))
+    at = F.col("_id").eqNullSafe(F.col("place.id")) & (F.col("_kind") == F.col("place.kind"))
+    texts = rows.select("_id", "_kind", "_text").join(nodes.select("node", "place"), at).groupBy("node").agg(F.first("_text").alias("text"))
+    roots = checkpointed(near.node_roots(nodes, texts, width, similarity))
+    rooted = nodes.select("node", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    winner = rooted.groupBy("root").agg(F.min("place").alias("place"))
+    copies = narrow.groupBy("place").agg(F.count("*").alias("copies"))
+    kept = rows.join(winner.join(copies, "place").select("place", "copies"), at)
     single = kept.where("copies = 1").select("_row.*")
-    repeated = kept.where("copies > 1").groupBy("_fp").agg(F.first("_row").alias("_row")).select("_row.*")
+    repeated = kept.where("copies > 1").groupBy("place").agg(F.first("_row").alias("_row")).select("_row.*")
     return single.unionByName(repeated)
