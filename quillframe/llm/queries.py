@@ -78,11 +78,13 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_findings(found: DataFrame) -> DataFrame:
-    """Labels of the test tables' findings by the formats that issuers publish: fixed-length hex tokens and passwords, and
-    access key ids are secrets; runs of digits, mixed words and other findings are not."""
-    hex40, hex18 = F.col("candidate").rlike("^[0-9a-f]{40}$"), F.col("candidate").rlike("^[0-9a-f]{18}$")
-    issued = F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$")
-    return found.withColumn("label", (((hex40 | hex18) & (F.col("assigned") > 0)) | issued).cast("int"))
+    """Labels of the test tables' findings by the formats that issuers publish: fixed-length hex tokens and passwords of either
+    case, issuers' prefixes and web tokens are secrets. Other assigned values have no label; other findings, as runs of digits
+    and mixed words, are not secrets."""
+    hex40, hex18 = F.col("candidate").rlike("^(?i)[0-9a-f]{40}$"), F.col("candidate").rlike("^(?i)[0-9a-f]{18}$")
+    issued = F.col("candidate").rlike(r"^(AKIA[0-9A-Z]{16}$|gh[pousr]_[0-9A-Za-z]{36}$|xox[abprs]-[0-9A-Za-z-]{10,}$|eyJ[0-9A-Za-z_-]{10,}(\.|$))")
+    assigned = F.col("assigned") > 0
+    return found.withColumn("label", F.when(((hex40 | hex18) & assigned) | issued, 1).when(~assigned, 0))
 
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -32,7 +32,8 @@ FLUSH = 100_000  # words that a task counts before it passes them on
 NAMES = ("token", "password", "passwd", "pwd", "secret", "apikey", "api_key", "key", "credential", "auth", "access")
 SAMPLE_PATHS = ("test", "example", "sample", "fixture", "mock", "doc")
 _RUN = re.compile(rb"[A-Za-z0-9+/_\-]{16,}={0,2}")
-_VALUE = re.compile(rb"([A-Za-z_][A-Za-z0-9_\-]*)[ \t]*[=:][ \t]*([\"']?)([A-Za-z0-9+/_\-]{8,}={0,2})")
+#: A name, and its value up to the closing quote, or without quotes up to a blank and without a sentence's last mark.
+_VALUE = re.compile(rb"[A-Za-z_][A-Za-z0-9_\-]*+[ \t]*[=:][ \t]*(?:\"([^\"\r\n]{8,})\"|'([^'\r\n]{8,})'|[\"']?([^\s\"']{7,}[^\s\"'.,;]))")
 FEATURES = ["length", "transition", "coverage", "digits", "upper", "lower", "turns", "distinct", "named", "assigned", "quoted", "alone", "before_long", "after_long", "sample_path", "path_depth"]
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"), 1):
@@ -40,11 +41,10 @@ for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
 
 
 def find_candidates(raw: bytes) -> list[tuple[int, int]]:
-    """Byte spans of candidates, in order: runs with a digit or with both cases, and assigned values with a digit."""
+    """Byte spans of candidates, in order: runs with a digit or with both cases, and every assigned value."""
     spans = set()
     for m in _VALUE.finditer(raw):
-        if re.search(rb"[0-9]", m[3]):
-            spans.add(m.span(3))
+        spans.add(m.span(m.lastindex))
     for m in _RUN.finditer(raw):
         word = m[0]
         if re.search(rb"[0-9]", word) or (re.search(rb"[a-z][A-Z]", word) and re.search(rb"[A-Z][a-z]*[A-Z]", word)):
@@ -146,7 +146,8 @@ def candidates(docs: DataFrame, model: TextModel, key: str = "doc_id", text: str
             for a, b in find_candidates(raw):
                 chars += len(raw[at:a].decode("utf-8", "replace"))
                 at = a
-                yield (k, chars, b - a, raw[a:b].decode(), *describe(raw, a, b, where, model))
+                word = raw[a:b].decode("utf-8", "replace")
+                yield (k, chars, len(word), word, *describe(raw, a, b, where, model))
 
     return arrow_rows(part, rows, f"_key {dict(part.dtypes)['_key']}, {CANDIDATES}").withColumnRenamed("_key", key)
 
