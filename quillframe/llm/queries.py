@@ -5,10 +5,14 @@ A query without SQL is tested against a brute-force version in ``tests/llm``.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import fingerprints, licences, lines, mixing, packing, quality, secret_scan, simhash, substrings, urls
+from quillframe.llm import (
+    centroids, fingerprints, licences, lines, merkle, mixing, neighbours, packing, quality, secret_scan, simhash, substrings, urls,
+)
 from quillframe.llm.common import saved
 
 
@@ -116,10 +120,43 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, folder, "documents"))
 
 
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    one_more = F.col("n_chars").cast("decimal(38,0)") + F.when(hit, 1).otherwise(0)
+    out = merkle.manifest(docs, MANIFEST, altered=[one_more if c == "n_chars" else F.col(c) for c in MANIFEST])
+    folded = merkle.fold(F.col("altered"), F.col("proof"))
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+                      folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_projection_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(_read(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+CLUSTERS, COMPONENTS, SCALE, ROUNDS = 16, 64, 64, 3
+
+
+def op13_va_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings").select("vec_id", "embedding")
+    order = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")).cast("binary"), 256)
+    first = vectors.where(centroids.usable(F.col("embedding"), COMPONENTS, SCALE)).orderBy(order.asc_nulls_last(), "embedding").limit(CLUSTERS)
+    found, centres = centroids.cluster(vectors, "vec_id", "embedding", first.select(F.col("embedding").alias("v")), COMPONENTS, SCALE, ROUNDS)
+    found = saved(found)
+    own = {r["cluster"]: r["s"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}  # a row per centroid
+    facts = [(c, s, sum(own.values()), sha256(",".join(map(str, centres[c].tolist())).encode()).hexdigest()) for c, s in own.items()]
+    told = spark.createDataFrame(facts, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return found.join(F.broadcast(told), "cluster").select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_mix_sources": op3_mix_sources,
     "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules,
-    "op9_licence_scan": op9_licence_scan, "op10_simhash": op10_simhash,
+    "op9_licence_scan": op9_licence_scan, "op10_simhash": op10_simhash, "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_projection_neighbours": op12_projection_neighbours, "op13_va_clusters": op13_va_clusters,
 }
 ORACLE_SQL = {"op2_url_filter": OP2_SQL}
