@@ -153,13 +153,13 @@ class Part:
         return best
 
 
-def _upper_cuts(points: DataFrame) -> tuple[Tree, DataFrame]:
+def _upper_cuts(points: DataFrame, dims: int) -> tuple[Tree, DataFrame]:
     """Tree over a hash-drawn sample of about ``SAMPLE`` points and the points with their leaf as ``region``."""
     n = points.count()
     parts = max(min(shuffle_partitions(points.sparkSession), n // LEAST_ROWS), -(-n // PART_ROWS), 1)
     drawn = F.pmod(F.xxhash64(F.lit(SEED), "v"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40))
     some = np.array([r[0] for r in points.where(drawn).select("p").collect()], np.float64)
-    tree = build_tree(some.reshape(len(some), -1), max(-(-len(some) // parts), 8), whole=True)[0]
+    tree = build_tree(some.reshape(-1, dims), max(-(-len(some) // parts), 8), whole=True)[0]
 
     @F.arrow_udf("int")
     def region(p: pa.Array) -> pa.Array:
@@ -242,7 +242,7 @@ def search(vectors: DataFrame, wanted: Column, k: int = 10, key: str = "vec_id",
     distinct = ranked.where(F.col("_n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     points = saved(project(distinct.select("ids", "v"), dims))
     queries = saved(project(good.where("wanted").groupBy("id").agg(F.min("v").alias("v")), dims))
-    tree, points = _upper_cuts(points)
+    tree, points = _upper_cuts(points, dims)
     ends = _pieces(points, len(tree.low))
     points = points.withColumn("part", _piece(F.col("region"), ends))
 

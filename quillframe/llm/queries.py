@@ -133,6 +133,47 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = [f"({n_chars})::VARCHAR" if c == "n_chars" else f"{c}::VARCHAR" for c in MANIFEST]
+    return "sha256(" + " || ".join(_FIELD.format(f) for f in fields) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All nodes ``name(tree, level, pos, n, h)`` over ``leaves(tree, pos, n, h)``."""
+    return f"""{name} AS (SELECT tree, 0 AS level, pos, n, h FROM {leaves} UNION ALL
+  SELECT tree, max(level) + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, pos // 2)"""
+
+
+def _proof_sql(name: str, leaves: str, nodes: str) -> str:
+    """``name(tree, pos, proof)``: the siblings of every leaf, left or right of its own digest."""
+    return f"""{name} AS (SELECT l.tree, l.pos, coalesce(list({{'left': coalesce(a.h, ''), 'right': coalesce(b.h, '')}} ORDER BY o.level) FILTER (o.level IS NOT NULL), []) AS proof
+  FROM {leaves} l LEFT JOIN {nodes} o ON o.tree = l.tree AND o.pos = l.pos >> o.level AND o.n > 1
+  LEFT JOIN {nodes} a ON a.tree = o.tree AND a.level = o.level AND o.pos % 2 = 1 AND a.pos = o.pos - 1
+  LEFT JOIN {nodes} b ON b.tree = o.tree AND b.level = o.level AND o.pos % 2 = 0 AND b.pos = o.pos + 1 GROUP BY l.tree, l.pos)"""
+
+
+# 0xEDB88320 (3988292384) is the reversed polynomial of CRC-32; a byte is taken in, then shifted out by eight steps (-1)
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, (xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda b: [ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b)
+    WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT)) % 7 = 0 AS hit FROM documents),
+k AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS h, {_leaf_sql("n_chars::HUGEINT + CASE WHEN hit THEN 1 ELSE 0 END")} AS altered FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM k),
+{_tree_sql("nodes", "leaves")},
+tops AS (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, h FROM nodes WHERE n = 1),
+{_tree_sql("upper", "tops")},
+{_proof_sql("low", "leaves", "nodes")}, {_proof_sql("high", "tops", "upper")},
+r AS (SELECT l.doc_id, l.h AS leaf, l.altered, t.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, low.proof || high.proof AS proof
+  FROM leaves l JOIN low ON low.tree = l.tree AND low.pos = l.pos JOIN tops t ON t.name = l.tree JOIN high ON high.pos = t.pos),
+f AS (SELECT *, list_reduce(list_prepend({{'left': altered, 'right': ''}}, proof), lambda x, s: {{'left': sha256(s['left'] || x['left'] || s['right']), 'right': ''}})['left'] AS folded_root FROM r)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda s: s['left'] || s['right']), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM f
+"""
+
+
 def op12_projection_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(_read(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
@@ -152,6 +193,29 @@ def op13_va_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(F.broadcast(told), "cluster").select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def _assign_sql(r: int) -> str:
+    """``a<r>(vec_id, v, c, d)``: the nearest centroid of ``c<r>(c, v)``."""
+    return f"""a{r} AS (SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT e.vec_id, e.v, k.c,
+  list_sum(list_transform(list_zip(e.v, k.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM e, c{r} k) GROUP BY vec_id, v)"""
+
+
+def _centroids_sql(r: int) -> str:
+    """``c<r + 1>``: floored means of the clusters in ``a<r>``; a centroid without vectors stays."""
+    return f"""m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON m{r}.c = c{r}.c)"""
+
+
+OP13_SQL = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256('1:' || vec_id) AS h FROM e ORDER BY h LIMIT {CLUSTERS})),
+{", ".join(f"{_assign_sql(r)}, {_centroids_sql(r)}" for r in range(ROUNDS))}, {_assign_sql(ROUNDS)}
+SELECT a.vec_id, a.c::INTEGER AS "cluster", a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(k.v, ',')) AS centroid_sha256 FROM a{ROUNDS} a JOIN c{ROUNDS} k ON k.c = a.c
+"""
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_mix_sources": op3_mix_sources,
     "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op6_secret_scan": op6_secret_scan,
@@ -159,4 +223,4 @@ QUERIES = {
     "op9_licence_scan": op9_licence_scan, "op10_simhash": op10_simhash, "op11_merkle_manifest": op11_merkle_manifest,
     "op12_projection_neighbours": op12_projection_neighbours, "op13_va_clusters": op13_va_clusters,
 }
-ORACLE_SQL = {"op2_url_filter": OP2_SQL}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op11_merkle_manifest": OP11_SQL, "op13_va_clusters": OP13_SQL}
