@@ -106,10 +106,13 @@ class Indexed:
         df = self.df.withColumn("_block", F.floor(F.col("_idx") / size))
         keys = [col(k) for k in self.keys]
         w = Window.partitionBy("_block", *keys).orderBy("_idx")
-        up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        up = w.rowsBetween(Window.unboundedPreceding, 0)
         wb = Window.partitionBy(*keys).orderBy("_block")
         earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
-        later = wb.rowsBetween(1, Window.unboundedFollowing)
+        # the next value is the last one in descending order: such a frame grows by a row at a time, while one that ends
+        # at the last row is evaluated anew for every row
+        down = Window.partitionBy("_block", *keys).orderBy(F.desc("_idx")).rowsBetween(Window.unboundedPreceding, 0)
+        later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
         local, totals, carry, merge = {}, [], {}, {}
 
         def pair(name, c, total, here, frame_total, combine):
@@ -132,8 +135,8 @@ class Indexed:
             pair(name, c, F.max_by(c, F.when(c.isNotNull(), F.col("_idx"))), F.last(c, ignorenulls=True).over(up),
                  lambda t: F.last(t, ignorenulls=True).over(earlier), F.coalesce)
         for name, c in (nexts or {}).items():
-            pair(name, c, F.min_by(c, F.when(c.isNotNull(), F.col("_idx"))), F.first(c, ignorenulls=True).over(down),
-                 lambda t: F.first(t, ignorenulls=True).over(later), F.coalesce)
+            pair(name, c, F.min_by(c, F.when(c.isNotNull(), F.col("_idx"))), F.last(c, ignorenulls=True).over(down),
+                 lambda t: F.last(t, ignorenulls=True).over(later), F.coalesce)
         names = ["_block", *self.keys]
         blocks = df.groupBy("_block", *keys).agg(*totals).withColumns(carry)
         blocks = blocks.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(names)], *carry)

@@ -19,6 +19,7 @@ from quillframe.functions.levels import oversample, shuffled_position
 from quillframe.functions.ordered import index_rows, reliable_checkpoint
 from quillframe.functions.profile import fit, r, safe_div
 from quillframe.functions.quantile import fit_quantiles
+from quillframe.functions.sparse import first_kept, once, top_neighbours, unit_length, unit_vectors, weighted_terms
 from quillframe.functions.tokens import WORD, spaced, without, words
 from quillframe.operators.clean import keep_one, row_order, strip, title_case
 from quillframe.registry import operator
@@ -785,17 +786,6 @@ def tfidf_array(df: DataFrame, c: str, idf: Mapping[str, float], tokens, out: st
     return counted.withColumn(out, unit_length(raw)).drop("_raw")
 
 
-def once(value: Column, body) -> Column:
-    """Bind a value so that ``body`` may use it many times, also inside a lambda, while it is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def unit_length(values: Column) -> Column:
-    """The array divided by its Euclidean length; all zeros stay."""
-    return once(values, lambda a: once(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)),
-                                       lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
-
-
 @operator("nlp.tfidf")
 def tfidf(df: DataFrame, column: str | None = None, n: int = 50, stop_words: Sequence[str] | None = None) -> DataFrame:
     out, tokens = df, terms(vector_stopwords(stop_words))
@@ -815,18 +805,27 @@ def ngrams(df: DataFrame, column: str | None = None, n: int = 2, max_features: i
     return out
 
 
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """The rows, written once, with a number ``_row`` that stays theirs."""
+    return reliable_checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 @operator("nlp.keyword_extract")
-def keyword_extract(df: DataFrame, column: str | None = None, n: int = 5, vocab: int = 500,
+def keyword_extract(df: DataFrame, column: str | None = None, n: int = 5, vocab: int | None = None,
                     stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Best tf-idf words of each text; equal weights go to the later word in the alphabet."""
-    out, tokens = df, terms(vector_stopwords(stop_words))
-    for c in pick_many(df, column, "text"):
-        idf = idf_weights(df, c, vocab, tokens)
-        out = tfidf_array(out, c, idf, tokens, "_a")
-        pairs = F.filter(F.zip_with("_a", F.lit(list(idf)), lambda w, t: F.struct(w.alias("w"), t.alias("t"))), lambda x: x["w"] > 0)
-        best = F.slice(F.sort_array(pairs, asc=False), 1, n)
-        out = out.withColumn(f"{c}_keywords", F.array_join(F.transform(best, lambda x: x["t"]), ", ")).drop("_a")
-    return out
+    """Best tf-idf words of each text, out of all words of the corpus (``vocab``: of the most frequent ones only);
+    equal weights go to the later word in the alphabet. A text without words has none.
+
+    Words meet their corpus counts by a join; of a text's words only its best ``n`` of each task reach the shuffle.
+    """
+    cols, tokens = pick_many(df, column, "text"), terms(vector_stopwords(stop_words))
+    out = numbered_rows(df)
+    for c in cols:
+        weighted = weighted_terms(out, "_row", tokens(text(c)), vocab)
+        best = weighted.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("w"), F.desc("term")))).where(F.col("_n") <= n)
+        words_of = best.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_n", "term"))).alias("_k"))
+        out = out.join(words_of, "_row", "left").withColumn(f"{c}_keywords", F.coalesce(F.array_join(F.col("_k.term"), ", "), F.lit(""))).drop("_k")
+    return out.drop("_row")
 
 
 @operator("nlp.hash_vectorize")
@@ -843,76 +842,47 @@ def hash_vectorize(df: DataFrame, column: str | None = None, n: int = 32) -> Dat
 
 
 @operator("nlp.text_similarity")
-def text_similarity(df: DataFrame, column: str | None = None, order_by: Sequence[str] = (), n: int = 50, vocab: int = 100,
-                    stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Cosine matrix of the first n texts (a bounded report)."""
+def text_similarity(df: DataFrame, column: str | None = None, order_by: Sequence[str] = (), k: int = 5, n: int | None = None,
+                    vocab: int | None = None, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Rows ``document, rank, neighbour, similarity``: of every text the ``k`` others with the largest tf-idf cosine.
+
+    Texts are named by their place in ``order_by``. With ``n``, instead the cosine matrix of the first n texts.
+    """
     c, tokens = first_text(df, column), terms(vector_stopwords(stop_words))
-    first = index_rows(df, order_by).df.where(F.col("_idx") < n)
-    idf = idf_weights(first, c, vocab, tokens)
-    rows = tfidf_array(first, c, idf, tokens, "_a").select("_idx", "_a")
-    rows = rows.select(F.col("_idx").alias("i"), F.posexplode("_a").alias("t", "w"))
-    other = rows.select(F.col("i").alias("j"), "t", F.col("w").alias("v"))
-    dots = rows.join(other, "t").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    size = first.count()
-    return dots.groupBy(F.concat(F.lit("doc_"), F.col("i")).alias("document")).agg(
-        *[F.max(F.when(F.col("j") == k, F.round("s", 3))).alias(f"doc_{k}") for k in range(size)])
+    ix = index_rows(df, order_by).df
+    rows = ix.where(F.col("_idx") < n) if n is not None else ix
+    vectors = reliable_checkpoint(unit_vectors(weighted_terms(rows, "_idx", tokens(text(c)), vocab), "_idx"))
+    if n is None:
+        near = top_neighbours(vectors, "_idx", k)
+        return near.select(F.col("id").alias("document"), "rank", F.col("other").alias("neighbour"), r("cosine", 3).alias("similarity"))
+    flat = vectors.select(F.col("_idx").alias("i"), F.inline(F.arrays_zip("t", "w")))
+    other = flat.select(F.col("i").alias("j"), "t", F.col("w").alias("v"))
+    dots = flat.join(other, "t").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(rows.count() - 1).cast("long"))
+    whole = rows.select(F.col("_idx").alias("i"), F.explode(places).alias("j")).join(dots, ["i", "j"], "left")  # n * n rows, as asked for
+    return whole.groupBy(F.concat(F.lit("doc_"), F.col("i")).alias("document")).pivot("j", list(range(rows.count()))).agg(
+        F.first(F.round(F.coalesce("s", F.lit(0.0)), 3))).select("document", *[F.col(str(j)).alias(f"doc_{j}") for j in range(rows.count())])
 
 
 @operator("nlp.text_dedup")
-def text_dedup(df: DataFrame, column: str | None = None, threshold: float = 0.9, action: str = "flag",
-               order_by: Sequence[str] = (), vocab: int = 200, bits: int = 20, bands: int = 20, seed: int = 42,
-               stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Near duplicates by tf-idf cosine: a text is a duplicate of the first kept text it resembles.
-
-    Texts with the same vector are merged first. The others meet in buckets of random
-    hyperplane signs. In each round a text that is first in all its buckets is kept, the
-    members of those buckets are compared with it alone, and it leaves with the duplicates
-    found: a bucket of m texts costs m comparisons per kept text and never m squared. Pairs
-    that share no bucket are not compared: more ``bands`` or fewer ``bits`` raise the recall.
+def text_dedup(df: DataFrame, column: str | None = None, threshold: float = 0.9, action: str = "flag", order_by: Sequence[str] = (),
+               vocab: int | None = None, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Near duplicates by tf-idf cosine over all words: a text is a duplicate of the first kept text that it resembles.
+
+    Exact: no pair at the threshold is missed (see ``functions.sparse.first_kept``). Texts with
+    the same words as often are merged before. Texts without words are never duplicates.
     """
     if action not in ("flag", "remove"):
         raise ValueError("action must be flag or remove")
     c, tokens = first_text(df, column), terms(vector_stopwords(stop_words))
     ix = index_rows(df, order_by)
-    idf = idf_weights(df, c, vocab, tokens)
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((len(idf), bits * bands))
-
-    @F.pandas_udf("array<long>")
-    def signs(a: pd.Series) -> pd.Series:
-        up = (np.array(a.tolist()) @ planes > 0).reshape(len(a), bands, bits)
-        codes = (up * (1 << np.arange(bits))).sum(axis=2) + (np.arange(bands) << bits)
-        return pd.Series(list(codes.astype("int64")))
-
-    vectors = tfidf_array(ix.df, c, idf, tokens, "_a").select("_idx", F.transform("_a", lambda x: F.round(x, 12)).alias("_a"))
-    vectors = vectors.withColumn("_empty", F.aggregate("_a", F.lit(0.0), lambda s, x: s + x) == 0)
-    same = vectors.where(~F.col("_empty")).groupBy(F.xxhash64(F.lit(1), "_a").alias("_h1"), F.xxhash64(F.lit(2), "_a").alias("_h2")).agg(
-        F.min("_idx").alias("id"), F.first("_a").alias("v"), F.count(F.lit(1)).alias("copies"))
-    reps = reliable_checkpoint(same)
-    member = reps.select("id", F.explode(signs("v")).alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    state = reliable_checkpoint(member.join(shared.select("bucket"), "bucket"))
-    a = reps.select("id", F.col("v").alias("va"))
-    b = reps.select(F.col("id").alias("head"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    found = state.select("id", F.col("id").alias("head")).limit(0)
-    while not state.isEmpty():
-        # ids are positions: a text that is first in all its buckets has no earlier rival and is kept
-        placed = state.join(state.groupBy("bucket").agg(F.min("id").alias("head")), "bucket")
-        kept = reliable_checkpoint(placed.groupBy("id").agg(F.min((F.col("id") == F.col("head")).cast("int")).alias("first"))
-                                   .where(F.col("first") == 1).select(F.col("id").alias("head")))
-        pairs = placed.where(F.col("id") != F.col("head")).join(kept, "head").select("id", "head").distinct()
-        close = pairs.join(a, "id").join(b, "head").where(dot >= threshold - 1e-12).select("id", "head")
-        hit = reliable_checkpoint(close.groupBy("id").agg(F.min("head").alias("head")))
-        found = found.unionByName(hit)
-        state = reliable_checkpoint(state.join(kept.select(F.col("head").alias("id")), "id", "left_anti")
-                                    .join(hit.select("id"), "id", "left_anti"))
-    owner = found.groupBy("id").agg(F.min("head").alias("head"))
-    near = reps.join(owner, "id", "left").select("_h1", "_h2", "id", "head")
-    marked = vectors.withColumns({"_h1": F.xxhash64(F.lit(1), "_a"), "_h2": F.xxhash64(F.lit(2), "_a")}).join(near, ["_h1", "_h2"], "left")
-    dup_of = F.when(F.col("_empty"), None).when(F.col("_idx") != F.col("id"), F.coalesce("head", "id")).otherwise(F.col("head"))
-    table = marked.select("_idx", dup_of.alias("_of"))
-    out = ix.df.join(table, "_idx").withColumns({
+    vectors = reliable_checkpoint(unit_vectors(weighted_terms(ix.df, "_idx", tokens(text(c)), vocab), "_idx"))
+    first = reliable_checkpoint(vectors.groupBy("t", "w").agg(F.min("_idx").alias("_first")))
+    near = first_kept(first.select(F.col("_first").alias("_idx"), "t", "w"), "_idx", threshold)
+    same = vectors.join(first, ["t", "w"]).select("_idx", "_first")
+    table = same.join(near, F.col("_first") == F.col("id"), "left").select(
+        "_idx", F.coalesce("of", F.when(F.col("_idx") != F.col("_first"), F.col("_first"))).alias("_of"))
+    out = ix.df.join(table, "_idx", "left").withColumns({
         "_text_is_duplicate": F.col("_of").isNotNull(), "_text_duplicate_of": F.coalesce("_of", F.lit(-1).cast("long"))}).drop("_idx", "_of")
     return out.where(~F.col("_text_is_duplicate")).drop("_text_is_duplicate", "_text_duplicate_of") if action == "remove" else out
 

@@ -54,7 +54,7 @@ def test_near_duplicates_keep_the_first(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta"
     rows = [(0, base), (1, base + " iota"), (2, "red green blue yellow purple orange"), (3, base), (4, "")]
     df = spark.createDataFrame(rows, "id long, text string")
-    out = qf.apply(df, "nlp.text_dedup", column="text", order_by=["id"], threshold=0.8, bits=4, bands=24, stop_words=[])
+    out = qf.apply(df, "nlp.text_dedup", column="text", order_by=["id"], threshold=0.8, stop_words=[])
     got = {r["id"]: r["_text_duplicate_of"] for r in out.collect()}
     assert got == {0: -1, 1: 0, 2: -1, 3: 0, 4: -1}
 
