@@ -22,11 +22,12 @@ from quillframe.functions.dates import parse
 from quillframe.functions.forest import importances, is_class_target, labelled
 from quillframe.functions.gram import moment_matrix
 from quillframe.functions.levels import attach, level_stats
-from quillframe.functions.ordered import index_rows
+from quillframe.functions.ordered import Indexed, index_rows, reliable_checkpoint
 from quillframe.functions.power import best_lambda, box_cox, yeo_johnson
 from quillframe.functions.profile import fit, nulls, r, safe_corr, skew_g1
 from quillframe.functions.quantile import fit_quantiles
 from quillframe.functions.ranks import with_rank
+from quillframe.functions.running import expanding_median, weighted_moments
 from quillframe.functions.scale import clip_columns, moments, quantile_bounds, shift_scale
 from quillframe.functions.tokens import spaced
 from quillframe.operators.clean import rare_to_other
@@ -447,7 +448,7 @@ def rolling_stats_features(df: DataFrame, column: str | None = None, window: int
             c, w, window, ["mean", "std", "min", "max"], f"{c}_roll{window}_{{stat}}", 4).items()}, before=window - 1).result()
 
 
-def expanding(df: DataFrame, cols: Sequence[str], order_by, partition_by) -> DataFrame:
+def expanding(df: DataFrame, cols: Sequence[str], order_by, partition_by) -> Indexed:
     """Running count, sum, centred sums, min and max of each column (``_n0``, ``_s0``, ``_q0``, ``_a0``, ``_b0``...)."""
     centre = {c: m for c, (m, _) in moments(df, cols).items()}
     d = {c: num(c) - F.lit(centre.get(c, 0.0)) for c in cols}
@@ -455,7 +456,7 @@ def expanding(df: DataFrame, cols: Sequence[str], order_by, partition_by) -> Dat
     for i, c in enumerate(cols):
         sums |= {f"_n{i}": num(c).isNotNull().cast("long"), f"_s{i}": num(c), f"_d{i}": d[c], f"_q{i}": d[c] * d[c]}
         maxs[f"_b{i}"], mins[f"_a{i}"] = num(c), num(c)
-    return index_rows(df, order_by, partition_by).running(sums=sums, maxs=maxs, mins=mins).df
+    return index_rows(df, order_by, partition_by).running(sums=sums, maxs=maxs, mins=mins)
 
 
 @operator("feature.expanding_window")
@@ -466,13 +467,16 @@ def expanding_window(df: DataFrame, column: str | None = None, stats: Sequence[s
     known = {"mean", "std", "min", "max", "sum", "median"}
     if not set(names) <= known:
         raise ValueError(f"unknown statistics {sorted(set(names) - known)}")
+    out, new = expanding(df, cols, order_by, partition_by), {}
     if "median" in names:
-        raise ValueError("an expanding median has no mergeable state; use rolling_window for medians")
-    out = expanding(df, cols, order_by, partition_by)
-    new = {}
+        ix = Indexed(reliable_checkpoint(out.df), out.rows, out.keys)
+        for i, c in enumerate(cols):
+            ix = expanding_median(ix, num(c), f"_m{i}")
+        out = ix
+    out = out.df
     for i, c in enumerate(cols):
         n, dev = F.col(f"_n{i}"), F.col(f"_q{i}") - F.col(f"_d{i}") * F.col(f"_d{i}") / F.col(f"_n{i}")
-        exprs = {"mean": F.col(f"_s{i}") / F.when(n > 0, n), "sum": F.col(f"_s{i}"), "min": F.col(f"_a{i}"), "max": F.col(f"_b{i}"),
+        exprs = {"mean": F.col(f"_s{i}") / F.when(n > 0, n), "sum": F.col(f"_s{i}"), "min": F.col(f"_a{i}"), "max": F.col(f"_b{i}"), "median": F.col(f"_m{i}") if "median" in names else None,
                  "std": F.sqrt(F.greatest(dev, F.lit(0.0)) / F.when(n > 1, n - 1))}
         new |= {f"{c}_expanding_{s}": exprs[s] for s in names}
     return out.withColumns(new).select(*[col(c) for c in df.columns], *[col(k) for k in new])
@@ -481,7 +485,7 @@ def expanding_window(df: DataFrame, column: str | None = None, stats: Sequence[s
 @operator("feature.cumulative_features")
 def cumulative_features(df: DataFrame, column: str | None = None, order_by: Sequence[str] = (), partition_by=None) -> DataFrame:
     c = pick(df, column, "numeric")
-    out = expanding(df, [c], order_by, partition_by)
+    out = expanding(df, [c], order_by, partition_by).df
     here = num(c).isNotNull()
     new = {f"{c}_cumsum": F.when(here, F.col("_s0")), f"{c}_cummean": F.col("_s0") / F.when(F.col("_n0") > 0, F.col("_n0")),
            f"{c}_cummax": F.when(here, F.col("_b0")), f"{c}_cummin": F.when(here, F.col("_a0"))}
@@ -490,41 +494,15 @@ def cumulative_features(df: DataFrame, column: str | None = None, order_by: Sequ
 
 @operator("feature.ewm_features")
 def ewm_features(df: DataFrame, column: str | None = None, span: float = 5, order_by: Sequence[str] = (), partition_by=None) -> DataFrame:
-    """Exponentially weighted mean and std.
-
-    Each block sees the rows before it until their weight falls below the precision of
-    a double, so a block gives the same numbers as the whole series.
-    """
+    """Exponentially weighted mean and std of all rows so far (see ``functions.running.weighted_moments``)."""
     cols = ordered_columns(df, column)
-    alpha = 2 / (span + 1)
-    reach = 1 if alpha >= 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha))
+    centre = {c: m for c, (m, _) in moments(df, cols).items()}  # keeps squares small; added again below
     ix = index_rows(df, order_by, partition_by)
-    fields = [T.StructField(f"{c}_ewm_{s}", T.DoubleType()) for c in cols for s in ("mean", "std")]
-    schema = T.StructType([*df.schema.fields, *fields])
-    names = schema.fieldNames()
-
-    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_idx")
-        for c in cols:
-            e = pdf[c].astype(float).ewm(span=span, min_periods=1)
-            pdf[f"{c}_ewm_mean"], pdf[f"{c}_ewm_std"] = e.mean().round(4), e.std().round(4)
-        return pdf.loc[pdf["_own"], names]
-
-    out = ix.grouped(weigh, schema, before=reach)
-    return out.withColumns({f.name: F.when(~F.isnan(col(f.name)), col(f.name)) for f in fields})
-
-
-def stamps(df: DataFrame, column: str | None) -> tuple[DataFrame, list[str]]:
-    """The named column as a timestamp, or every timestamp column."""
-    if column is None:
-        return df, pick_many(df, None, "time")
-    c = resolve(df, column)
-    return (df if is_time(df, c) else df.withColumn(c, parse(col(c).cast("string")))), [c]
-
-
-def max_hours(df: DataFrame, cols: Sequence[str]) -> list[int]:
-    s = fit(df, **{f"h{i}": F.max(F.hour(col(c))) for i, c in enumerate(cols)})
-    return [s[f"h{i}"] or 0 for i in range(len(cols))]
+    out = weighted_moments(ix, {f"_e{i}": num(c).cast("double") - F.lit(centre.get(c, 0.0)) for i, c in enumerate(cols)}, 2 / (span + 1)).df
+    new = {}
+    for i, c in enumerate(cols):
+        new |= {f"{c}_ewm_mean": F.round(F.col(f"_e{i}_mean") + F.lit(centre.get(c, 0.0)), 4), f"{c}_ewm_std": F.round(F.col(f"_e{i}_std"), 4)}
+    return out.withColumns(new).select(*[col(c) for c in df.columns], *[col(k) for k in new])
 
 
 @operator("feature.datetime_features")
