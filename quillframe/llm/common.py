@@ -108,10 +108,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A checkpointed narrow table, broadcast if it was counted to hold at most ``rows`` rows; else Spark chooses the join."""
+def small(df: DataFrame, rows: int = 200_000, size: Column | None = None, most: int = 8 << 20) -> DataFrame:
+    """A checkpointed narrow table, broadcast if it was counted to hold at most ``rows`` rows and, where a row's bytes
+    are given by ``size``, at most ``most`` bytes; else Spark chooses the join."""
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    n, held = kept.agg(F.count("*"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(kept) if n <= rows and held <= most else kept
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,8 @@ edits of another, no longer than itself, contains at least one of the other's se
 unchanged, at a place shifted by no more than the edits beside it allow. So every line is
 indexed by (its length, segment number, segment) and probes the lengths up to
 ``threshold`` shorter with the few substrings that can match. A pair that meets passes a
-letter-count bound inside the join, and a banded bit-parallel edit distance decides.
+bound on a few letter counts inside the join and on more of them after it, and a banded
+bit-parallel edit distance decides.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import bound, saved, small
 
 THRESHOLD = 2  # edits (insert, delete, replace) at most
-MIN_CHARS = 20  # shorter lines are neither compared nor removed
-BROADCAST_ROWS = 200_000  # counted rows of narrow tables that may be broadcast; beyond it Spark shuffles
-_LETTERS = "eanotihrsd"  # counted by the bound, six bits each
+MIN_CHARS = 20  # shorter lines are compared for equality alone, not by edits
+BROADCAST_ROWS = 50_000  # counted rows of narrow tables that may be broadcast; beyond it Spark shuffles
+BROADCAST_BYTES = 4 << 20  # and their measured bytes
+WORD = r"[^\x20\x09-\x0D]"  # a line without such a character is blank and always stays
+_FEW = " ea"  # counted for every line, for the bound inside the join
+_LETTERS = "notihrsd"  # counted for lines that met, six bits each
 
 
 def segment_spans(n: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -37,7 +41,8 @@ def index_keys(line: Column, n: Column, threshold: int) -> Column:
 
 
 def probe_rows(lines: DataFrame, threshold: int) -> DataFrame:
-    """Rows ``key, less`` of every line: the substrings that can equal a segment of a line ``less`` characters shorter.
+    """Rows ``key, less`` of every line: the substrings that can equal a segment of a line ``less`` characters shorter
+    (without the segments in their own place, which are the line's index keys).
 
     If segment i (from 0) is the first that is unchanged in place, at most i edits lie to
     its left and ``threshold - i`` to its right; so its place shifts by -i .. i seen from
@@ -55,6 +60,8 @@ def probe_rows(lines: DataFrame, threshold: int) -> DataFrame:
             start, size = spans[less][i]
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
                 at = start + shift
+                if not less and not shift:
+                    continue  # the index key of the line itself
                 inside = (at >= 0) & (at + size <= n) & (n > less)
                 part = F.col(f"_p{i}").substr((at - F.col(f"_b{i}") + 1).cast("int"), size)
                 keys.append(F.when(inside, F.struct(_key(n - less, i, part).alias("key"), F.lit(less).alias("less"))))
@@ -62,20 +69,20 @@ def probe_rows(lines: DataFrame, threshold: int) -> DataFrame:
     return cut.select("id", "letters", F.explode(F.array(*keys)).alias("p")).where("p is not null").select("id", "letters", "p.*")
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of ten frequent letters modulo 64, six bits each."""
+def letter_counts(line: Column, letters: str) -> Column:
+    """Counts of up to ten letters modulo 64, six bits each."""
     n = F.char_length(line)
     out = F.lit(0).cast("long")
-    for i, c in enumerate(_LETTERS):
+    for i, c in enumerate(letters):
         count = (n - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(63))
         out = out.bitwiseOR(F.shiftleft(count, 6 * i))
     return out
 
 
-def letters_apart(a: Column, b: Column) -> Column:
+def letters_apart(a: Column, b: Column, letters: str) -> Column:
     """Lower bound of twice the edits: an edit changes one count by one, or two counts."""
     out = F.lit(0)
-    for i in range(len(_LETTERS)):
+    for i in range(len(letters)):
         d = F.abs(F.shiftright(a, 6 * i).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * i).bitwiseAND(F.lit(63)))
         out = out + F.least(d, 64 - d)
     return out
@@ -142,14 +149,14 @@ def within_edits(long: Column, short: Column, threshold: int) -> Column:
     return F.when(gap > k, F.lit(False)).otherwise(score <= k)
 
 
-def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Every distinct line of at least ``min_chars`` characters, in the shared folder: ``line``, the place of its ``first``
-    occurrence, how many ``times`` it occurs, and its ``id`` (a hash), length ``n`` and ``letters``.
+def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every distinct line that is not blank, in the shared folder: ``line``, the place of its ``first``
+    occurrence, how many ``times`` it occurs, and its ``id`` (a hash), length ``n`` and a few ``letters`` counts.
 
     A place is a number that grows with (doc_id, line number); null ids come last.
     """
-    rows = _occurrences(docs, key, text, min_chars).groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("times"))
-    return saved(rows.withColumns({"id": _id(), "n": F.char_length("line"), "letters": letter_counts(F.col("line"))}))
+    rows = _occurrences(docs, key, text).groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+    return saved(rows.withColumns({"id": _id(), "n": F.char_length("line"), "letters": letter_counts(F.col("line"), _FEW)}))
 
 
 def _place(key: str, number: str) -> Column:
@@ -157,9 +164,9 @@ def _place(key: str, number: str) -> Column:
     return (base * F.lit(1 << 32) + F.col(number)).cast("decimal(38,0)")
 
 
-def _occurrences(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
+def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = docs.select(F.col(f"`{key}`"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("number", "line"))
-    return lines.where(F.char_length("line") >= min_chars).select("line", _place(key, "number").alias("place"))
+    return lines.where(F.col("line").rlike(WORD)).select("line", _place(key, "number").alias("place"))
 
 
 def _id(line: str = "line") -> Column:
@@ -174,24 +181,27 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     that pass the letter-count bound leave it.
     """
     index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
-    probe = probe_rows(lines, threshold).select(F.col("key").alias("pkey"), F.col("id").alias("a"), F.col("letters").alias("letters_a"), (F.col("less") > 0).alias("shorter"))
-    meet = (F.col("pkey") == F.col("key")) & (F.col("shorter") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
-    meet = meet & (letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold)
-    pairs = saved(probe.join(index, meet).select("a", "b").distinct())
+    same = index.select("key", F.col("b").alias("a"), F.col("letters_b").alias("letters_a"))
+    probe = probe_rows(lines, threshold).select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), (F.col("less") > 0).alias("shorter"))
+    alike = letters_apart(F.col("letters_a"), F.col("letters_b"), _FEW) <= 2 * threshold
+    met = same.join(index, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").unionByName(
+        probe.join(index, "key").where((F.col("shorter") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & alike).select("a", "b"))
+    pairs = saved(met.distinct())
     needed = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
     some = lines.select("line", "first", "id").join(small(needed, BROADCAST_ROWS), F.col("id") == F.col("need")).drop("need")
-    left = some.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
-    right = some.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    some = some.withColumn("more", letter_counts(F.col("line"), _LETTERS))
+    left = some.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"), F.col("more").alias("more_a"))
+    right = some.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"), F.col("more").alias("more_b"))
+    both = pairs.join(left, "a").join(right, "b").where(letters_apart(F.col("more_a"), F.col("more_b"), _LETTERS) <= 2 * threshold)
     near = bound(without_common_ends(F.col("line_a"), F.col("line_b")), lambda p: within_edits(p["a"], p["b"], threshold))
     return both.where(near).select("line_a", "first_a", "line_b", "first_b")
 
 
 def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """The distinct lines, and ``line, links, near`` of those with a link: how many different lines are within
-    ``threshold`` edits, and whether one of them occurs earlier."""
-    found = distinct_lines(docs, key, text, min_chars)
-    links = edit_links(found, threshold)
+    ``threshold`` edits, and whether one of them occurs earlier. Lines under ``min_chars`` have no links."""
+    found = distinct_lines(docs, key, text)
+    links = edit_links(found.where(F.col("n") >= min_chars), threshold)
     ends = links.select(F.explode(F.array(
         F.struct(F.col("line_a").alias("line"), (F.col("first_b") < F.col("first_a")).alias("earlier")),
         F.struct(F.col("line_b").alias("line"), (F.col("first_a") < F.col("first_b")).alias("earlier")))).alias("e")).select("e.*")
@@ -211,7 +221,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     told = facts.where("times > 1 or links is not null").select(
         _id().alias("_a"), F.xxhash64(F.lit(1), "line").alias("_b"), "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
     rows = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("number", "line"))
-    rows = rows.where(F.char_length("line") >= min_chars).select(
+    rows = rows.where(F.col("line").rlike(WORD)).select(
         "_id", "_hash", "number", _place("_id", "number").alias("place"), _id().alias("_la"), F.xxhash64(F.lit(1), "line").alias("_lb"))
     hit = rows.join(small(told, BROADCAST_ROWS), (F.col("_la") == F.col("_a")) & (F.col("_lb") == F.col("_b")))
     again = F.col("place") > F.col("first")
@@ -226,12 +236,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     """Every row as ``row`` (its columns), the text without removed lines as ``kept``, and ``n_lines``, ``repeats``, ``nears``, ``links``.
 
     Lines are what stands between newlines. A null text stays null and has no lines; an
-    empty text has one empty line. Lines under ``min_chars`` characters always stay. Rows with
+    empty text has one empty line. Blank lines always stay; lines under ``min_chars`` characters
+    go if an equal one stands earlier, longer ones also if one within ``threshold`` edits does. Rows with
     the same id and text are one document and keep alike; other rows with the same id share
     its place in the order. ``links`` counts, over the document's lines, the different
     lines of the corpus within ``threshold`` edits.
     """
-    removed = small(removed_lines(docs, key, text, threshold, min_chars), BROADCAST_ROWS)
+    removed = small(removed_lines(docs, key, text, threshold, min_chars), BROADCAST_ROWS, 64 + 4 * F.size("numbers"), BROADCAST_BYTES)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     d = docs.select(row, F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"), F.xxhash64(text).alias("_h"))
     out = d.join(removed, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")

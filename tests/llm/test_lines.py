@@ -43,14 +43,14 @@ def brute(rows, threshold=2, least=20):
     for doc, text in sorted(rows, key=lambda r: r[0]):
         for n, line in enumerate((text or "").split("\n") if text is not None else []):
             places[doc, n] = line
-            if len(line) >= least:
+            if line.strip(" \t\n\v\f\r"):
                 first.setdefault(line, (doc, n))
     letters = {a: Counter(a) for a in first}  # an edit changes at most one letter of a for another
 
     def close(a, b):
         return abs(len(a) - len(b)) <= threshold and (letters[a] - letters[b]).total() <= threshold and distance(a, b) <= threshold
 
-    near = {a: [b for b in first if b != a and close(a, b)] for a in first}
+    near = {a: [b for b in first if b != a and min(len(a), len(b)) >= least and close(a, b)] for a in first}
     out = {}
     for doc, text in rows:
         kept, repeats, nears, links = [], 0, 0, 0
