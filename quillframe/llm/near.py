@@ -5,26 +5,30 @@ four; nodes that share a band are candidates, and the exact similarity of their
 sets decides. A pair at similarity 0.8 shares no band with probability
 (1 - 0.8^4)^32 = 4.8e-8, a nearer one with less.
 
-Links connect groups, they do not list all pairs: first every member of a cell is
-compared with the cell's smallest member, and then only pairs that these links have not
-joined are compared, all of them.
+Links connect groups, they do not list all pairs. First every node is compared with the
+smallest node of each of its bands' cells. Cells that these links have not joined whole are
+then compared inside tasks, all pairs of different groups, and only a link that joins
+two groups leaves the task. A large cell is cut into pieces by the bytes of its sets,
+and every two pieces meet in a task of their own. Cells with the same members count once.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import checkpointed, components, saved, text_bytes, text_udf
+from quillframe.llm.common import arrow_rows, checkpointed, components, saved, text_bytes, text_udf
 
 WIDTH = 5  # words of a shingle
 SIMILARITY = 0.8  # Jaccard similarity of linked texts at least
 BANDS, ROWS = 32, 4
+PIECE_BYTES, PIECE_ROWS = 8 << 20, 4_096  # of the sets of a piece, about
 SEED = 42
 _STEP = 4096  # shingles that are hashed at once
 _rng = np.random.default_rng(SEED)
@@ -50,72 +54,120 @@ def _long(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def signature(raw: bytes, width: int = WIDTH) -> tuple[int, int, list[int]]:
-    """A hash of the shingle set (no words: zero), its size, and a hash of each band."""
+def signature(raw: bytes, width: int = WIDTH) -> tuple[bytes, int, list[int]]:
+    """A 128-bit hash of the shingle set (no words: empty), its size, and a hash of each band."""
     found = shingle_set(raw, width)
     if not len(found):
-        return 0, 0, []
+        return b"", 0, []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), _STEP):
         np.minimum(least, (found[at:at + _STEP, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
     bands = [_long(xxhash.xxh64_intdigest(least[i * ROWS:(i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
-    return _long(xxhash.xxh64_intdigest(found.tobytes(), SEED)), len(found), bands
+    return xxhash.xxh3_128_digest(found.tobytes(), SEED), len(found), bands
 
 
 def signature_column(text: str = "text", width: int = WIDTH) -> Column:
-    """Struct ``node, size, bands`` of a text; a null text is empty."""
-    return text_udf(lambda raw: signature(raw, width), "node bigint, size int, bands array<bigint>")(text_bytes(text))
+    """Struct ``set, size, bands`` of a text; a null text is empty."""
+    return text_udf(lambda raw: signature(raw, width), "set binary, size int, bands array<bigint>")(text_bytes(text))
 
 
 def _set_column(text: str, width: int) -> Column:
     return text_udf(lambda raw: (shingle_set(raw, width).tobytes(),), "s binary")(text_bytes(text))["s"]
 
 
-def _common(a: str, b: str) -> Column:
-    """How many hashes two sets share."""
+def _like(common: np.ndarray, size: np.ndarray, other: int, similarity: float) -> np.ndarray:
+    return common >= similarity * (size + other - common) - 1e-9
 
-    @F.arrow_udf("int")
-    def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        sets = ((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True))
-        return pa.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in sets], pa.int32())
 
-    return run(a, b)
+def _sized(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows ``a, b`` of ``pairs`` whose sets (``node, shingles``) have at least the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_c", _common("_x", "_y"))
-    every = (F.octet_length("_x") + F.octet_length("_y")) / 8 - F.col("_c")
-    return both.where(F.col("_c") >= similarity * every - 1e-9).select("a", "b")
+def _pieces(size: Column, rows: Column) -> Column:
+    return F.greatest(F.ceil(8 * size / F.lit(PIECE_BYTES)), F.ceil(rows / F.lit(PIECE_ROWS)), F.lit(1)).cast("int")
 
 
 def cell_members(nodes: DataFrame) -> DataFrame:
-    """Rows ``cell, node, size, least`` of the cells with two members or more; ``least`` is the cell's smallest node."""
+    """Rows ``cell, node, size, least`` of the cells with two members or more; ``least`` is the cell's smallest node.
+
+    Of cells with the same members (told by their number and two 64-bit hash sums) one is kept.
+    """
     cells = nodes.select("node", "size", F.explode("bands").alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1").drop("n")
-    return cells.join(counts, "cell")
+    total = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least"), *total).where("n > 1")
+    one = counts.groupBy("n", "least", "s0", "s1").agg(F.min("cell").alias("cell"))
+    return cells.join(one.select("cell", "least"), "cell")
+
+
+def leader_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` among rows ``leader, node, size``: a leader's set is sent once to every piece of its nodes."""
+    sizes = pairs.groupBy("leader").agg(_pieces(F.sum("size"), F.count("*")).alias("pieces"))
+    cut = pairs.join(sizes, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), "pieces").cast("int").alias("piece"))
+    heads = sizes.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    laid = cut.unionByName(heads).join(sets, "node").withColumn("follows", F.col("node") != F.col("leader"))
+    laid = laid.repartition("leader", "piece").sortWithinPartitions("leader", "piece", "follows", "node")
+
+    def rows(given: Iterable[tuple]) -> Iterator[tuple]:
+        for (leader, _), group in groupby(given, key=itemgetter(0, 1)):
+            head = None
+            for _, _, node, raw in group:
+                own = np.frombuffer(raw, np.uint64)
+                if head is None:
+                    head = own
+                elif _like(np.array(len(np.intersect1d(head, own, assume_unique=True))), np.array(len(own)), len(head), similarity):
+                    yield leader, node
+
+    return arrow_rows(laid.select("leader", "piece", "node", "shingles"), rows, "a bigint, b bigint")
+
+
+def joining_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], across: bool, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between nodes of different roots that join what all similar pairs would (pairs of both sides only, if ``across``)."""
+    label, size = np.unique(root, return_inverse=True)[1], np.array([len(s) for s in sets])
+    shingle, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum([0, *size[:-1]])
+    mark = np.zeros(len(shingle), np.int32)
+    for i in range(len(sets)):
+        open_ = label != label[i]
+        if across:
+            open_ &= side != side[i]
+        if not open_.any():
+            continue
+        own = flat[starts[i]:starts[i] + size[i]]
+        mark[own] = 1
+        near = open_ & _like(np.add.reduceat(mark[flat], starts), size, size[i], similarity)
+        mark[own] = 0
+        for j in np.nonzero(near)[0]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield int(node[i]), int(node[j])
+
+
+def open_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join the different roots in each cell of ``cell, node, size, root`` wherever two nodes are similar."""
+    sizes = members.groupBy("cell").agg(_pieces(F.sum("size"), F.count("*")).alias("pieces"))
+    cut = members.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("node"), "pieces").cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    keyed = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    laid = keyed.join(sets, "node").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
+
+    def rows(given: Iterable[tuple]) -> Iterator[tuple]:
+        for (_, i, j), group in groupby(given, key=itemgetter(0, 1, 2)):
+            _, _, _, own, node, root, raw = zip(*group, strict=True)
+            yield from joining_links(np.array(node), np.array(root), np.array(own), [np.frombuffer(r, np.uint64) for r in raw], i != j, similarity)
+
+    return arrow_rows(laid.select("cell", "i", "j", "own", "node", "root", "shingles"), rows, "a bigint, b bigint")
 
 
 def node_roots(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """Rows ``node, root`` of the nodes with a link. ``nodes`` has ``node, size, bands``, ``texts`` a row ``node, text`` of each node."""
-
-    def sized(n: Column, m: Column) -> Column:
-        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-
     members = saved(cell_members(nodes))
     needed = members.select(F.col("node").alias("_n")).distinct()
     sets = saved(texts.join(needed, F.col("node") == F.col("_n")).select("node", _set_column("text", width).alias("shingles")))
-    first = members.where((F.col("node") != F.col("least.node")) & sized(F.col("size"), F.col("least.size")))
-    links = saved(similar(first.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
+    first = members.where((F.col("node") != F.col("least.node")) & _sized(F.col("size"), F.col("least.size"), similarity))
+    links = saved(leader_links(first.select(F.col("least.node").alias("leader"), "node", "size").distinct(), sets, similarity))
     roots = checkpointed(components(links))
     named = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
         "cell", "node", "size", F.coalesce("root", "node").alias("root"))
     split = named.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    open_cells = saved(named.join(split, "cell"))
-    other = open_cells.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "root")])
-    apart = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & sized(F.col("size"), F.col("size_b"))
-    rest = open_cells.join(other, "cell").where(apart).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = saved(similar(rest, sets, similarity))
+    more = saved(open_links(named.join(split, "cell"), sets, similarity))
     return components(links.unionByName(more))

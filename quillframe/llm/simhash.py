@@ -174,7 +174,8 @@ def keep_one(docs: DataFrame, width: int = near.WIDTH, similarity: float = near.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), kind.alias("_kind"))
     place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_kind").alias("kind"))
     narrow = saved(rows.select(near.signature_column("_text", width).alias("s"), place.alias("place")).select("s.*", "place"))
-    nodes = saved(narrow.groupBy("node").agg(F.min("place").alias("place"), F.min("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = saved(narrow.groupBy("set").agg(F.min("place").alias("place"), F.min("size").alias("size"), F.first("bands").alias("bands"))
+                  .withColumn("node", F.monotonically_increasing_id()))
     at = F.col("_id").eqNullSafe(F.col("place.id")) & (F.col("_kind") == F.col("place.kind"))
     texts = rows.select("_id", "_kind", "_text").join(nodes.select("node", "place"), at).groupBy("node").agg(F.first("_text").alias("text"))
     roots = checkpointed(near.node_roots(nodes, texts, width, similarity))

@@ -56,3 +56,20 @@ def test_band_holds_what_three_bits_lose():
     assert len(shingles(x.decode()) & shingles(y.decode())) >= 0.8 * len(shingles(x.decode()) | shingles(y.decode()))
     p, q = (int.from_bytes(simhash.fingerprint(t), "big") for t in (x, y))
     assert (p ^ q).bit_count() > 3 and set(near.signature(x)[2]) & set(near.signature(y)[2])
+
+
+def test_dense_group_between_the_similarities(spark, monkeypatch):
+    """Hundreds of copies of one text at mutual similarities around the threshold, in one piece and in many."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+    texts = {}
+    for d in range(500):
+        words = list(base)
+        for i in rnd.sample(range(120), rnd.choice([1, 2, 3, 4])):
+            words[i] = f"x{rnd.randrange(9)}"
+        texts[d] = " ".join(words)
+    want = plain_kept(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want and len(want) > 1
+    monkeypatch.setattr(near, "PIECE_ROWS", 64)
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want

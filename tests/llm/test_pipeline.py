@@ -5,7 +5,7 @@ from quillframe.llm import packing
 from quillframe.llm.queries import QUERIES, word_tokenizer
 
 from .test_lines import brute
-from .test_simhash import plain_components, plain_print
+from .test_near import plain_kept
 
 
 def test_stages_do_their_work(spark, folder):
@@ -26,11 +26,11 @@ def test_stages_do_their_work(spark, folder):
     assert lines.columns == names and cut == {d: r[4] for d, r in brute(sorted(kept.items())).items()}
 
     single = corpus_pipeline.saved(stages["simhash_near_dedup"](spark, lines, folder))
-    groups = plain_components({d: plain_print(t) for d, t in cut.items()})
-    assert single.columns == names and set(texts(single)) == set(groups.values())
+    first = plain_kept(cut)
+    assert single.columns == names and set(texts(single)) == first
 
     mixed = corpus_pipeline.saved(stages["mix_sources"](spark, single, folder))
-    assert mixed.columns == names and set(texts(mixed)) <= set(groups.values())
+    assert mixed.columns == names and set(texts(mixed)) <= first
 
     packed = stages["best_fit_packing"](spark, mixed, folder).collect()
     ids = packing.WordIds(word_tokenizer())
