@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,3 +104,21 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,
     table = labels.join(names, "label").select("id", "_n")
     of_point = base.join(table, "id", "left").select(F.col("v").alias("_pv"), "_n")
     return rows.join(of_point, F.col("_v") == F.col("_pv"), "left").withColumn(out, F.coalesce("_n", F.lit(-1).cast("long"))).drop("_v", "_pv", "_n")
+
+
+@dataclass
+class Density:
+    """Estimator and model over a vector column ``features``. Density clusters are those of the rows given to ``transform``:
+    the method has no rule for rows it has not seen."""
+
+    eps: float = 0.5
+    min_samples: int = 5
+
+    def fit(self, data: DataFrame) -> Density:
+        return self
+
+    def transform(self, data: DataFrame) -> DataFrame:
+        size = data.select(F.size(vector_to_array("features"))).first()
+        names = [f"_f{i}" for i in range(size[0] if size else 0)]
+        flat = data.withColumns({n: vector_to_array("features")[i] for i, n in enumerate(names)})
+        return dbscan(flat, names, self.eps, self.min_samples, "prediction").withColumn("prediction", F.col("prediction").cast("int")).drop(*names)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.columns import col, is_numeric, num, numeric_cols, resolve, text_cols
+from quillframe.functions.density import Density
+from quillframe.functions.linkage import Linkage
 from quillframe.functions.ordered import index_rows
 from quillframe.functions.profile import fit as fit_row, rows_of, safe_div, skew_g1
 from quillframe.operators.analysis import report
@@ -63,7 +65,8 @@ def regressors() -> dict[str, Callable]:
 
 
 def clusterers(k: int) -> dict[str, Callable]:
-    return {"kmeans": lambda: KMeans(k=k, seed=SEED), "gaussian_mixture": lambda: GaussianMixture(k=k, seed=SEED)}
+    return {"kmeans": lambda: KMeans(k=k, seed=SEED), "gaussian_mixture": lambda: GaussianMixture(k=k, seed=SEED),
+            "dbscan": lambda: Density(), "hierarchical": lambda: Linkage(k)}
 
 
 # Parameters tried when tuning, per family.
@@ -390,6 +393,14 @@ def train(df: DataFrame, target: str | None = None, task: str = "auto", names: S
     return Trained(kind, best, models[best], data.fitted, data.features, data.labels, data.log_target, table, weights, {"data": data})
 
 
+def silhouette(placed: DataFrame) -> float:
+    """Mean silhouette of the rows in clusters (noise, below 0, is left out); -1 for fewer than two clusters."""
+    some = placed.where("prediction >= 0")
+    if len(some.select("prediction").distinct().limit(2).collect()) < 2:
+        return -1.0
+    return float(ClusteringEvaluator().evaluate(some))
+
+
 def train_clusters(df: DataFrame, names: Sequence[str] | None = None, k: int = 3) -> Trained:
     fitted = Fitted()
 
@@ -407,8 +418,7 @@ def train_clusters(df: DataFrame, names: Sequence[str] | None = None, k: int = 3
     now = fitted.transform(df)
     features = numeric_cols(now)
     data = assemble(now, features).persist()
-    ev = ClusteringEvaluator()
     made = {a: clusterers(k)[a]().fit(data) for a in (names or clusterers(k))}
-    rows = sorted(((a, round(float(ev.evaluate(m.transform(data))), 6)) for a, m in made.items()), key=lambda t: -t[1])
+    rows = sorted(((a, round(silhouette(m.transform(data)), 6)) for a, m in made.items()), key=lambda t: -t[1])
     data.unpersist()
     return Trained("clustering", rows[0][0], made[rows[0][0]], fitted, features, [], False, report(df, rows, "algorithm string, silhouette double"))

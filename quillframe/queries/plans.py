@@ -157,6 +157,6 @@ Q = {
     "plans.train": query(lambda t: trained(t).comparison),
     "plans.predict": query(lambda t: trained(t).predict(LABELLED(t)).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))),
     "plans.train_regression": query(lambda t: T.train(t.part.select("p_size", "p_brand", "p_retailprice"), "p_retailprice", "regression", names=["ridge", "decision_tree_reg"], folds=2, tune_top=1).comparison),
-    "plans.train_clusters": query(lambda t: T.train_clusters(t.customer.select("c_acctbal", "c_nationkey", "c_mktsegment"), ["kmeans", "gaussian_mixture"]).comparison),
+    "plans.train_clusters": query(lambda t: T.train_clusters(t.customer.select("c_acctbal", "c_nationkey", "c_mktsegment"), ["kmeans", "gaussian_mixture", "dbscan", "hierarchical"]).comparison),
     "plans.auto_features": query(lambda t: P.auto_features(t.measures.withColumn("twin", F.col("l_extendedprice") * 2), "l_tax").transform(t.measures.withColumn("twin", F.col("l_extendedprice") * 2)), LI + "SELECT l_quantity, l_extendedprice, l_tax FROM li"),
 }
