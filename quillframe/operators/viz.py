@@ -1,13 +1,15 @@
 """The bounded frame behind each chart. Nothing is drawn.
 
-Every frame is an aggregate or a repeatable hash sample, so its size does not grow
+Every frame is an aggregate of all rows, so its size does not grow
 with the data.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from quillframe.functions.ordered import index_rows
 from quillframe.functions.profile import fit, matrix, nulls, profile, r, rows_of, safe_corr, safe_div
 from quillframe.functions.quantile import quantiles
 from quillframe.functions.scale import moments
-from quillframe.operators.stats import grouped_stats, hash_order, pct
+from quillframe.operators.stats import grouped_stats, pct
 from quillframe.registry import operator
 
 POINTS = 1000
@@ -45,20 +47,41 @@ def counts_chart(df: DataFrame, column, n: int, share_of_all: bool = True) -> Da
     return top.select(F.col("value").cast("string").alias("category"), "count", "pct").orderBy(F.desc("count"), "category")
 
 
-def series_chart(df: DataFrame, cols: Sequence[str], order_by, points: int, build=None) -> DataFrame:
-    """(position, value...): at most ``points`` equal slices of the ordered rows, each with its mean."""
+def series_chart(df: DataFrame, cols: Sequence[str], order_by, points: int) -> DataFrame:
+    """(position, value...): the rows that a line needs. Of each of ``points`` / 4 equal slices of the ordered rows, the first, the last,
+    the least and the largest value of every column (M4): a line through them covers the same pixels, and no peak is lost."""
     ix = index_rows(df, order_by)
-    if build is not None:
-        ix = build(ix)
-    size = max(-(-ix.rows // points), 1)
-    out = ix.df.groupBy(F.floor(F.col("_idx") / size).alias("_b")).agg(
-        F.min("_idx").alias("position"), *[F.avg(num(c)).alias(c) for c in cols])
-    return out.drop("_b").orderBy("position")
+    size = max(-(-ix.rows // max(points // 4, 1)), 1)
+    row, picks = F.struct(F.col("_idx").alias("position"), *[num(c).alias(c) for c in cols]), []
+    for c in cols:
+        x, known = num(c), num(c).isNotNull()
+        at, low = F.when(known, F.col("_idx")), F.when(known, F.struct(x, F.col("_idx")))
+        picks += [F.min_by(row, at), F.max_by(row, at), F.min_by(row, low), F.max_by(row, F.when(known, F.struct(x, -F.col("_idx"))))]
+    kept = ix.df.groupBy(F.floor(F.col("_idx") / size).alias("_b")).agg(*[p.alias(f"_p{i}") for i, p in enumerate(picks)])
+    each = F.array_distinct(F.array_compact(F.array(*[f"_p{i}" for i in range(len(picks))])))
+    return kept.select(F.inline(each)).orderBy("position")
+
+
+def point_cells(df: DataFrame, a: str, b: str, points: int, means: Sequence[str] = (), by: str | None = None) -> DataFrame:
+    """([by], x_bin, y_bin, a, b, means..., count): all rows with both coordinates, in at most ``points`` equal cells (of each group), each at the mean of its rows."""
+    bins = max(math.isqrt(points), 1)
+    s = fit(df, a=F.min(num(a)), b=F.max(num(a)), c=F.min(num(b)), d=F.max(num(b)))
+    some = df.where(num(a).isNotNull() & num(b).isNotNull())
+    keys = [histogram_bin(num(a), s["a"], s["b"], bins).alias("x_bin"), histogram_bin(num(b), s["c"], s["d"], bins).alias("y_bin")] if s["a"] is not None and s["c"] is not None else [
+        F.lit(0).alias("x_bin"), F.lit(0).alias("y_bin")]
+    return some.groupBy(*([col(by)] if by else []), *keys).agg(*[F.avg(num(c)).alias(c) for c in dict.fromkeys([a, b, *means])], F.count(F.lit(1)).alias("count"))
 
 
-def sampled(df: DataFrame, cols: Sequence[str], points: int, seed: int = 42) -> DataFrame:
-    some = df.select(*[col(c) for c in dict.fromkeys(cols)])
-    return some.orderBy(*hash_order(some, seed)).limit(points)
+def pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]], points: int) -> DataFrame:
+    """(x, y, x_bin, y_bin, x_mean, y_mean, count): the cells of several column pairs, at most ``points`` in all, in one pass."""
+    bins = max(math.isqrt(points // max(len(pairs), 1)), 1)
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    s = fit(df, **{f"{e}{i}": f(num(c)) for i, c in enumerate(cols) for e, f in (("a", F.min), ("b", F.max))})
+    place = {c: F.when(num(c).isNotNull(), histogram_bin(num(c), s[f"a{i}"], s[f"b{i}"], bins)) if s[f"a{i}"] is not None else F.lit(None).cast("int") for i, c in enumerate(cols)}
+    long = df.select(F.inline(F.array(*[F.struct(
+        F.lit(a).alias("x"), F.lit(b).alias("y"), place[a].alias("x_bin"), place[b].alias("y_bin"), num(a).cast("double").alias("_a"), num(b).cast("double").alias("_b")) for a, b in pairs])))
+    return long.where("x_bin is not null and y_bin is not null").groupBy("x", "y", "x_bin", "y_bin").agg(
+        F.avg("_a").alias("x_mean"), F.avg("_b").alias("y_mean"), F.count(F.lit(1)).alias("count"))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -267,27 +290,31 @@ def histogram_2d(df: DataFrame, columns: Sequence[str] | None = None, bins: int
 
 @operator("viz.bubble_chart")
 def bubble_chart(df: DataFrame, points: int = POINTS) -> DataFrame:
-    return sampled(df, pick_many(df, None), points)
+    """Cells of the first two numeric columns with the means of the others."""
+    cols = pick_many(df, None)
+    return point_cells(df, *cols[:2], points, cols[2:])
 
 
 @operator("viz.parallel_coords")
 def parallel_coords(df: DataFrame, points: int = POINTS, max_columns: int | None = None) -> DataFrame:
-    return sampled(df, pick_many(df, None)[:max_columns], points)
+    """Line bundles between neighbouring columns: how many rows run from one bin to another."""
+    cols = pick_many(df, None)[:max_columns]
+    return pair_cells(df, list(zip(cols, cols[1:])), points)
 
 
 @operator("viz.pairplot")
 def pairplot(df: DataFrame, points: int = POINTS, max_columns: int | None = None) -> DataFrame:
-    return sampled(df, pick_many(df, None)[:max_columns], points)
+    return pair_cells(df, list(combinations(pick_many(df, None)[:max_columns], 2)), points)
 
 
-def fitted_points(df: DataFrame, columns, points: int, extra: Sequence[str] = ()) -> DataFrame:
-    """Sampled points with r and the least-squares line of all rows."""
+def fitted_points(df: DataFrame, columns, points: int, by: str | None = None) -> DataFrame:
+    """Cells of all rows with r and the least-squares line of all rows."""
     a, b = pick_pair(df, columns, "numeric")
     x, y = num(a), num(b)
     both = x.isNotNull() & y.isNotNull()
     line = df.agg(r(safe_corr(x, y)).alias("r"), F.regr_slope(F.when(both, y), F.when(both, x)).alias("slope"),
                   F.regr_intercept(F.when(both, y), F.when(both, x)).alias("intercept"))
-    return sampled(df, [a, b, *extra], points).crossJoin(F.broadcast(line)).withColumn("fitted", F.col("intercept") + F.col("slope") * x)
+    return point_cells(df, a, b, points, by=by).crossJoin(F.broadcast(line)).withColumn("fitted", F.col("intercept") + F.col("slope") * col(a))  # one row
 
 
 @operator("viz.correlation_scatter")
@@ -297,22 +324,26 @@ def correlation_scatter(df: DataFrame, columns: Sequence[str] | None = None, poi
 
 @operator("viz.scatter")
 def scatter(df: DataFrame, columns: Sequence[str] | None = None, color: str | None = None, points: int = POINTS) -> DataFrame:
-    return fitted_points(df, columns, points, [resolve(df, color)] if color else [])
+    return fitted_points(df, columns, points, resolve(df, color) if color else None)
 
 
-def group_points(df: DataFrame, column, group, points: int) -> DataFrame:
+def group_points(df: DataFrame, column, group, bins: int) -> DataFrame:
+    """([group], bin, value, count): the values of each group in ``bins`` equal steps, at the mean of the step's rows."""
     c, g = pick(df, column, "numeric"), resolve(df, group) if group else (text_cols(df) or [None])[0]
-    return sampled(df.where(num(c).isNotNull()), [c] + ([g] if g else []), points)
+    s = fit(df, a=F.min(num(c)), b=F.max(num(c)))
+    step = histogram_bin(num(c), s["a"], s["b"], bins) if s["a"] is not None else F.lit(0)
+    return df.where(num(c).isNotNull()).groupBy(*([col(g)] if g else []), step.alias("bin")).agg(F.avg(num(c)).alias(c), F.count(F.lit(1)).alias("count"))
 
 
 @operator("viz.strip_plot")
-def strip_plot(df: DataFrame, column: str | None = None, group: str | None = None, points: int = POINTS) -> DataFrame:
-    return group_points(df, column, group, points)
+def strip_plot(df: DataFrame, column: str | None = None, group: str | None = None, bins: int = 100) -> DataFrame:
+    return group_points(df, column, group, bins)
 
 
 @operator("viz.swarm_plot")
-def swarm_plot(df: DataFrame, column: str | None = None, group: str | None = None, points: int = 500) -> DataFrame:
-    return group_points(df, column, group, points)
+def swarm_plot(df: DataFrame, column: str | None = None, group: str | None = None, bins: int = 40) -> DataFrame:
+    """As ``strip_plot``; ``count`` is the width of the swarm at the step."""
+    return group_points(df, column, group, bins)
 
 
 @operator("viz.candlestick")
