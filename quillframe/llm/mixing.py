@@ -86,12 +86,15 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     ``from_word`` of the document and going round. A null text has no words and takes
     none; a null source is a source, the last; repeated rows are separate documents.
     An empty table gives no rows. Shards hold about ``shard_words`` words, so a hot
-    source is many groups.
+    source is many groups. So that small sources come near their targets, a block is no
+    longer than a quarter of the smallest target.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row")
     d = docs.select(row, F.col(f"`{key}`").alias("_id"), F.col(f"`{source}`").alias("_source"), word_count(text).alias("size"))
     sizes = d.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, repeats)
+    targets = small(source_targets(sizes, repeats))  # one row per source
+    least = targets.where("target > 0").agg(F.min("target")).first()[0]
+    block_words = max(min(block_words, int((least or 0) / 4)), 1)
     seats = targets.withColumn("_k", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long"))
     seats = seats.withColumn("_most", F.floor(repeats * F.col("source_size") / block_words).cast("long"))
     seats = sainte_lague(seats.withColumnRenamed("_most", "most"), "target", "_k", "most", [], ["source"]).drop("most", "_k")

@@ -100,3 +100,11 @@ def test_empty_table_and_part_of_a_text(spark):
     assert mixing.some_words(" a\tb  c d ", 2, 3) == "c d\na" and mixing.some_words("a b", 0, 1) == "a"
     clash = spark.createDataFrame([(1, "a", "x y", 7), (1, "a", "x y", 7), (None, None, "z", 7)], "doc_id long, source string, text string, size int")
     assert sum(r["taken"] for r in mixing.mix(clash, block_words=1).collect()) >= 4
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, f"s{i:02}", "w " * 5) for i in range(30)] + [(100 + i, "big", "w " * 200) for i in range(100)] + [(300, "one", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()
+    check(rows, got, slack=2)
+    assert all(r["taken"] >= 1 for r in got if r["source"] != "big")
