@@ -93,9 +93,10 @@ def labelled_findings(found: DataFrame) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text", "source")
-    found = secret_scan.candidates(docs, secret_scan.fit_text_model(docs), path="source")
-    found = saved(found)
-    out = secret_scan.judge(found, secret_scan.fit_forest(labelled_findings(found)))
+    model = secret_scan.fit_text_model(docs)
+    found = saved(secret_scan.candidates(docs, model, path="source"))
+    labelled = labelled_findings(found).select("candidate", "start", "label", *secret_scan.FEATURES)
+    out = secret_scan.judge(found, secret_scan.fit_forest(labelled.unionByName(secret_scan.drawn_assignments(docs, model))))
     return out.select("doc_id", "start", F.col("length_chars").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret")
 
 

@@ -3,8 +3,9 @@
 Candidates are long runs of key characters and values that are assigned to a name. The
 forest sees their length, how likely their characters follow each other in ordinary text,
 how much of them dictionary words cover, the place they come from and the words beside
-them. It is trained from labelled findings; character transitions and the dictionary are
-counted over the whole corpus.
+them. It is trained from labelled findings and from two kinds of drawn assignments: ordinary words
+of the corpus, and digests of them in the alphabets of keys. So what tells a secret is the value, not that it
+is assigned nor one format. Character transitions and the dictionary are counted over the whole corpus.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha512
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -27,6 +29,7 @@ MIN_LENGTH = 16  # of a run that stands alone
 MIN_VALUE = 8  # of a value that is assigned to a name
 DICTIONARY_WORDS = 50_000  # most frequent words that are kept
 LABELLED_ROWS = 20_000  # bound of the labelled findings that the forest is fitted on
+DRAWN_WORDS = 3_000  # bound, about, of the words behind drawn assignments; each gives an ordinary one and a random one
 FLUSH = 100_000  # words that a task counts before it passes them on
 #: Names that secrets are assigned to, and parts of paths that hold made-up ones.
 NAMES = ("token", "password", "passwd", "pwd", "secret", "apikey", "api_key", "key", "credential", "auth", "access")
@@ -108,7 +111,12 @@ def fit_text_model(docs: DataFrame, text: str = "text", words: int = DICTIONARY_
     for r in counted.where("item like '#%'").collect():  # at most 784 rows
         table[int(r["item"][1:])] += r["n"]
     table = table.reshape(28, 28)
-    top = [r["item"].encode() for r in counted.where("item not like '#%'").orderBy(F.desc("n"), "item").limit(words).collect()]
+    listed = counted.where("item not like '#%'")
+    total = listed.count()
+    if total > words:  # a cut a little below the last count that is kept, so that tasks hand in little more than what stays
+        cut = listed.agg(F.percentile_approx("n", max(1 - 1.1 * words / total, 0.0), 10_000)).first()[0]
+        listed = listed.where(F.col("n") >= cut)
+    top = [r["item"].encode() for r in listed.orderBy(F.desc("n"), "item").limit(words).collect()]
     return TextModel(np.log(table / table.sum(axis=1, keepdims=True)), frozenset(top), max(map(len, top), default=0))
 
 
@@ -152,16 +160,63 @@ def candidates(docs: DataFrame, model: TextModel, key: str = "doc_id", text: str
     return arrow_rows(part, rows, f"_key {dict(part.dtypes)['_key']}, {CANDIDATES}").withColumnRenamed("_key", key)
 
 
-def fit_forest(findings: DataFrame, max_labelled: int = LABELLED_ROWS, trees: int = 30, seed: int = 3) -> RandomForestClassificationModel:
-    """Fit on labelled findings (``FEATURES`` and ``label`` 0 or 1), at most ``max_labelled`` by a hash of candidate and place."""
+#: Alphabets of keys and lengths of keys.
+ALPHABETS = (b"0123456789abcdef", b"0123456789ABCDEF", b"0123456789abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+             b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+KEY_LENGTHS = (18, 20, 24, 28, 32, 36, 40, 48, 64)
+OTHER_NAMES = ("name", "title", "url", "path", "version", "author", "encoding", "module")
+
+
+def _ordinary(w: str, h: int) -> str:
+    """The word alone, or joined as in names, paths, versions and titles."""
+    head = w[:len(w) // 2 + 1]
+    return (w, f"{w}.{head}", f"/{head}/{w}", f"https://{w}.org/{head}", f"{w} {head.title()}", f"{head}-{len(w)}.{h % 7}", f"{w}_{head}", f"{w.title()}{head.title()}")[h % 8]
+
+
+def _random(w: str, h: int) -> str:
+    """A digest of the word as a key."""
+    letters, n = ALPHABETS[h % len(ALPHABETS)], KEY_LENGTHS[h // 8 % len(KEY_LENGTHS)]
+    raw = sha512(w.encode()).digest()
+    return bytes(letters[c % len(letters)] for c in raw[:n]).decode()
+
+
+def drawn_assignments(docs: DataFrame, model: TextModel, text: str = "text", words: int = DRAWN_WORDS, seed: int = 5) -> DataFrame:
+    """Labelled findings (``FEATURES``, ``candidate``, ``start``, ``label``) made of about ``words`` words that stand in several places of the
+    corpus and have few digits: an ordinary value (label 0) and a random one (1) of each, behind one of ``NAMES`` or ``OTHER_NAMES``."""
+    word = F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\x20\x09-\x0D]+")).alias("w")
+    plain = F.col("w").rlike(r"^[\p{L}\p{N}][\p{L}\p{N}._/:@,;-]*$") & F.char_length("w").between(3, 60) & (F.char_length(F.regexp_replace("w", r"[^0-9]", "")) < 4)
+    kept = saved(docs.select(word).where(plain).groupBy("w").count().where("count > 1").select("w"))
+    share = F.pmod(F.xxhash64(F.lit(seed), "w"), F.lit(1 << 40)) < int(min(1.0, words / max(kept.count(), 1)) * (1 << 40))
+    drawn = kept.where(share).select("w", F.xxhash64(F.lit(seed + 1), "w"))
+
+    def rows(given: Iterable[tuple]) -> Iterator[tuple]:
+        for w, h in given:
+            names = NAMES + OTHER_NAMES
+            for label, value in enumerate((_ordinary(w, h), _random(w, h))):
+                at = h // 64 + label
+                mark = ('"', "'", "")[at % 3]
+                raw = f"{w} {names[at // 3 % len(names)]} {'=:'[at // 64 % 2]} {mark}{value}{mark} {w}".encode()
+                for a, b in find_candidates(raw):
+                    yield (raw[a:b].decode("utf-8", "replace"), a, label, *describe(raw, a, b, "", model))
+
+    return arrow_rows(drawn, rows, "candidate string, start bigint, label int, " + ", ".join(f"{f} double" for f in FEATURES))
+
+
+def fit_forest(findings: DataFrame, max_labelled: int = LABELLED_ROWS, trees: int = 30, seed: int = 3) -> RandomForestClassificationModel | None:
+    """Fit on labelled findings (``FEATURES`` and ``label`` 0 or 1), at most ``max_labelled`` by a hash of candidate and place;
+    none where no finding is labelled 1."""
     rows = findings.where("label is not null").select(*FEATURES, F.col("label").cast("double").alias("label"), "candidate", "start")
     rows = rows.orderBy(F.xxhash64("candidate", "start"), "candidate", "start", *FEATURES).limit(max_labelled)
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(saved(rows))
+    if data.where("label = 1").isEmpty():
+        return None
     return RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed, featureSubsetStrategy="sqrt").fit(data)
 
 
-def judge(found: DataFrame, forest: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
-    """Add ``probability`` and ``secret`` to candidates."""
+def judge(found: DataFrame, forest: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
+    """Add ``probability`` and ``secret`` to candidates; without a forest nothing is known to be a secret (probability 0)."""
+    if forest is None:
+        return found.withColumns({"probability": F.lit(0.0), "secret": F.lit(False)})
     scored = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
     p = F.get(vector_to_array("probability"), 1) if forest.numClasses > 1 else F.lit(0.0)
     return scored.withColumn("_p", p).drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("_p", "probability").withColumn("secret", F.col("probability") >= threshold)
