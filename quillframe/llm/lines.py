@@ -18,11 +18,11 @@ from quillframe.llm.common import bound, saved, small
 
 THRESHOLD = 2  # edits (insert, delete, replace) at most
 MIN_CHARS = 20  # shorter lines are compared for equality alone, not by edits
-BROADCAST_ROWS = 50_000  # counted rows of narrow tables that may be broadcast; beyond it Spark shuffles
-BROADCAST_BYTES = 4 << 20  # and their measured bytes
+BROADCAST_ROWS = 200_000  # counted rows of narrow tables that may be broadcast; beyond it Spark shuffles
+BROADCAST_BYTES = 16 << 20  # and their measured bytes
 WORD = r"[^\x20\x09-\x0D]"  # a line without such a character is blank and always stays
-_FEW = " ea"  # counted for every line, for the bound inside the join
-_LETTERS = "notihrsd"  # counted for lines that met, six bits each
+_FEW = " eantirosd"  # counted for every line, for the bound inside the join, six bits each
+_LETTERS = "hlucmpgf"  # counted for lines that met
 
 
 def segment_spans(n: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -222,9 +222,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
         _id().alias("_a"), F.xxhash64(F.lit(1), "line").alias("_b"), "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
     rows = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("number", "line"))
     rows = rows.where(F.col("line").rlike(WORD)).select(
-        "_id", "_hash", "number", _place("_id", "number").alias("place"), _id().alias("_la"), F.xxhash64(F.lit(1), "line").alias("_lb"))
+        "_id", "_hash", "number", _id().alias("_la"), F.xxhash64(F.lit(1), "line").alias("_lb"))
     hit = rows.join(small(told, BROADCAST_ROWS), (F.col("_la") == F.col("_a")) & (F.col("_lb") == F.col("_b")))
-    again = F.col("place") > F.col("first")
+    again = _place("_id", "number") > F.col("first")
     hit = hit.groupBy("_id", "_hash", "number").agg(F.max(again).alias("again"), F.max("near").alias("near"), F.max("links").alias("links"))
     gone = F.col("again") | F.col("near")
     return hit.groupBy("_id", "_hash").agg(
