@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier with an unknown class, confirmed by templates. DataFrame operations and JVM models only.
 
-Paragraphs are the lines of a text. Word n-grams are hashed to a sparse vector, a
-multinomial logistic regression names the family or ``unknown``, its probabilities are
-calibrated on rows it was not fitted on, and a finding counts only where the paragraph
-holds most word pairs of one of the family's templates. That last test needs certain
-words, so paragraphs without any of them are passed over unseen by the model; the result
-is the same.
+A paragraph is a run of lines between blank lines, so a notice may be wrapped over lines.
+It is read in windows of words that overlap by half; the longest template fits into half a
+window, so every notice lies whole in one of them, however long the paragraph is. Word
+n-grams are hashed to a sparse vector, a multinomial logistic regression names the family
+or ``unknown``, and its probabilities are calibrated on rows it was not fitted on. A
+prediction above the cut is a finding where the window holds most word pairs of one of the
+predicted family's templates. That last test needs certain words, so windows without any
+of them are passed over unseen by the model; the result is the same.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ FEATURES = 1 << 13
 SURROUNDINGS = 12  # corpus lines that notices are put beside
 UNKNOWN_ROWS = 4_000  # bound of the sample of other paragraphs that the model is fitted on
 CONFIRM = 0.75  # share of a template's word pairs that a finding holds
+MIN_WINDOW = 64  # words; longer templates make longer windows
+TRAINING_CHARS = 2_000  # windows of longer text (of very long words) are scanned but not trained on
 
 
 def words_of(text: str) -> list[str]:
@@ -66,8 +70,37 @@ def gate_words(templates: dict[str, list[str]], confirm: float) -> list[str]:
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``key, paragraph, body`` of every line with a character; a null text has none."""
-    return docs.select(F.col(f"`{key}`"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("paragraph", "body")).where("body != ''")
+    """Rows ``key, _text, paragraph, body``: runs of lines that are not blank, by the 0-based number of their first line.
+
+    ``_text`` is a hash of the text. A null text and one of blank lines have none.
+    """
+    lines = docs.select(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")).alias("_text"), F.split(F.col(f"`{text}`"), "\n").alias("_l"))
+    lines = lines.withColumn("_full", F.transform("_l", lambda x: x.rlike(r"\S")))
+    numbers = F.sequence(F.lit(0), F.size("_l") - 1)
+
+    def edge(step: int) -> Column:
+        """Full lines whose neighbour on one side is blank or missing."""
+        return F.filter(numbers, lambda i: F.get("_full", i) & ~F.coalesce(F.get("_full", i + step), F.lit(False)))
+
+    lines = lines.where(F.col("_l").isNotNull()).withColumn("_runs", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")))
+    return lines.select(F.col(f"`{key}`"), "_text", F.inline(F.transform("_runs", lambda z: F.struct(
+        z["a"].alias("paragraph"), F.array_join(F.slice("_l", z["a"] + 1, z["b"] - z["a"] + 1), "\n").alias("body")))))
+
+
+def window_words(templates: dict[str, list[str]]) -> int:
+    """Words of a window: twice the longest template, at least ``MIN_WINDOW``."""
+    return max(MIN_WINDOW, 2 * max(len(words_of(t)) for family in templates.values() for t in family))
+
+
+def windows(parts: DataFrame, size: int) -> DataFrame:
+    """Split ``body`` of paragraphs into windows of ``size`` words, half a window apart: ``word`` is the first one's
+    0-based number in the paragraph, ``body`` the words joined by spaces. Paragraphs without a word have none."""
+    step = size // 2
+    rest = [c for c in parts.columns if c != "body"]
+    split = parts.select(*[F.col(f"`{c}`") for c in rest], _words(F.col("body")).alias("_w")).where(F.size("_w") > 0)
+    last = F.ceil(F.greatest(F.size("_w") - size, F.lit(0)) / step).cast("int") * step
+    return split.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.struct(
+        i.alias("word"), F.array_join(F.slice("_w", i + 1, size), " ").alias("body")))))
 
 
 def _words(body: Column) -> Column:
@@ -83,8 +116,8 @@ def _triples(words: Column) -> Column:
     return F.zip_with(_pairs(F.slice(words, 1, n + 1)), F.slice(words, 3, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def gated(rows: DataFrame, words: list[str]) -> DataFrame:
-    low = F.lower("body")
+def gated(rows: DataFrame, words: list[str], text: str = "body") -> DataFrame:
+    low = F.lower(F.col(f"`{text}`"))
     test = F.lit(False)
     for w in words:
         test = test | F.contains(low, F.lit(w))
@@ -130,33 +163,41 @@ def _tempered(t: float) -> Column:
     return F.transform(F.array(powers), lambda q: F.transform(q, lambda x: x / F.aggregate(q, F.lit(0.0), lambda a, b: a + b)))[0]
 
 
+def gated_windows(docs: DataFrame, templates: dict[str, list[str]], confirm: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All windows that can hold the share ``confirm`` of a template; texts, then paragraphs, then windows without gate words go."""
+    gate = gate_words(templates, confirm)
+    parts = gated(paragraphs(gated(docs, gate, text), key, text), gate)
+    return gated(windows(parts, window_words(templates)), gate)
+
+
 def training_rows(docs: DataFrame, templates: dict[str, list[str]], unknown_rows: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Labelled paragraphs ``body, label``: notices in several surroundings, and other paragraphs of the corpus.
+    """Labelled windows ``body, label``: notices in several surroundings, and other windows of the corpus.
 
     The others are at most ``unknown_rows``, by a hash of their text, half of them with words of the
     notices; those that hold a quarter of any template's word pairs are left out. A notice
-    stands alone, after a line's words, before them, and with a name and year, and
+    stands alone, after a line's words, before them, between them, and with a name and year, and
     unknown rows also come from notices cut to their first quarter.
     """
     spark = docs.sparkSession
     families = sorted(templates)
     all_texts = [t for f in families for t in templates[f]]
-    other = paragraphs(docs, key, text).select("body").where(F.char_length("body") <= 2000)
-    gate = gated(other, gate_words(templates, CONFIRM))
+    eighth = docs.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(8)) == 0)
 
     def some(rows: DataFrame) -> DataFrame:
-        return rows.select("body").distinct().orderBy(F.xxhash64("body"), "body").limit(unknown_rows // 2)
+        rows = rows.select("body").where(F.char_length("body") <= TRAINING_CHARS)
+        return rows.distinct().orderBy(F.xxhash64("body"), "body").limit(unknown_rows // 2)
 
-    plain = some(other.where(F.pmod(F.xxhash64("body"), F.lit(8)) == 0))
-    paired = saved(plain.unionByName(some(gate)).distinct().withColumn("_p", _pairs(_words(F.col("body")))))
+    plain = some(windows(paragraphs(eighth, key, text), window_words(templates)))
+    paired = saved(plain.unionByName(some(gated_windows(docs, templates, CONFIRM, key, text))).distinct().withColumn("_p", _pairs(_words(F.col("body")))))
     unknown = saved(paired.where(template_share(F.col("_p"), all_texts) < 0.25).select("body"))
-    around = [r["body"] for r in unknown.orderBy(F.xxhash64(F.lit(5), "body")).limit(SURROUNDINGS).select(F.substring("body", 1, 160).alias("body")).collect()]
+    around = [r["body"] for r in unknown.orderBy(F.xxhash64(F.lit(5), "body")).limit(SURROUNDINGS).select(F.substring("body", 1, 180).alias("body")).collect()]
     rows = []
     for family in families:
         for t in templates[family]:
             cut = " ".join(t.split()[:max(1, len(t.split()) // 4)])
             rows += [(family, x) for x in (t, t.upper(), f"{t}.", f"Copyright (c) 2020 {t}")]
-            rows += [(family, x) for b in around for x in (f"{b}. {t}", f"{t}. {b}", f"{b} {t} {b}")]
+            rows += [(family, x) for b in around for x in (f"{b}. {t}", f"{t}. {b}")]
+            rows += [(family, f"{a} {t} {b}") for a, b in zip(around, around[1:] + around[:1])]
             rows += [(UNKNOWN, f"{cut} {b}") for b in around]
     known = spark.createDataFrame(rows, "label string, body string")
     return known.unionByName(unknown.select(F.lit(UNKNOWN).alias("label"), "body")).distinct()
@@ -186,19 +227,22 @@ def fit_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, u
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``key, paragraph, family, probability, share`` of every paragraph with a confirmed licence, whole texts.
+    """Rows ``key, paragraph, word, family, probability, share`` of every licence that a paragraph names, whole texts.
 
-    ``paragraph`` is the 0-based line, ``share`` the part of the best template's word pairs it
-    holds. Paragraphs whose best family is unknown, is below the cut or is not confirmed
-    give no row; null and empty texts and empty tables give none. Repeated rows are scanned each.
+    ``paragraph`` is the 0-based line the paragraph starts at, ``word`` the first word of the window
+    with the highest probability (ties: most pairs, then the first), ``share`` the part of the best template's
+    word pairs it holds; one row per paragraph and family. Windows whose best family is unknown, is
+    below the cut or is not confirmed give no row; null and empty texts and empty tables give
+    none. Repeated rows (same key and text) count once; rows of one key with different texts, and null keys, count each.
     """
-    rows = saved(_grams(gated(paragraphs(docs, key, text), gate_words(model.templates, model.confirm))))
-    shares = F.array(F.lit(0.0), *[template_share(F.col("_p"), model.templates[f]) for f in model.families[1:]])
-    rows = rows.withColumn("_s", shares).where(F.array_max("_s") >= model.confirm)
-    scored = model.probabilities(rows)
-    best = F.array_position("_q", F.array_max("_q")) - 1
-    out = scored.withColumn("_b", best.cast("int"))
-    out = out.select(F.col(f"`{key}`"), F.col("paragraph").cast("long").alias("paragraph"),
-                     F.element_at(F.array(*[F.lit(f) for f in model.families]), F.col("_b") + 1).alias("family"),
-                     F.get("_q", F.col("_b")).alias("probability"), F.get("_s", F.col("_b")).alias("share"), "_b")
-    return out.where((F.col("_b") > 0) & (F.col("probability") >= model.cut) & (F.col("share") >= model.confirm)).drop("_b")
+    rows = _grams(gated_windows(docs, model.templates, model.confirm, key, text))
+    top = F.array_max("_q")
+    scored = model.probabilities(rows).select(F.col(f"`{key}`"), "_text", "paragraph", "word", "_p", (F.array_position("_q", top) - 1).cast("int").alias("_b"), top.alias("probability"))
+    said = saved(scored).where((F.col("_b") > 0) & (F.col("probability") >= model.cut))
+    share = F.lit(0.0)
+    for i, family in enumerate(model.families[1:], 1):
+        share = F.when(F.col("_b") == i, template_share(F.col("_p"), model.templates[family])).otherwise(share)
+    sure = said.withColumn("share", share).where(F.col("share") >= model.confirm)
+    best = sure.groupBy(F.col(f"`{key}`"), "_text", "paragraph", "_b").agg(F.max(F.struct("probability", "share", (-F.col("word")).alias("w"))).alias("_m"))
+    return best.select(F.col(f"`{key}`"), F.col("paragraph").cast("long").alias("paragraph"), (-F.col("_m.w")).cast("long").alias("word"),
+                       F.element_at(F.array(*[F.lit(f) for f in model.families]), F.col("_b") + 1).alias("family"), "_m.probability", "_m.share")

@@ -24,13 +24,86 @@ def test_licence_lines_are_found_and_nothing_else(spark):
     rows += [(2000, None, None), (2001, "", None)]
     planted = spark.createDataFrame(rows, "doc_id long, text string, family string")
     got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.scan_licences(planted, model).collect()}
-    want = {(d, 1): f for d, _, f in rows if f}
+    want = {(d, 0): f for d, _, f in rows if f}
     right = sum(got.get(k) == f or (k in got and got[k].startswith("CC-BY")) for k, f in want.items())
     assert right >= 0.95 * len(want) and not [k for k in got if k not in want]
     assert licences.scan_licences(planted.limit(0), model).collect() == []
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(
-        F.col("line").rlike("^(Licensed under|This work is licensed|Released under the MIT|All rights reserved)"))
-    assert licences.scan_licences(docs, model).count() == lines.count()
+    notices = docs.where(F.col("text").rlike("(?m)^(Licensed under|This work is licensed|Released under the MIT|All rights reserved)"))
+    assert licences.scan_licences(docs, model).select("doc_id").distinct().exceptAll(notices.select("doc_id")).count() == 0
+    assert licences.scan_licences(docs, model).select("doc_id").distinct().count() == notices.count()
+
+
+#: The first lines of notices as they are printed, wrapped and in comment marks.
+PRINTED = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction"],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this"],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons", "Attribution-NonCommercial 4.0 International License."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright", "and related or neighboring rights to this work."],
+}
+
+
+def by_hand(text: str, model) -> dict[tuple[int, str], tuple[float, int]]:
+    """(paragraph, family) -> (share, first word) of every window of a text, without gate, joined lines or Spark."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.linalg import Vectors
+
+    found, size = {}, licences.window_words(model.templates)
+    hashing = HashingTF(numFeatures=licences.FEATURES)
+    lines = (text or "").split("\n")
+    start = None
+    for i, line in enumerate([*lines, ""]):
+        if line.strip():
+            start = i if start is None else start
+            continue
+        if start is None:
+            continue
+        words = licences.words_of("\n".join(lines[start:i]))
+        for at in range(0, max(len(words) - size, 0) + size // 2, size // 2):
+            part = words[at:at + size]
+            pairs = {f"{a} {b}" for a, b in zip(part, part[1:])}
+            shares = {f: max(len(pairs & set(licences.word_pairs(licences.words_of(t)))) / len(licences.word_pairs(licences.words_of(t))) for t in ts) for f, ts in model.templates.items()}
+            if max(shares.values()) < model.confirm:
+                continue
+            grams = [" ".join(part[j:j + n]) for n in (1, 2, 3) for j in range(len(part) - n + 1)]
+            q = list(model.model.predictProbability(Vectors.sparse(licences.FEATURES, {hashing.indexOf(g): 1.0 for g in grams})))
+            q = [x ** (1 / model.temperature) for x in q]
+            family, best = model.families[q.index(max(q))], max(q) / sum(q)
+            if family == licences.UNKNOWN or best < model.cut or shares[family] < model.confirm:
+                continue
+            found[start, family] = max(found.get((start, family), (0, 0, 0)), (best, shares[family], -at))
+        start = None
+    return found
+
+
+def test_wrapped_notices_are_found_and_equal_every_window_by_hand(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = licences.fit_licences(docs)
+    words = " ".join(r["text"] for r in docs.orderBy("doc_id").limit(60).collect()).split()
+    rows, want = [], {}
+    for i, (family, lines) in enumerate(PRINTED.items()):
+        filler = " ".join(words[90 * i:90 * i + 40])
+        for j, mark in enumerate(("", "# ", " * ")):
+            rows.append((10 * i + j, f"{filler}\n \t\r\n\n" + "\n".join(mark + x for x in lines) + f"\n\n{filler}"))
+            want[10 * i + j] = (3, family)
+        # in one long paragraph, behind 1,000 words and before 1,000
+        rows.append((10 * i + 3, " ".join(words[:1000 + 7 * i]) + "\n" + "\n".join(lines) + "\n" + " ".join(words[2000:3000])))
+        want[10 * i + 3] = (0, family)
+    rows += [(900, "\n\n"), (901, None), (902, "..\n\n--"), (None, "x\n\nAll rights\nreserved"), (None, "All rights reserved")]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = licences.scan_licences(planted.union(planted.where("doc_id = 0")), model).collect()
+    got = {}
+    for r in scanned:
+        got.setdefault(r["doc_id"], set()).add((r["paragraph"], r["family"]))
+    assert {k: got.get(k) for k in want} == {k: {v} for k, v in want.items()}
+    assert got[None] == {(2, "Proprietary"), (0, "Proprietary")} and not {900, 901, 902} & set(got)
+    plain = [(d, p, f, v[2]) for d, t in rows for (p, f), v in by_hand(t, model).items()]
+    assert sorted(map(str, plain)) == sorted(str((r["doc_id"], r["paragraph"], r["family"], -r["word"])) for r in scanned)
+    real = docs.collect()
+    plain = {(r["doc_id"], p, f) for r in real for p, f in by_hand(r["text"], model)}
+    assert plain == {(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan_licences(docs, model).collect()}
 
 
 def test_gate_is_lossless():
