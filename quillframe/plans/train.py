@@ -266,6 +266,23 @@ def residual_frame(pred: DataFrame, points: int = 500) -> DataFrame:
     return pred.orderBy(F.xxhash64(F.lit(SEED), "label", "prediction")).limit(points).select("label", "prediction", (F.col("label") - F.col("prediction")).alias("residual"))
 
 
+def residual_histogram(pred: DataFrame, bins: int = 30) -> DataFrame:
+    """(bin, start, count) of all residuals in ``bins`` equal slices between the least and the largest; empty slices are
+    left out, equal residuals fall into slice 0, rows without a residual are not counted."""
+    e = (F.col("label") - F.col("prediction")).alias("e")
+    rows = pred.select(e).where("e is not null")
+    ends = fit_row(rows, lo=F.min("e"), hi=F.max("e"))
+    lo, width = ends["lo"] or 0.0, ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) / bins
+    slot = F.least(F.floor((F.col("e") - lo) / width), F.lit(bins - 1)).cast("int") if width else F.lit(0)
+    return rows.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("count")).select("bin", (F.lit(lo) + F.col("bin") * width).alias("start"), "count").orderBy("bin")
+
+
+def cluster_sizes(pred: DataFrame, cluster: str = "prediction") -> DataFrame:
+    """Rows per cluster and their share of the clustered rows; noise (below 0) and nulls are left out."""
+    g = pred.where(F.col(cluster) >= 0).groupBy(F.col(cluster).cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("count"))
+    return g.withColumn("share", F.round(F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1))), 6)).orderBy("cluster")  # one row per cluster
+
+
 def learning_curve(data: Prepared, task: str, algorithm: str, shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
     """Test score by share of the training rows."""
     ev = evaluator(task)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillframe.plans import facts as X, features as P, prepare as R, train as T
+from quillframe.plans import facts as X, features as P, prepare as R, search as S, train as T
 from quillframe.queries.base import LI, NUM, TXT, query
 from quillframe.queries.feature import LABELLED
 from quillframe.queries.stats import KIND
@@ -154,6 +154,13 @@ Q = {
         w AS (SELECT s, sum(n) OVER (ORDER BY s DESC) n, sum(p) OVER (ORDER BY s DESC) p, sum(n) OVER () tn, sum(p) OVER () tp FROM g) SELECT s/20.0::DOUBLE AS threshold, round((n-p)/(tn-tp), 6) AS false_positive_rate, round(p/tp, 6) AS recall, round(p/n, 6) AS precision FROM w"""),
     "plans.clustering_metrics": query(lambda t: T.clustering_metrics(t.measures.na.drop().withColumn("prediction", (F.col("l_quantity") > 25).cast("int")), ["l_quantity", "l_tax"])),
     "plans.residuals": query(lambda t: T.residual_frame(t.li.where("l_quantity is not null").select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("prediction")))),
+    "plans.residual_histogram": query(lambda t: r6(T.residual_histogram(t.li.where("l_quantity is not null").select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("prediction")))), REG + """,
+        b AS (SELECT min(y-h) lo, (max(y-h) - min(y-h))/30 w FROM p), s AS (SELECT least(floor(((y-h) - lo)/w), 29)::INT AS bin, lo, w FROM p, b)
+        SELECT bin, round(any_value(lo) + bin*any_value(w), 6) AS start, count(*) AS count FROM s GROUP BY bin"""),
+    "plans.cluster_sizes": query(lambda t: T.cluster_sizes(t.li.withColumn("prediction", F.floor(F.col("l_quantity") / 10).cast("int") - 1)),
+        LI + "SELECT floor(l_quantity/10)::INT - 1 AS cluster, count(*) AS count, round(count(*)/sum(count(*)) OVER (), 6) AS share FROM li WHERE l_quantity >= 10 GROUP BY 1"),
+    "plans.learning_curve": query(lambda t: T.learning_curve(T.preprocess(t.part.select("p_size", "p_brand", "p_retailprice"), "p_retailprice", "regression"), "regression", "ridge")),
+    "plans.search_tuning": query(lambda t: S.search(T.preprocess(t.part.select("p_size", "p_brand", "p_retailprice"), "p_retailprice", "regression"), "regression", "decision_tree_reg", trials=6).trials),
     "plans.train": query(lambda t: trained(t).comparison),
     "plans.predict": query(lambda t: trained(t).predict(LABELLED(t)).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))),
     "plans.train_regression": query(lambda t: T.train(t.part.select("p_size", "p_brand", "p_retailprice"), "p_retailprice", "regression", names=["ridge", "decision_tree_reg"], folds=2, tune_top=1).comparison),
