@@ -386,8 +386,13 @@ def importance_frame(df: DataFrame, model, features: Sequence[str]) -> DataFrame
 
 
 def train(df: DataFrame, target: str | None = None, task: str = "auto", names: Sequence[str] | None = None, folds: int = 5, tune_top: int = 3,
-          clusters: int = 3, test_size: float = 0.2) -> Trained:
-    """Cross-validate the algorithms, tune the best, keep the winner of the folds; the test scores only report."""
+          clusters: int = 3, test_size: float = 0.2, trials: int = 0) -> Trained:
+    """Cross-validate the algorithms, tune the best, keep the winner of the folds; the test scores only report.
+
+    Tuning tries the grid, or with ``trials`` that many proposals of the search (``plans/search.py``); the trials are then in ``extra["trials"]``.
+    """
+    from quillframe.plans.search import search  # it builds on this module
+
     kind = detect_task(df, target, task)
     if kind == "clustering":
         return train_clusters(df, names, clusters)
@@ -397,9 +402,15 @@ def train(df: DataFrame, target: str | None = None, task: str = "auto", names: S
     cv = {r["algorithm"]: r for r in cross_validate(data, kind, pool, folds).collect()}  # one row per algorithm
     higher = kind == "classification"
     order = sorted(pool, key=lambda a: -cv[a]["mean"] if higher else cv[a]["mean"])
-    rows, models = [], {}
+    rows, models, searches = [], {}, {}
     for a in pool:
-        models[a] = tune(data, kind, a) if a in order[:tune_top] else algorithms(kind, data)[a]().fit(data.train)
+        if a not in order[:tune_top]:
+            models[a] = algorithms(kind, data)[a]().fit(data.train)
+        elif trials:
+            searches[a] = search(data, kind, a, trials)
+            models[a] = searches[a].model
+        else:
+            models[a] = tune(data, kind, a)
         score = float(evaluator(kind).evaluate(models[a].transform(data.test)))
         rows.append((a, cv[a]["mean"], cv[a]["std"], a in order[:tune_top], round(score, 6)))
     rows.sort(key=lambda t: order.index(t[0]))
@@ -407,7 +418,7 @@ def train(df: DataFrame, target: str | None = None, task: str = "auto", names: S
     table = report(df, rows, "algorithm string, cv_mean double, cv_std double, tuned boolean, test_score double")
     weights = importance_frame(df, models[best], data.features)
     data.train.unpersist(), data.test.unpersist()
-    return Trained(kind, best, models[best], data.fitted, data.features, data.labels, data.log_target, table, weights, {"data": data})
+    return Trained(kind, best, models[best], data.fitted, data.features, data.labels, data.log_target, table, weights, {"data": data, "trials": {a: s.trials for a, s in searches.items()}})
 
 
 def silhouette(placed: DataFrame) -> float:

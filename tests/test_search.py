@@ -48,3 +48,11 @@ def test_residual_histogram_and_cluster_sizes(spark):
     assert T.residual_histogram(pred.limit(0)).collect() == []
     c = pred.select(F.when(F.col("label") < 10, -1).otherwise((F.col("label") % 2).cast("int")).alias("prediction"))
     assert [tuple(r) for r in T.cluster_sizes(c).collect()] == [(0, 11, 0.52381), (1, 10, 0.47619)]
+
+
+def test_training_with_the_search_predicts(spark):
+    rows = [(float(i), float(i % 7), float(2 * i + i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    got = T.train(df, "y", "regression", names=["ridge", "decision_tree_reg"], folds=2, tune_top=1, trials=2)
+    assert list(got.extra["trials"]) == [got.algorithm] and got.extra["trials"][got.algorithm].count() == 3
+    assert got.predict(df).where("predicted is null").count() == 0
