@@ -60,12 +60,16 @@ def build_cells(df: DataFrame, column: str, seed: int = 42) -> Cells:
     def grow(idx):
         nonlocal leaves
         if len(idx) > size:
-            d = int(np.argmax(np.ptp(x[idx], axis=0)))
-            c = float(np.median(x[idx, d]))
-            low = x[idx, d] <= c
-            if 0 < low.sum() < len(idx):
+            for d in np.argsort(-np.ptp(x[idx], axis=0), kind="stable"):
+                v = x[idx, d]
+                c = float(np.median(v))
+                if c == v.max():  # a value of half the rows or more: cut below it
+                    if c == v.min():
+                        continue
+                    c = float(v[v < c].max())
+                low = v <= c
                 node = len(dim)
-                dim.append(d), cut.append(c), left.append(0), right.append(0)
+                dim.append(int(d)), cut.append(c), left.append(0), right.append(0)
                 left[node] = grow(idx[low])
                 right[node] = grow(idx[~low])
                 return node

@@ -31,7 +31,7 @@ from quillframe.functions.running import expanding_median, weighted_moments
 from quillframe.functions.scale import clip_columns, moments, quantile_bounds, shift_scale
 from quillframe.functions.tokens import spaced
 from quillframe.operators.clean import rare_to_other
-from quillframe.operators.stats import anova_table, binned_mi, correlations, group_moments, levels_of
+from quillframe.operators.stats import anova_table, correlations, group_moments, levels_of, mi_scores
 from quillframe.operators.transform import frequency_encoded, level_codes, rolling_exprs
 from quillframe.registry import operator
 
@@ -658,22 +658,25 @@ def last_numeric(df: DataFrame, column: str | None) -> str:
 
 
 @operator("feature.mutual_info")
-def mutual_info(df: DataFrame, column: str | None = None, bins: int = 10) -> DataFrame:
+def mutual_info(df: DataFrame, column: str | None = None, bins: int = 10, method: str = "bins", k: int = 3) -> DataFrame:
+    """(feature, mutual_info) in nats; by neighbours, a target with at most ten values is taken as classes."""
     y = last_numeric(df, column)
     feats = [c for c in pick_many(df, None) if c != y]
     rows = df.select(*[col(c) for c in dict.fromkeys([*feats, y])]).na.drop()
-    return binned_mi(rows, feats, y, bins).select("feature", r(F.col("mi")).alias("mutual_info")).orderBy("mutual_info", "feature")
+    classes = method == "neighbours" and is_class_target(rows, y)
+    return mi_scores(rows, feats, y, bins, method, k, classes).select("feature", r(F.col("mi")).alias("mutual_info")).orderBy("mutual_info", "feature")
 
 
 @operator("feature.mutual_info_select")
 def mutual_info_select(df: DataFrame, column: str | None = None, target: str | None = None, threshold: float = 0.01,
-                       top_k: int | None = None, bins: int = 10) -> DataFrame:
+                       top_k: int | None = None, bins: int = 10, method: str = "bins", k: int = 3) -> DataFrame:
     y = resolve(df, target or column)
     work = df.where(col(y).isNotNull())
     feats = [c for c in pick_many(df, None) if c != y]
     med = {c: q[0] for c, q in fit_quantiles(work, feats, [0.5]).items()}
     filled = work.select(*[F.coalesce(num(c), F.lit(med.get(c, 0.0))).alias(c) for c in feats], col(y))
-    scores = binned_mi(filled, feats, y, bins).orderBy(F.desc("mi"), "feature").collect()  # one row per feature
+    classes = method == "neighbours" and is_class_target(work, y)
+    scores = mi_scores(filled, feats, y, bins, method, k, classes).orderBy(F.desc("mi"), "feature").collect()  # one row per feature
     if top_k:
         keep = [x["feature"] for x in scores[:top_k]]
     else:

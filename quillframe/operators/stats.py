@@ -18,6 +18,7 @@ from quillframe.functions.freq import cumulative, freq_long, modes, top_counts,
 from quillframe.functions.ordered import index_rows
 from quillframe.functions.profile import (fit, kurt_g2, matrix, nulls, pair_stats, profile, r, rows_of, safe_corr,
                                           safe_div, skew_g1)
+from quillframe.functions.mutual import neighbour_mi
 from quillframe.functions.quantile import quantiles
 from quillframe.functions.ranks import ecdf, with_rank
 from quillframe.registry import operator
@@ -877,12 +878,22 @@ def binned_mi(df: DataFrame, features: Sequence[str], target: str, bins: int = 1
     return t.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
 
 
+def mi_scores(df: DataFrame, features: Sequence[str], target: str, bins: int = 10, method: str = "bins", k: int = 3, classes: bool = False) -> DataFrame:
+    """(feature, mi) by quantile bins or by the k nearest neighbours."""
+    if method == "bins":
+        return binned_mi(df, features, target, bins)
+    if method == "neighbours":
+        return neighbour_mi(df, features, target, k, classes)
+    raise ValueError(f"unknown method {method!r}: bins or neighbours")
+
+
 @operator("stats.mutual_info_report")
-def mutual_info_report(df: DataFrame, column: str | None = None, bins: int = 10) -> DataFrame:
+def mutual_info_report(df: DataFrame, column: str | None = None, bins: int = 10, method: str = "bins", k: int = 3) -> DataFrame:
+    """(feature, mutual_info) in nats, largest first; ``method`` is bins or neighbours (k nearest rows, continuous target)."""
     nums = pick_many(df, None)
     target = resolve(df, column) if column else nums[-1]
     feats = [c for c in nums if c != target]
-    return binned_mi(df, feats, target, bins).select("feature", r(F.col("mi")).alias("mutual_info")).orderBy(
+    return mi_scores(df, feats, target, bins, method, k).select("feature", r(F.col("mi")).alias("mutual_info")).orderBy(
         F.desc("mutual_info"), "feature")
 
 

@@ -18,10 +18,10 @@ from quillframe.functions.quantile import fit_quantiles
 from quillframe.functions.scale import clip, fit_scaler, moments, quantile_bounds, sigma_bounds
 from quillframe.operators.clean import filled_along, mode_values, typed
 from quillframe.operators.feature import complete, correlated_later, forest_input, variances
-from quillframe.operators.stats import binned_mi, iqr_fences, levels_of
+from quillframe.operators.stats import iqr_fences, levels_of, mi_scores
 from quillframe.operators.transform import level_codes
 from quillframe.plans.facts import column_facts, suggest_encoding, suggest_fill
-from quillframe.functions.forest import importances
+from quillframe.functions.forest import importances, is_class_target
 
 MAX_DUMMIES = 30
 
@@ -203,7 +203,7 @@ def fit_scale(df: DataFrame, method: str = "standard", skip: Sequence[str] = ())
 
 
 def rank_features(df: DataFrame, target: str | None, method: str = "variance", trees: int = 50, seed: int = 42) -> list[tuple[str, float]]:
-    """(feature, score), best first: variance, correlation, mutual_info or rfe (forest importance)."""
+    """(feature, score), best first: variance, correlation, mutual_info (by bins), neighbours (mutual information) or rfe (forest importance)."""
     feats = [c for c in numeric_cols(df) if c != target]
     if method == "variance" or target is None:
         s = {c: v or 0.0 for c, v in variances(df, feats).items()}
@@ -211,8 +211,10 @@ def rank_features(df: DataFrame, target: str | None, method: str = "variance", t
         from quillframe.operators.analysis import with_target
 
         s = {x["a"]: abs(x["r"] or 0.0) for x in with_target(df, feats, target).collect()}  # one row per feature
-    elif method == "mutual_info":
-        s = {c: 0.0 for c in feats} | {x["feature"]: x["mi"] for x in binned_mi(df, feats, target).collect()}
+    elif method in ("mutual_info", "neighbours"):
+        how, classes = ("bins", False) if method == "mutual_info" else ("neighbours", is_class_target(df, target))
+        scores = mi_scores(df, feats, target, method=how, classes=classes).collect()  # one row per feature
+        s = {c: 0.0 for c in feats} | {x["feature"]: x["mi"] for x in scores}
     elif method == "rfe":
         _, names, rows, classify = forest_input(df, target)
         s = dict(zip(names, importances(rows, range(len(names)), classify, trees, 5, seed)))
