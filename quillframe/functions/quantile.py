@@ -46,24 +46,32 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Seque
     def at(i: int, k: int) -> Column:
         return (F.col(f"_n{i}") - 1) * F.lit(qs[k])
 
-    def known(state: DataFrame) -> tuple[DataFrame, dict[str, Column], bool]:
-        """Rows beside their brackets, the brackets as columns, and whether one may hold too many values."""
+    def known(state: DataFrame) -> tuple[DataFrame, dict[str, float | None], bool]:
+        """The rows, with ``by`` beside their brackets; without it the brackets; and whether one may hold too many values."""
         if not by:
             row = state.first()
-            return wide, {c: F.lit(row[c]).cast("long" if c in counts else "double") for c in [*counts, *brackets]}, row["_mass"] > _HELD
+            return wide, {c: row[c] for c in [*counts, *brackets]}, row["_mass"] > _HELD
         state = reliable_checkpoint(state)
         size = state.agg(F.count(F.lit(1)).alias("n"), F.max("_mass").alias("m")).first()
         small = size["n"] <= _SENT and size["n"] * len(brackets) <= 100 * _SENT
         right = state.select(*[F.col(k).alias(f"_r{k}") for k in keys], *counts, *brackets)
         rows = wide.join(F.broadcast(right) if small else right, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys])
-        return rows, {c: F.first(c) for c in [*counts, *brackets]}, (size["m"] or 0) > _HELD
+        return rows, {}, (size["m"] or 0) > _HELD
 
-    def placed(given: dict[str, Column], i: int, k: int) -> tuple[list[Column], Column]:
+    def carried() -> list[Column]:
+        """Counts and brackets as aggregates of one row."""
+        if by:
+            return [F.expr(f"first({c}) AS {c}") for c in [*counts, *brackets]]
+        return [F.lit(given[c]).cast("long" if c in counts else "double").alias(c) for c in [*counts, *brackets]]
+
+    def placed(i: int, k: int) -> tuple[list[Column], Column]:
         """Values below the bracket, up to its lower and up to its upper end; and the value where it lies inside."""
-        x = F.col(f"_x{i}")
-        lo, hi = (given[f"_{end}{i}_{k}"] if not by else F.col(f"_{end}{i}_{k}") for end in ("lo", "hi"))
-        return [F.count_if(x < lo).alias(f"_b{i}_{k}"), F.count_if(x <= lo).alias(f"_l{i}_{k}"),
-                F.count_if(x <= hi).alias(f"_h{i}_{k}")], F.when((x > lo) & (x < hi), x)
+        x, slot = f"_x{i}", f"{i}_{k}"
+        # as text: an expression of many columns is then made in one call
+        ends = (f"_lo{slot}", f"_hi{slot}")
+        lo, hi = ends if by else ("CAST(NULL AS DOUBLE)" if given[e] is None else f"CAST('{given[e]!r}' AS DOUBLE)" for e in ends)
+        return [F.expr(f"count_if({x} < {lo}) AS _b{slot}"), F.expr(f"count_if({x} <= {lo}) AS _l{slot}"),
+                F.expr(f"count_if({x} <= {hi}) AS _h{slot}")], F.expr(f"CASE WHEN {x} > {lo} AND {x} < {hi} THEN {x} END")
 
     probs = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-_EDGE, _EDGE)})
     sketch = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[e for i in range(len(cols)) for e in (
@@ -82,9 +90,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Seque
     while many:
         aggs, grid = [], [j / _GRID for j in range(_GRID + 1)]
         for i, k in slots:
-            here, inside = placed(given, i, k)
+            here, inside = placed(i, k)
             aggs += [*here, F.count(inside).alias(f"_m{i}_{k}"), F.percentile_approx(inside, F.lit(grid), F.lit(_ACCURACY)).alias(f"_g{i}_{k}")]
-        finer = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in given.items()], *aggs)
+        finer = rows.groupBy(*keys).agg(*carried(), *aggs)
 
         def end(i: int, k: int, side: int) -> Column:
             whole, mine, other = (F.floor, "lo", "hi") if side < 0 else (F.ceil, "hi", "lo")
@@ -99,20 +107,20 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Seque
                                                mass.alias("_mass")))
     last = []
     for i, k in slots:
-        here, inside = placed(given, i, k)
+        here, inside = placed(i, k)
         last += [*here, F.sort_array(F.collect_list(inside)).alias(f"_v{i}_{k}")]
-    final = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in given.items()], *last).where("_rows > 0")
+    final = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *carried(), *last).where("_rows > 0")
 
     def value(i: int, k: int) -> Column:
-        def ranked(rank: Column) -> Column:
-            low, held = F.col(f"_l{i}_{k}"), F.size(f"_v{i}_{k}")
-            return (F.when((rank < F.col(f"_b{i}_{k}")) | (rank >= F.col(f"_h{i}_{k}")), F.raise_error(F.lit("the sketch missed a quantile")).cast("double"))
-                    .when(rank < low, F.col(f"_lo{i}_{k}"))
-                    .when(rank < low + held, F.get(f"_v{i}_{k}", (rank - low).cast("int"))).otherwise(F.col(f"_hi{i}_{k}")))
-
-        here = at(i, k)
-        a, b = ranked(F.floor(here)), ranked(F.ceil(here))
-        return F.when(F.col(f"_n{i}") > 0, a + (b - a) * (here - F.floor(here)))
+        slot, place = f"{i}_{k}", f"((_n{i} - 1) * CAST('{qs[k]!r}' AS DOUBLE))"
+
+        def ranked(rank: str) -> str:
+            return (f"CASE WHEN {rank} < _b{slot} OR {rank} >= _h{slot} THEN CAST(raise_error('the sketch missed a quantile') AS DOUBLE) "
+                    f"WHEN {rank} < _l{slot} THEN _lo{slot} "
+                    f"WHEN {rank} < _l{slot} + size(_v{slot}) THEN get(_v{slot}, CAST({rank} - _l{slot} AS INT)) ELSE _hi{slot} END")
+
+        a, b = ranked(f"floor({place})"), ranked(f"ceil({place})")
+        return F.expr(f"CASE WHEN _n{i} > 0 THEN ({a}) + (({b}) - ({a})) * ({place} - floor({place})) END")
 
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[value(i, k).alias(f"q{k}") for k in range(len(qs))]) for i, c in enumerate(cols)])
     return final.select(*[F.col(a).alias(k) for k, a in zip(by, keys)], F.inline(rows))
