@@ -21,3 +21,8 @@ def column(out, name):
 @pytest.mark.parametrize("c", ["d", "t"])
 def test_is_holiday(days, c):
     assert column(qf.apply(days, "feature.is_holiday", column=c), f"{c}_is_holiday") == [1, 1, 0, 0]
+
+
+@pytest.mark.parametrize("c", ["d", "t"])
+def test_is_weekend(days, c):
+    assert column(qf.apply(days, "feature.is_weekend", column=c), f"{c}_is_weekend") == [0, 1, 0, 0]
