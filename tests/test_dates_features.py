@@ -26,3 +26,9 @@ def test_is_holiday(days, c):
 @pytest.mark.parametrize("c", ["d", "t"])
 def test_is_weekend(days, c):
     assert column(qf.apply(days, "feature.is_weekend", column=c), f"{c}_is_weekend") == [0, 1, 0, 0]
+
+
+@pytest.mark.parametrize("c", ["d", "t"])
+def test_time_since(days, c):
+    assert column(qf.apply(days, "feature.time_since", column=c), f"{c}_days_since") == [0, 187, 190, None]
+    assert column(qf.apply(days, "feature.time_since", column=c, reference="2024-07-08"), f"{c}_days_since") == [-189, -2, 1, None]
