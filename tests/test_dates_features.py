@@ -32,3 +32,10 @@ def test_is_weekend(days, c):
 def test_time_since(days, c):
     assert column(qf.apply(days, "feature.time_since", column=c), f"{c}_days_since") == [0, 187, 190, None]
     assert column(qf.apply(days, "feature.time_since", column=c, reference="2024-07-08"), f"{c}_days_since") == [-189, -2, 1, None]
+
+
+@pytest.mark.parametrize("c", ["d", "t"])
+def test_datetime_features(days, c):
+    out = qf.apply(days, "feature.datetime_features", column=c)
+    assert [column(out, f"{c}_{p}")[1] for p in ("year", "month", "day", "dayofweek", "hour")] == [2024, 7, 6, 5, 13]
+    assert f"{c}_hour" not in qf.apply(days.where("i <> 1"), "feature.datetime_features", column=c).columns
