@@ -39,3 +39,10 @@ def test_datetime_features(days, c):
     out = qf.apply(days, "feature.datetime_features", column=c)
     assert [column(out, f"{c}_{p}")[1] for p in ("year", "month", "day", "dayofweek", "hour")] == [2024, 7, 6, 5, 13]
     assert f"{c}_hour" not in qf.apply(days.where("i <> 1"), "feature.datetime_features", column=c).columns
+
+
+@pytest.mark.parametrize("c", ["d", "t"])
+def test_seasonal_features(days, c):
+    out = qf.apply(days, "feature.seasonal_features", column=c)
+    assert column(out, f"{c}_month_sin")[1] == pytest.approx(-0.5) and column(out, f"{c}_hour_cos")[0] == pytest.approx(1)
+    assert f"{c}_hour_sin" not in qf.apply(days.where("i <> 1"), "feature.seasonal_features", column=c).columns
