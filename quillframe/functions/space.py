@@ -48,11 +48,19 @@ class Cells:
             stack.append((self.right[node], idx[v + radius[idx] > self.cut[node]]))
         return np.concatenate(rows), np.concatenate(cells)
 
+    def lists(self, x: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
+        """The touched cells of each row."""
+        rows, where = self.touched(x, radius)
+        order = np.argsort(rows, kind="stable")
+        return np.split(where[order], np.cumsum(np.bincount(rows, minlength=len(x)))[:-1]) if len(x) else []
+
 
 def build_cells(df: DataFrame, column: str, seed: int = 42) -> Cells:
     """Cells of about ``CELL`` rows from a hash-drawn sample of at most ``SAMPLE`` points."""
     n = df.count()
-    some = df.select(column) if n <= SAMPLE else df.select(column).orderBy(F.xxhash64(F.lit(seed), column)).limit(SAMPLE)
+    some, h = df.select(column), F.xxhash64(F.lit(seed), column)
+    if n > SAMPLE:  # the smallest hashes; twice as many as needed are let through to the sort
+        some = some.where(h < F.lit(int(-2**63 + 2**64 * min(2 * SAMPLE / n, 0.99)))).orderBy(h).limit(SAMPLE)
     x = np.array([r[0] for r in some.collect()], dtype=float)
     size = max(int(len(x) * CELL / max(n, 1)), 8) if n > SAMPLE else CELL
     dim, cut, left, right, leaves = [], [], [], [], 0
@@ -68,6 +76,8 @@ def build_cells(df: DataFrame, column: str, seed: int = 42) -> Cells:
                         continue
                     c = float(v[v < c].max())
                 low = v <= c
+                a, b = float(v[low].max()), float(v[~low].min())
+                c = a + (b - a) / 2 if a + (b - a) / 2 < b else a  # between two values: a ball about either does not touch the other side for nothing
                 node = len(dim)
                 dim.append(int(d)), cut.append(c), left.append(0), right.append(0)
                 left[node] = grow(idx[low])
@@ -86,11 +96,7 @@ def spread(df: DataFrame, column: str, cells: Cells, radius: str | None = None)
     @F.pandas_udf("array<int>")
     def touched(v: pd.Series, r: pd.Series) -> pd.Series:
         x = np.array(v.tolist(), dtype=float).reshape(len(v), -1)
-        rows, where = cells.touched(x, r.to_numpy(dtype=float))
-        out = [[] for _ in range(len(v))]
-        for i, c in zip(rows, where):
-            out[i].append(int(c))
-        return pd.Series(out, index=v.index)
+        return pd.Series(cells.lists(x, r.to_numpy(dtype=float)), index=v.index)
 
     r = F.col(radius) if radius else F.lit(0.0)
     return df.withColumn("_cell", F.explode(touched(F.col(column), r.cast("double"))))

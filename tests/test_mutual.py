@@ -2,13 +2,14 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import quillframe as qf
-from quillframe.functions import space
+from quillframe.functions import mutual, space
 from quillframe.functions.mutual import CLASS_GAP, STEP, neighbour_mi
 from quillframe.queries import catalogue
 from quillframe.queries.base import NUM, Tables
@@ -93,3 +94,20 @@ def test_cells_are_cut_below_a_frequent_value(spark, monkeypatch):
     points = spark.range(1000).select(F.array(F.when(F.col("id") % 3 == 0, 0.0).otherwise(1e6), F.col("id") * 1.0).alias("v"))
     sizes = [r["count"] for r in space.spread(points, "v", space.build_cells(points, "v")).groupBy("_cell").count().collect()]
     assert max(sizes) <= 50 and sum(sizes) == 1000
+
+
+def test_neighbours_in_one_cell_do_not_meet_all_others():
+    rng = np.random.default_rng(6)
+    some = np.column_stack([rng.integers(0, 2, 400) * 2.0 ** 60, rng.integers(0, 300, 400), rng.integers(0, 3, 400) * 1000]).astype(float)
+    at, w = np.unique(some, axis=0, return_counts=True)
+    dist, held = mutual._among(at, w, 3)
+    for i in range(len(at)):
+        d = np.abs(at - at[i]).max(axis=1)
+        d[i] = np.inf
+        near = sorted((x, n) for x, n in zip([*d, 0.0], [*w, w[i] - 1]) if x < 2.0 ** 60 and n)
+        kth = next((x for j, (x, _) in enumerate(near) if sum(n for _, n in near[:j + 1]) >= 3), np.inf)
+        assert mutual._kth(dist, held, 3)[i] == kth
+    lines = np.column_stack([np.zeros(300_000), rng.permutation(300_000) * 1.0, np.full(300_000, 5.0)])
+    begun = time.process_time()
+    dist, _ = mutual._among(lines, np.ones(300_000, int), 3)
+    assert time.process_time() - begun < 30 and dist[:, 1].max() == 1.0
