@@ -5,6 +5,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 
 from quillframe.functions import density, space
 from quillframe.functions.density import dbscan
@@ -60,3 +61,11 @@ def test_a_dense_place_is_not_compared_with_itself(spark, monkeypatch):
     monkeypatch.setattr(density, "_within", lambda *_: pytest.fail("points were compared"))
     df = spark.range(150_000).selectExpr("id * 1e-9 AS a", "id % 7 * 1e-9 AS b")
     assert [tuple(r) for r in dbscan(df, ["a", "b"], 0.5, 5, "c").groupBy("c").count().collect()] == [(0, 150_000)]
+
+
+def test_estimator_does_not_compare_a_dense_place_with_itself(spark, monkeypatch):
+    """The clusterer that ``plans.train_clusters`` trains, over a vector column."""
+    monkeypatch.setattr(density, "_within", lambda *_: pytest.fail("points were compared"))
+    rows = [(Vectors.dense(i * 1e-6, 5.0 * (i % 2)),) for i in range(5_000)]
+    out = density.Density().transform(spark.createDataFrame(rows, ["features"]))
+    assert sorted(tuple(r) for r in out.groupBy("prediction").count().collect()) == [(0, 2_500), (1, 2_500)]
