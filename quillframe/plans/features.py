@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillframe.columns import col, is_numeric, is_time, num, numeric_cols, resolve_all, text_cols
 from quillframe.functions.gram import moment_matrix
 from quillframe.functions.levels import attach, level_stats
+from quillframe.functions.ordered import reliable_checkpoint
 from quillframe.functions.profile import fit as fit_row
 from quillframe.functions.quantile import fit_quantiles
 from quillframe.functions.scale import clip, fit_scaler, moments, quantile_bounds, sigma_bounds
@@ -187,10 +188,10 @@ def fit_encode(df: DataFrame, plan: Mapping[str, str] | None = None, default: st
             columns[c] = {"method": method, "unknown": -1}
         elif method == "frequency":
             n = fit_row(df, n=F.count(col(c)))["n"]
-            tables[c] = level_stats(df, c, _k=F.count(F.lit(1))).select("value", (F.col("_k") / F.lit(float(max(n, 1)))).alias("_e"))
+            tables[c] = reliable_checkpoint(level_stats(df, c, _k=F.count(F.lit(1))).select("value", (F.col("_k") / F.lit(float(max(n, 1)))).alias("_e")))
             columns[c] = {"method": method, "unknown": 0}
         elif method == "target":
-            tables[c] = level_stats(df, c, _e=F.avg(num(target)))
+            tables[c] = reliable_checkpoint(level_stats(df, c, _e=F.avg(num(target))))
             columns[c] = {"method": method, "unknown": fit_row(df, m=F.avg(num(target)))["m"]}
         else:
             raise ValueError(f"unknown encoding {method!r}")
