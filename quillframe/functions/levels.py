@@ -8,21 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.columns import col
-from quillframe.functions.ordered import index_rows, reliable_checkpoint
-
-_SENT_ROWS, _SENT_BYTES = 200_000, 8 << 20  # levels, and bytes of their names, of a table that is broadcast
+from quillframe.functions.ordered import index_rows, narrow_table
 
 
 def attach(df: DataFrame, table: DataFrame, key: str, level: str = "value") -> DataFrame:
-    """Left join a per-level table, which is made and counted first.
-
-    A small one is broadcast by name: with few levels a shuffle would send all rows to as many tasks. A larger one is
-    left to the adaptive planner, which splits a hot level.
-    """
-    right = reliable_checkpoint(table.withColumnRenamed(level, "_level"))
-    size = right.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col("_level").cast("string"))).alias("b")).first()
-    small = size["n"] <= _SENT_ROWS and (size["b"] or 0) <= _SENT_BYTES
-    return df.join(F.broadcast(right) if small else right, col(key) == F.col("_level"), "left").drop("_level")
+    """Left join a per-level table, which is made and counted first (see ``narrow_table``)."""
+    right = narrow_table(table.withColumnRenamed(level, "_level"), F.col("_level"))
+    return df.join(right, col(key) == F.col("_level"), "left").drop("_level")
 
 
 def level_stats(df: DataFrame, key: str, **aggs: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import quillframe as qf
-from quillframe.functions import levels
+from quillframe.functions import levels, ordered
 
 
 def test_rows_of_few_levels_are_not_shuffled(spark):
@@ -13,7 +13,9 @@ def test_rows_of_few_levels_are_not_shuffled(spark):
     spark.conf.set(name, -1)  # no help from the planner's own measure
     try:
         for build in (lambda: qf.apply(rows, "clean.fill_median_by_group", group_column="g", value_column="v"),
-                      lambda: levels.attach(rows, levels.level_stats(rows, "g", _m=F.avg("v")), "g")):
+                      lambda: levels.attach(rows, levels.level_stats(rows, "g", _m=F.avg("v")), "g"),
+                      lambda: ordered.index_rows(rows, ["v"], "g").key_position().df,
+                      lambda: qf.apply(rows, "transform.train_test_split", column="g")):
             plan = build()._jdf.queryExecution().executedPlan().toString()
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
@@ -31,5 +33,23 @@ def test_many_levels_are_joined_alike(spark, monkeypatch):
     assert len(small) == 500 and all((g is None) == (n is None) for _, g, n in small)
     for limit in ("_SENT_ROWS", "_SENT_BYTES"):
         with monkeypatch.context() as m:
-            m.setattr(levels, limit, 0)
+            m.setattr(ordered, limit, 0)
             assert counted() == small
+
+
+def test_position_in_many_keys_is_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"k{i % 50}") for i in range(500)], "i long, g string").repartition(3)
+
+    def placed():
+        return sorted((r["i"], r["_pos"]) for r in ordered.index_rows(rows, ["i"], "g").key_position().df.collect())
+
+    small, seen, want = placed(), {}, []
+    for i in range(500):
+        g = None if i % 7 == 0 else i % 50
+        want.append((i, seen.get(g, 0)))
+        seen[g] = seen.get(g, 0) + 1
+    assert small == want
+    for limit in ("_SENT_ROWS", "_SENT_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(ordered, limit, 0)
+            assert placed() == want
