@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -326,16 +326,19 @@ def z_score_report(df: DataFrame, column: str | None = None) -> DataFrame:
     return rows_of(df.agg(*aggs), structs).orderBy(F.desc("max_abs_z"), "column")
 
 
-def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> dict[str, tuple[float, float]]:
-    """Lower and upper fence of each column that has values."""
-    rows = quantiles(df, cols, [0.25, 0.75]).collect()  # one row per column
-    return {x["column"]: (x["q0"] - k * (x["q1"] - x["q0"]), x["q1"] + k * (x["q1"] - x["q0"]))
-            for x in rows if x["q0"] is not None}
+def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, quartiles: Mapping[str, Sequence[float]] | None = None) -> dict[str, tuple[float, float]]:
+    """Lower and upper fence of each column that has values; ``quartiles`` (all three) by column, if they are known."""
+    if quartiles is not None:
+        ends = {c: (quartiles[c][0], quartiles[c][2]) for c in cols if c in quartiles}
+    else:
+        rows = quantiles(df, cols, [0.25, 0.75]).collect()  # one row per column
+        ends = {x["column"]: (x["q0"], x["q1"]) for x in rows if x["q0"] is not None}
+    return {c: (a - k * (b - a), b + k * (b - a)) for c, (a, b) in ends.items()}
 
 
 @operator("stats.outlier_report")
-def outlier_report(df: DataFrame) -> DataFrame:
-    fences = iqr_fences(df, pick_many(df, None))
+def outlier_report(df: DataFrame, quartiles: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    fences = iqr_fences(df, pick_many(df, None), quartiles=quartiles)
     one = df.agg(*[F.count_if((num(c) < F.lit(lo)) | (num(c) > F.lit(hi))).alias(f"_{i}")
                    for i, (c, (lo, hi)) in enumerate(fences.items())])
     return rows_of(one, [

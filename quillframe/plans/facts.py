@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.columns import col, dtype, is_numeric, is_time, num, numeric_cols, text_cols, time_cols
 from quillframe.functions.freq import freq_long, modes
 from quillframe.functions.profile import fit, matrix, nulls, profile, r, safe_corr, skew_g1
+from quillframe.functions.quantile import fit_quantiles
 from quillframe.operators.analysis import data_profiling_report, data_quality, report
 from quillframe.operators.stats import correlations, duplicate_count, outlier_report, pct
 
@@ -99,9 +100,10 @@ def task_and_targets(df: DataFrame) -> DataFrame:
     return report(df, [t for t in rows if t[1] == rows[0][1]], "column string, task string, score long")
 
 
-def target_candidates(df: DataFrame) -> DataFrame:
+def target_candidates(df: DataFrame, facts: Mapping | None = None) -> DataFrame:
+    """Scored columns; ``facts`` are the table's ``column_facts``, if they are known."""
     rows = []
-    for c, x in column_facts(df)["columns"].items():
+    for c, x in (facts or column_facts(df))["columns"].items():
         score, why, task = 0, [], "regression"
         if c == df.columns[-1]:
             score, why = score + 30, [*why, "last column"]
@@ -146,9 +148,9 @@ def strong_pairs(df: DataFrame, limit: float = 0.3, top: int = 15, max_columns:
     return correlations(df, nums).where(F.abs("r") > limit).select("a", "b", r(F.col("r")).alias("value")).orderBy(F.desc(F.abs("value")), "a", "b").limit(top)
 
 
-def ml_readiness(df: DataFrame) -> DataFrame:
-    """Penalties by factor, and the score they leave (last row)."""
-    f = column_facts(df)
+def ml_readiness(df: DataFrame, facts: Mapping | None = None) -> DataFrame:
+    """Penalties by factor, and the score they leave (last row); ``facts`` are the table's ``column_facts``, if they are known."""
+    f = facts or column_facts(df)
     n, cols = f["rows"], f["columns"]
     rows = [("sample_size", float(n), 40 if n < 50 else 15 if n < 500 else 0)]
     ratio = len(cols) / max(n, 1)
@@ -168,8 +170,10 @@ def ml_readiness(df: DataFrame) -> DataFrame:
 
 
 def eda_numbers(df: DataFrame) -> dict[str, DataFrame]:
-    """The frames behind an exploratory document."""
+    """The frames behind an exploratory document; facts and quartiles are made once."""
     f = column_facts(df)
+    nums = numeric_cols(df)
+    q = fit_quantiles(df, nums, [0.25, 0.5, 0.75]) if nums else {}
     d = duplicate_count(df).first()
     n, k = f["rows"], len(f["columns"])
     missing = sum(x["nulls"] for x in f["columns"].values())
@@ -177,8 +181,8 @@ def eda_numbers(df: DataFrame) -> dict[str, DataFrame]:
                            ("duplicates", float(d["rows"] - d["distinct_rows"])), ("numeric", float(len(numeric_cols(df)))), ("categorical", float(len(text_cols(df))))],
                       "metric string, value double")
     skewed = report(df, [(c, round(x["skew"], 2)) for c, x in f["columns"].items() if x["skew"] is not None and abs(x["skew"]) > 1], "column string, skewness double")
-    return {"overview": overview, "correlations": strong_pairs(df), "skewed": skewed, "outliers": outlier_report(df), "profiles": data_profiling_report(df),
-            "quality": data_quality(df), "targets": target_candidates(df), "balance": categorical_balance(df), "readiness": ml_readiness(df)}
+    return {"overview": overview, "correlations": strong_pairs(df), "skewed": skewed, "outliers": outlier_report(df, q), "profiles": data_profiling_report(df, q),
+            "quality": data_quality(df, q), "targets": target_candidates(df, f), "balance": categorical_balance(df), "readiness": ml_readiness(df, f)}
 
 
 def eda_report(df: DataFrame) -> dict[str, DataFrame]:
