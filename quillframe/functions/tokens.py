@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
+_ROWS = 256  # texts that are Python strings at once
 
 
 def words(c: Column, pattern: str = WORD) -> Column:
@@ -24,3 +26,14 @@ def spaced(c: Column) -> Column:
 def without(tokens: Column, drop: Iterable[str]) -> Column:
     drop = sorted(drop)
     return F.filter(tokens, lambda w: ~w.isin(drop)) if drop else tokens
+
+
+def rewritten(c: Column, where: Column, fn: Callable[[str], str]) -> Column:
+    """``fn`` of the texts where the condition holds; the others are not sent to Python."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([None if t is None else fn(t) for t in texts.slice(at, _ROWS).to_pylist()], pa.string())
+                                 for at in range(0, max(len(texts), 1), _ROWS)])
+
+    return F.when(where, run(F.when(where, c))).otherwise(c)

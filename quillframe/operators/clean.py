@@ -7,7 +7,6 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,7 @@ from quillframe.functions.profile import fit, nulls, skew_g1
 from quillframe.functions.quantile import fit_quantiles, quantiles
 from quillframe.functions.scale import clip_columns, quantile_bounds, replace_columns, sigma_bounds
 from quillframe.functions.space import nearest
+from quillframe.functions.tokens import rewritten
 from quillframe.operators.stats import iqr_fences, label_column
 from quillframe.registry import operator
 
@@ -542,11 +542,7 @@ def normalize_text_case(df: DataFrame, column: str | None = None, case: str = "l
 
 def unescape(c: Column) -> Column:
     """HTML entities to characters; rows without an ampersand never leave the JVM."""
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
-
-    return F.when(c.contains("&"), decode(c)).otherwise(c)
+    return rewritten(c, c.contains("&"), html.unescape)
 
 
 @operator("clean.remove_html_tags")

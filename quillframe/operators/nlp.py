@@ -20,7 +20,7 @@ from quillframe.functions.ordered import index_rows, reliable_checkpoint
 from quillframe.functions.profile import fit, r, safe_div
 from quillframe.functions.quantile import fit_quantiles
 from quillframe.functions.sparse import first_kept, once, top_neighbours, unit_length, unit_vectors, weighted_terms
-from quillframe.functions.tokens import WORD, spaced, without, words
+from quillframe.functions.tokens import WORD, rewritten, spaced, without, words
 from quillframe.operators.clean import keep_one, row_order, strip, title_case
 from quillframe.registry import operator
 
@@ -143,12 +143,10 @@ def stem(w: Column) -> Column:
 def unaccent(c: Column) -> Column:
     """Compatibility decomposition without combining marks; plain ASCII rows never leave the JVM."""
 
-    @F.pandas_udf("string")
-    def strip_marks(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)),
-                     na_action="ignore")
+    def strip_marks(t: str) -> str:
+        return "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), strip_marks(c)).otherwise(c)
+    return rewritten(c, c.rlike(r"[^\x00-\x7F]"), strip_marks)
 
 
 @operator("nlp.text_normalize")
