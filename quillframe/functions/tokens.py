@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -37,3 +38,19 @@ def rewritten(c: Column, where: Column, fn: Callable[[str], str]) -> Column:
                                  for at in range(0, max(len(texts), 1), _ROWS)])
 
     return F.when(where, run(F.when(where, c))).otherwise(c)
+
+
+def word_pairs(joined: Column) -> Column:
+    """Struct ``n, same`` of words joined by spaces: how many there are, and how many ordered pairs of places hold the same word."""
+
+    @F.arrow_udf("n long, same long")
+    def run(texts: pa.Array) -> pa.Array:
+        n, same = [], []
+        for at in range(0, len(texts), _ROWS):
+            for t in texts.slice(at, _ROWS).to_pylist():
+                found = Counter(t.split(" ")) if t else Counter()
+                n.append(found.total())
+                same.append(sum(k * (k - 1) for k in found.values()))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(same, pa.int64())], ["n", "same"])
+
+    return run(joined)

@@ -20,7 +20,7 @@ from quillframe.functions.ordered import index_rows, reliable_checkpoint
 from quillframe.functions.profile import fit, r, safe_div
 from quillframe.functions.quantile import fit_quantiles
 from quillframe.functions.sparse import first_kept, once, top_neighbours, unit_length, unit_vectors, weighted_terms
-from quillframe.functions.tokens import WORD, rewritten, spaced, without, words
+from quillframe.functions.tokens import WORD, rewritten, spaced, without, word_pairs, words
 from quillframe.operators.clean import keep_one, row_order, strip, title_case
 from quillframe.registry import operator
 
@@ -416,15 +416,11 @@ def language_detect(df: DataFrame, column: str | None = None) -> DataFrame:
 
 @operator("nlp.text_diversity_index")
 def text_diversity_index(df: DataFrame, column: str | None = None) -> DataFrame:
-    """Simpson diversity. Sorting puts equal words together: each adds its number of earlier copies."""
+    """Simpson diversity, from the word counts of each text."""
     def build(c, s):
-        w = F.array_sort(words(s))
-        n = F.size(w).cast("double")
-        start = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("pairs"))
-        run = F.aggregate(w, start, lambda a, x: F.struct(
-            x.alias("w"), F.when(a["w"] == x, a["k"] + 1).otherwise(F.lit(0).cast("long")).alias("k"),
-            (a["pairs"] + F.when(a["w"] == x, a["k"] + 1).otherwise(F.lit(0).cast("long"))).alias("pairs")))
-        return {f"{c}_diversity": F.when(n <= 1, 0.0).otherwise(r(1 - 2 * run["pairs"] / (n * (n - 1))))}
+        k = word_pairs(F.array_join(words(s), " "))
+        n = k["n"].cast("double")
+        return {f"{c}_diversity": F.when(n <= 1, 0.0).otherwise(r(1 - k["same"] / (n * (n - 1))))}
 
     return over_text(df, column, build)
 
