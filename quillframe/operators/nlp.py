@@ -649,6 +649,17 @@ def vocab_stats(df: DataFrame, column: str | None = None) -> DataFrame:
 def text_key(c: str) -> Column:
     """Identity of a text: 128 bits of hash. Equal texts get equal corpus features, so they may share a key."""
     return F.struct(F.xxhash64(F.lit(1), text(c)).alias("a"), F.xxhash64(F.lit(2), text(c)).alias("b"))
+def keyed_words(df: DataFrame, c: str, tokens: Column) -> DataFrame:
+    """Rows ``_key, word``. The key is made before the words: beside ``explode`` it would be made anew for every word."""
+    return df.select(text_key(c).alias("_key"), tokens.alias("_t")).select("_key", F.explode("_t").alias("word"))
+
+
+def lone_words(df: DataFrame, c: str, tokens: Column) -> DataFrame:
+    """Rows ``_key, word`` of the words that the corpus holds once; the halves of the key are smallest ones of one row."""
+    held = keyed_words(df, c, tokens).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("_key.a").alias("a"), F.min("_key.b").alias("b"))
+    return held.where(F.col("n") == 1).select(F.struct("a", "b").alias("_key"), "word")
+
+
 
 
 def by_text(df: DataFrame, table: DataFrame, c: str) -> DataFrame:
@@ -662,9 +673,7 @@ def spelling_features(df: DataFrame, column: str | None = None) -> DataFrame:
     out = df
     for c in pick_many(df, column, "text"):
         tokens = F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit(r"(?U)\b[a-zA-Z]+\b"), F.lit(0)), lambda w: F.length(w) > 2)
-        single = (df.select(text_key(c).alias("_key"), F.explode(tokens).alias("word")).groupBy("word")
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("_key")).where(F.col("n") == 1))
-        table = single.groupBy("_key").agg(F.count(F.lit(1)).alias("_oov"))
+        table = lone_words(df, c, tokens).groupBy("_key").agg(F.count(F.lit(1)).alias("_oov"))
         out = by_text(out, table, c).withColumn("_total", F.size(tokens))
         oov = F.coalesce("_oov", F.lit(0))
         out = out.withColumns({f"{c}_oov_count": oov, f"{c}_oov_ratio": F.coalesce(r(safe_div(oov, F.col("_total"))), F.lit(0.0))}).drop("_oov", "_total")
@@ -676,9 +685,7 @@ def text_unique_words(df: DataFrame, column: str | None = None, shown: int = 10)
     """Words found in one document only: the first ``shown`` of a document and how many are shown."""
     c = first_text(df, column)
     tokens = F.array_distinct(without(words(text(c)), STOPWORDS))
-    alone = (df.select(text_key(c).alias("_key"), F.explode(tokens).alias("word")).groupBy("word")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("_key")).where(F.col("n") == 1))
-    table = alone.groupBy("_key").agg(F.slice(F.array_sort(F.collect_list("word")), 1, shown).alias("_u"))  # words of one text
+    table = lone_words(df, c, tokens).groupBy("_key").agg(F.slice(F.array_sort(F.collect_list("word")), 1, shown).alias("_u"))  # words of one text
     u = F.coalesce(F.col("_u"), F.array().cast("array<string>"))
     return by_text(df, table, c).withColumns({f"{c}_unique_words": F.array_join(u, ", "), f"{c}_unique_count": F.size(u)}).drop("_u")
 
@@ -688,7 +695,7 @@ def text_remove_rare(df: DataFrame, column: str | None = None, min_freq: int = 2
     out = df
     for c in pick_many(df, column, "text"):
         rare = word_counts(df, c).where(F.col("count") < min_freq).select("word")
-        held = df.select(text_key(c).alias("_key"), F.explode(F.array_distinct(words(text(c)))).alias("word")).join(rare, "word")
+        held = keyed_words(df, c, F.array_distinct(words(text(c)))).join(rare, "word")
         table = held.groupBy("_key").agg(F.collect_set("word").alias("_rare"))  # words of one text, each in few texts
         kept = F.filter(spaced(text(c)), lambda w: ~F.array_contains(F.col("_rare"), F.lower(w)))
         out = by_text(out, table, c).withColumn(c, F.array_join(

@@ -23,3 +23,17 @@ def test_diversity_counts_words_without_lambdas(texts):
     out = qf.apply(texts, "nlp.text_diversity_index", column="text")
     assert [x[0] for x in out.orderBy("i").select("text_diversity").collect()] == [0.7333, 0.0, 0.0, 0.0, 0.5333, 0.0, 0.6]
     assert "lambdafunction" not in plan(out)
+
+
+@pytest.mark.parametrize("operator", ["nlp.spelling_features", "nlp.text_unique_words"])
+def test_lone_words_hash_a_text_once_and_aggregate_by_hash(texts, operator):
+    shown = plan(qf.apply(texts, operator, column="text")).split("== Physical Plan ==")[1]
+    assert "SortAggregate" not in shown
+    lines = shown.splitlines()
+    above = [x for x in lines if "Project" in x and "xxhash64" in x and "word#" in x]
+    assert "Generate" in shown and not above
+
+
+def test_spelling_features(texts):
+    out = qf.apply(texts, "nlp.spelling_features", column="text").orderBy("i").select("text_oov_count", "text_oov_ratio").collect()
+    assert [tuple(x) for x in out] == [(0, 0.0), (0, 0.0), (0, 0.0), (1, 1.0), (0, 0.0), (0, 0.0), (0, 0.0)]
