@@ -594,12 +594,9 @@ def word_cloud(df: DataFrame, column: str | None = None, n: int = 40) -> DataFra
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """n-grams of a token array, as text: the array zipped with itself shifted by 1 .. n-1."""
-    out = tokens
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1))),
-                         lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_compact(out)
+    """n-grams of an array of tokens without spaces, as text: at every word of the joined tokens the next n words."""
+    ahead = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{n - 1}}}))"
+    return F.regexp_extract_all(F.array_join(tokens, " "), F.lit(ahead), F.lit(1))
 
 
 @operator("nlp.text_ngram_frequency")

@@ -37,3 +37,13 @@ def test_lone_words_hash_a_text_once_and_aggregate_by_hash(texts, operator):
 def test_spelling_features(texts):
     out = qf.apply(texts, "nlp.spelling_features", column="text").orderBy("i").select("text_oov_count", "text_oov_ratio").collect()
     assert [tuple(x) for x in out] == [(0, 0.0), (0, 0.0), (0, 0.0), (1, 1.0), (0, 0.0), (0, 0.0), (0, 0.0)]
+
+
+def test_grams_overlap_and_need_no_lambdas(spark):
+    from quillframe.operators.nlp import grams
+
+    df = spark.createDataFrame([(["a", "a", "a", "b"],), (["a"],), ([],), (["ü", "x1", "_y"],), (None,)], "t array<string>")
+    out = df.select(grams(F.col("t"), 2).alias("two"), grams(F.col("t"), 3).alias("three"))
+    assert [(x["two"], x["three"]) for x in out.collect()] == [
+        (["a a", "a a", "a b"], ["a a a", "a a b"]), ([], []), ([], []), (["ü x1", "x1 _y"], ["ü x1 _y"]), (None, None)]
+    assert "lambda" not in plan(out)
