@@ -611,16 +611,17 @@ def collocations(df: DataFrame, column: str | None = None, n: int = 20) -> DataF
     """PMI of the 3n most frequent word pairs seen at least twice; the n best."""
     c = first_text(df, column)
     base = df.select(F.filter(without(words(text(c)), STOPWORDS), lambda w: F.length(w) > 1).alias("_t"))
-    uni = base.select(F.explode("_t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
     bi = base.select(F.explode(grams(F.col("_t"), 2)).alias("collocation")).groupBy("collocation").agg(F.count(F.lit(1)).alias("frequency"))
-    totals = uni.agg(F.sum("k").alias("nu")).crossJoin(bi.agg(F.sum("frequency").alias("nb")))
-    top = bi.orderBy(F.desc("frequency"), "collocation").limit(3 * n).where(F.col("frequency") >= 2)
-    top = top.withColumns({"_a": F.split("collocation", " ")[0], "_b": F.split("collocation", " ")[1]})
-    a, b = uni.select(F.col("word").alias("_a"), F.col("k").alias("ka")), uni.select(F.col("word").alias("_b"), F.col("k").alias("kb"))
-    t = a.join(F.broadcast(top), "_a")  # at most 3n rows
-    t = b.join(F.broadcast(t), "_b").crossJoin(F.broadcast(totals))
-    expected = F.col("ka") / F.col("nu") * (F.col("kb") / F.col("nu"))
-    pmi = F.log2(F.col("frequency") / F.col("nb") / F.greatest(expected, F.lit(1e-10)))
+    top = [(x["collocation"], x["frequency"]) for x in bi.orderBy(F.desc("frequency"), "collocation").limit(3 * n).collect() if x["frequency"] >= 2]
+    named = sorted({w for pair, _ in top for w in pair.split(" ")})  # at most 6n words
+    uni = base.select(F.posexplode("_t").alias("_i", "word")).groupBy(F.when(F.col("word").isin(named), F.col("word")).alias("word")).agg(
+        F.count(F.lit(1)).alias("k"), F.count_if(F.col("_i") == 0).alias("texts")).collect()
+    k = {x["word"]: x["k"] for x in uni}
+    nu, nb = sum(x["k"] for x in uni), sum(x["k"] - x["texts"] for x in uni)
+    rows = [(pair, seen, *[k[w] for w in pair.split(" ")]) for pair, seen in top]
+    t = df.sparkSession.createDataFrame(rows, "collocation string, frequency long, ka long, kb long")
+    expected = F.col("ka") / F.lit(nu) * (F.col("kb") / F.lit(nu))
+    pmi = F.log2(F.col("frequency") / F.lit(nb) / F.greatest(expected, F.lit(1e-10)))
     return t.select("collocation", "frequency", r(pmi, 3).alias("pmi")).orderBy(F.desc("pmi"), "collocation").limit(n)
 
 
@@ -646,6 +647,8 @@ def vocab_stats(df: DataFrame, column: str | None = None) -> DataFrame:
 def text_key(c: str) -> Column:
     """Identity of a text: 128 bits of hash. Equal texts get equal corpus features, so they may share a key."""
     return F.struct(F.xxhash64(F.lit(1), text(c)).alias("a"), F.xxhash64(F.lit(2), text(c)).alias("b"))
+
+
 def keyed_words(df: DataFrame, c: str, tokens: Column) -> DataFrame:
     """Rows ``_key, word``. The key is made before the words: beside ``explode`` it would be made anew for every word."""
     return df.select(text_key(c).alias("_key"), tokens.alias("_t")).select("_key", F.explode("_t").alias("word"))
@@ -657,8 +660,6 @@ def lone_words(df: DataFrame, c: str, tokens: Column) -> DataFrame:
     return held.where(F.col("n") == 1).select(F.struct("a", "b").alias("_key"), "word")
 
 
-
-
 def by_text(df: DataFrame, table: DataFrame, c: str) -> DataFrame:
     """Join a per-text table (``_key``) back to the rows."""
     return df.withColumn("_k", text_key(c)).join(table, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")

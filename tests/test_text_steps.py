@@ -47,3 +47,10 @@ def test_grams_overlap_and_need_no_lambdas(spark):
     assert [(x["two"], x["three"]) for x in out.collect()] == [
         (["a a", "a a", "a b"], ["a a a", "a a b"]), ([], []), ([], []), (["ü x1", "x1 _y"], ["ü x1 _y"]), (None, None)]
     assert "lambda" not in plan(out)
+
+
+def test_collocations_count_the_words_of_the_best_pairs_only(texts, spark):
+    out = qf.apply(texts, "nlp.collocations", column="text")
+    assert [(x["collocation"], x["frequency"], x["pmi"]) for x in out.collect()] == [("ab cd", 2, 2.0), ("zeta zeta", 2, 1.83), ("ab ab", 2, 1.0)]
+    assert "Aggregate" not in plan(out)
+    assert qf.apply(texts.where("i = 3"), "nlp.collocations", column="text").count() == 0
