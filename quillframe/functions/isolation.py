@@ -34,16 +34,29 @@ def _grow(x: np.ndarray, rng, depth: int, limit: int):
     return [d, cut, _grow(x[low], rng, depth + 1, limit), _grow(x[~low], rng, depth + 1, limit)]
 
 
-def _length(tree, x: np.ndarray, idx: np.ndarray, out: np.ndarray) -> None:
-    if not isinstance(tree, list):
-        out[idx] += tree
-        return
-    d, cut, left, right = tree
-    low = x[idx, d] <= cut
-    if low.any():
-        _length(left, x, idx[low], out)
-    if not low.all():
-        _length(right, x, idx[~low], out)
+def _table(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as arrays over its nodes: column, cut (a leaf: infinite), children (a leaf: itself twice) and path length."""
+    nodes: list[list] = []
+
+    def add(t) -> int:
+        at = len(nodes)
+        nodes.append([0, math.inf, at, at, t if not isinstance(t, list) else 0.0])
+        if isinstance(t, list):
+            nodes[at][:4] = t[0], t[1], add(t[2]), add(t[3])
+        return at
+
+    add(tree)
+    dim, cut, low, high, length = zip(*nodes, strict=True)
+    return np.array(dim), np.array(cut), np.array([low, high]), np.array(length)
+
+
+def _lengths(tree: tuple, x: np.ndarray, levels: int) -> np.ndarray:
+    """Path length of every row: all rows go down one level at a time."""
+    dim, cut, children, length = tree
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(levels):
+        at = children[(~(x[rows, dim[at]] <= cut[at])).astype(np.int64), at]
+    return length[at]
 
 
 def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, seed: int) -> DataFrame:
@@ -58,7 +71,8 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, seed: int)
         return pd.DataFrame({"tree": [json.dumps(_grow(x, rng, 0, math.ceil(math.log2(max(len(x), 2)))))], "n": [len(x)]})
 
     grown = tagged.groupBy("_tree").applyInPandas(grow, "tree string, n long").collect()  # one small tree per row
-    forest = [json.loads(g["tree"]) for g in grown]
+    forest = [_table(json.loads(g["tree"])) for g in grown]
+    levels = max(math.ceil(math.log2(max(g["n"], 2))) for g in grown)
     scale = _average(float(np.mean([g["n"] for g in grown])))
 
     @F.pandas_udf("double")
@@ -66,7 +80,7 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, seed: int)
         x = v.to_numpy(dtype=float)
         total = np.zeros(len(x))
         for t in forest:
-            _length(t, x, np.arange(len(x)), total)
+            total += _lengths(t, x, levels)
         return pd.Series(2.0 ** (-total / len(forest) / max(scale, 1e-9)))
 
     return df.withColumn("score", score(F.struct(*[col(c).cast("double").alias(c) for c in names])))

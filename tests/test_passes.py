@@ -18,3 +18,23 @@ def test_grid_variances_equal_aggregates(spark, transform, least):
     want = df.agg(*[F.var_pop(transform(F.col("x"), float(g))) for g in grid]).first()
     np.testing.assert_allclose(grid_variances(df, F.col("x"), transform, grid), list(want), rtol=1e-9)
     assert np.isnan(grid_variances(df.where("x is null"), F.col("x"), transform, grid)).all()
+
+
+def test_isolation_lengths_follow_the_tree():
+    from quillframe.functions.isolation import _grow, _lengths, _table
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3))
+    tree = _grow(x, rng, 0, 8)
+
+    def walk(node, row):
+        return walk(node[2] if row[node[0]] <= node[1] else node[3], row) if isinstance(node, list) else node
+
+    np.testing.assert_array_equal(_lengths(_table(tree), x, 8), [walk(tree, row) for row in x])
+
+
+def test_isolation_scores_rows_once(spark):
+    df = spark.range(3000).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
+    out = qf.apply(df, "analysis.outlier_isolation_forest", trees=5)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert {x["label"]: x["count"] for x in out.collect()} == pytest.approx({"Normal": 2850, "Anomaly": 150}, abs=15)
