@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.ordered import reliable_checkpoint
+from quillframe.functions.ordered import narrow_table, reliable_checkpoint
 
 MARGIN = 1e-12  # a cosine this far below the threshold counts as equal to it
 BLOCK_ROWS = 4_096  # vectors of a block of the product
@@ -38,14 +38,18 @@ def weighted_terms(df: DataFrame, key: str, tokens: Column, vocab: int | None =
     """Rows ``key, t, term, w``: every word of every row with its tf-idf weight (smoothed, not yet of unit length).
 
     ``t`` numbers the words by (rows that have it, word), with gaps. ``vocab`` keeps only that many words, the most used ones.
+    The words of a row are counted where its text was dealt to by ``key``, and a small table of words is broadcast, so the
+    result is still dealt by ``key``: texts are shuffled once, their words are not.
     """
-    counted = reliable_checkpoint(df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    seen = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
+    held = df.select(key, tokens.alias("_t"))
+    seen = held.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if vocab is not None:
-        seen = seen.orderBy(F.desc("uses"), "term").limit(vocab)
+        used = held.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+        seen = seen.join(used.orderBy(F.desc("uses"), "term").limit(vocab), "term")
     numbered = seen.repartitionByRange("df", "term").sortWithinPartitions("df", "term").withColumn("t", F.monotonically_increasing_id())
-    numbered = reliable_checkpoint(numbered.select("term", "df", "t"))
+    numbered = narrow_table(numbered.select("term", "df", "t"), F.col("term"))
     idf = F.log(F.lit(1.0 + df.count()) / (F.lit(1.0) + F.col("df"))) + 1
+    counted = held.repartition(key).select(key, F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     return counted.join(numbered, "term").select(key, "t", "term", (F.col("tf") * idf).alias("w"))
 
 

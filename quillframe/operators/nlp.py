@@ -876,9 +876,11 @@ def text_dedup(df: DataFrame, column: str | None = None, threshold: float = 0.9,
     c, tokens = first_text(df, column), terms(vector_stopwords(stop_words))
     ix = index_rows(df, order_by)
     vectors = reliable_checkpoint(unit_vectors(weighted_terms(ix.df, "_idx", tokens(text(c)), vocab), "_idx"))
-    first = reliable_checkpoint(vectors.groupBy("t", "w").agg(F.min("_idx").alias("_first")))
-    near = first_kept(first.select(F.col("_first").alias("_idx"), "t", "w"), "_idx", threshold)
-    same = vectors.join(first, ["t", "w"]).select("_idx", "_first")
+    prints = vectors.select("_idx", F.xxhash64("t", "w").alias("_a"), F.xxhash64(F.lit(1), "w", "t").alias("_b"))
+    first = reliable_checkpoint(prints.groupBy("_a", "_b").agg(F.min("_idx").alias("_first")))  # 128 bits name a vector
+    distinct = reliable_checkpoint(vectors.join(first.select(F.col("_first").alias("_idx")), "_idx", "left_semi"))
+    near = first_kept(distinct, "_idx", threshold)
+    same = prints.join(first, ["_a", "_b"]).select("_idx", "_first")
     table = same.join(near, F.col("_first") == F.col("id"), "left").select(
         "_idx", F.coalesce("of", F.when(F.col("_idx") != F.col("_first"), F.col("_first"))).alias("_of"))
     out = ix.df.join(table, "_idx", "left").withColumns({

@@ -54,3 +54,12 @@ def test_collocations_count_the_words_of_the_best_pairs_only(texts, spark):
     assert [(x["collocation"], x["frequency"], x["pmi"]) for x in out.collect()] == [("ab cd", 2, 2.0), ("zeta zeta", 2, 1.83), ("ab ab", 2, 1.0)]
     assert "Aggregate" not in plan(out)
     assert qf.apply(texts.where("i = 3"), "nlp.collocations", column="text").count() == 0
+
+
+def test_vectors_are_made_where_the_texts_were_dealt_to(texts):
+    from quillframe.functions.sparse import unit_vectors, weighted_terms
+    from quillframe.functions.tokens import words
+
+    made = unit_vectors(weighted_terms(texts, "i", words(F.col("text"))), "i")
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(x["i"], len(x["t"])) for x in made.orderBy("i").collect()] == [(0, 3), (3, 1), (4, 2), (6, 2)]
