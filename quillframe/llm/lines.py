@@ -4,7 +4,7 @@ Distinct lines are split into ``threshold + 1`` segments. A line within ``thresh
 edits of another, no longer than itself, contains at least one of the other's segments
 unchanged, at a place shifted by no more than the edits beside it allow. So every line is
 indexed by (its length, segment number, segment) and probes the lengths up to
-``threshold`` shorter with the few substrings that can match. A pair that meets passes a
+``threshold`` shorter with the few substrings that can match, all cut from a copy with a byte for every character. A pair that meets passes a
 bound on a few letter counts inside the join and on more of them after it, and a banded
 bit-parallel edit distance decides.
 """
@@ -25,58 +25,62 @@ _FEW = " eantirosd"  # counted for every line, for the bound inside the join, si
 _LETTERS = "hlucmpgf"  # counted for lines that met
 
 
-def segment_spans(n: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """0-based start and length of each segment of a line of ``n`` characters; they differ by one character at most."""
-    parts = threshold + 1
-    cuts = [F.floor(n * i / F.lit(parts)).cast("int") for i in range(parts + 1)]
-    return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(parts)]
+def _span(n: Column, segment: Column, threshold: int) -> tuple[Column, Column]:
+    """0-based start and length of a segment of a line of ``n`` characters; they differ by one character at most."""
+    start, end = [F.floor(n * i / F.lit(threshold + 1)).cast("int") for i in (segment, segment + 1)]
+    return start, end - start
 
 
-def _key(n: Column, segment: int, text: Column) -> Column:
-    return F.xxhash64(n, F.lit(segment), text)
+def one_byte_each(line: Column) -> Column:
+    """The line with a byte for every character, ``?`` where it is not ASCII: edits of the line are at least the edits of
+    these bytes, and a piece of them is cut without reading what stands before it."""
+    return F.when(F.octet_length(line) == F.char_length(line), line).otherwise(F.regexp_replace(line, r"[^\x00-\x7F]", "?")).cast("binary")
 
 
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    return F.array(*[_key(n, i, line.substr(s + 1, size)) for i, (s, size) in enumerate(segment_spans(n, threshold))])
+def _keys(lines: DataFrame, cuts: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """Rows ``id, letters, key, less`` of every line and (segment, less, shift): the hash of the substring that lies ``shift``
+    off the segment's place in a line ``less`` characters shorter, with that length. The cuts are rows, not an expression
+    each, as the method that Spark writes for all of them would be too long to be compiled."""
+    cut = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in cuts])
+    rows = lines.select("id", "letters", one_byte_each(F.col("line")).alias("_b")).select("id", "letters", "_b", F.explode(cut).alias("c"))
+    n = F.octet_length("_b")
+    start, size = _span(n - F.col("c.less"), F.col("c.segment"), threshold)
+    at = start + F.col("c.shift")
+    inside = rows.where((at >= 0) & (at + size <= n) & (n > F.col("c.less")))
+    return inside.select("id", "letters", F.xxhash64(n - F.col("c.less"), F.col("c.segment"), F.substring("_b", at + 1, size)).alias("key"), F.col("c.less").alias("less"))
+
+
+def index_rows(lines: DataFrame, threshold: int) -> DataFrame:
+    """Rows ``id, letters, key`` of every line and segment."""
+    return _keys(lines, [(i, 0, 0) for i in range(threshold + 1)], threshold).drop("less")
 
 
 def probe_rows(lines: DataFrame, threshold: int) -> DataFrame:
-    """Rows ``key, less`` of every line: the substrings that can equal a segment of a line ``less`` characters shorter
+    """Rows ``id, letters, key, less`` of every line: the substrings that can equal a segment of a line ``less`` characters shorter
     (without the segments in their own place, which are the line's index keys).
 
     If segment i (from 0) is the first that is unchanged in place, at most i edits lie to
     its left and ``threshold - i`` to its right; so its place shifts by -i .. i seen from
-    the left end, and by the same rule seen from the right end. The substrings of one
-    segment number lie close together and are cut from one short piece of the line.
+    the left end, and by the same rule seen from the right end.
     """
-    n, parts = F.col("n"), range(threshold + 1)
-    spans = [segment_spans(n - less, threshold) for less in parts]
-    begins = {f"_b{i}": F.greatest(spans[threshold][i][0] - threshold, F.lit(0)) for i in parts}
-    ends = [F.least(spans[0][i][0] + spans[0][i][1] + threshold, n) for i in parts]
-    pieces = {f"_p{i}": F.col("line").substr(F.col(f"_b{i}") + 1, ends[i] - F.col(f"_b{i}")) for i in parts}
-    keys = []
-    for i in parts:
-        for less in parts:
-            start, size = spans[less][i]
+    cuts = []
+    for i in range(threshold + 1):
+        for less in range(threshold + 1):
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                at = start + shift
-                if not less and not shift:
-                    continue  # the index key of the line itself
-                inside = (at >= 0) & (at + size <= n) & (n > less)
-                part = F.col(f"_p{i}").substr((at - F.col(f"_b{i}") + 1).cast("int"), size)
-                keys.append(F.when(inside, F.struct(_key(n - less, i, part).alias("key"), F.lit(less).alias("less"))))
-    cut = lines.withColumns(begins).withColumns(pieces)
-    return cut.select("id", "letters", F.explode(F.array(*keys)).alias("p")).where("p is not null").select("id", "letters", "p.*")
-
-
-def letter_counts(line: Column, letters: str) -> Column:
-    """Counts of up to ten letters modulo 64, six bits each."""
-    n = F.char_length(line)
-    out = F.lit(0).cast("long")
+                if less or shift:  # else the index key of the line itself
+                    cuts.append((i, less, shift))
+    return _keys(lines, cuts, threshold)
+
+
+def with_letter_counts(lines: DataFrame, name: str, letters: str) -> DataFrame:
+    """``lines`` and in column ``name`` how often each of up to ten ASCII letters stands in ``line``, modulo 64, six bits each.
+    A letter that is counted is cut out before the next is looked for."""
+    left, cut, out = "line", lines, F.lit(0).cast("long")
     for i, c in enumerate(letters):
-        count = (n - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(63))
-        out = out.bitwiseOR(F.shiftleft(count, 6 * i))
-    return out
+        cut = cut.withColumn(f"_l{i}", F.replace(left, F.lit(c), F.lit("")))
+        count = (F.octet_length(left) - F.octet_length(f"_l{i}")).cast("long").bitwiseAND(F.lit(63))
+        left, out = f"_l{i}", out.bitwiseOR(F.shiftleft(count, 6 * i))
+    return cut.select(*lines.columns, out.alias(name))
 
 
 def letters_apart(a: Column, b: Column, letters: str) -> Column:
@@ -156,7 +160,7 @@ def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A place is a number that grows with (doc_id, line number); null ids come last.
     """
     rows = _occurrences(docs, key, text).groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("times"))
-    return saved(rows.withColumns({"id": _id(), "n": F.char_length("line"), "letters": letter_counts(F.col("line"), _FEW)}))
+    return saved(with_letter_counts(rows.withColumns({"id": _id(), "n": F.char_length("line")}), "letters", _FEW))
 
 
 def _place(key: str, number: str) -> Column:
@@ -180,7 +184,7 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     from an equi-join on segment keys (adaptive execution splits a hot key), and only pairs
     that pass the letter-count bound leave it.
     """
-    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
+    index = index_rows(lines, threshold).select("key", F.col("id").alias("b"), F.col("letters").alias("letters_b"))
     same = index.select("key", F.col("b").alias("a"), F.col("letters_b").alias("letters_a"))
     probe = probe_rows(lines, threshold).select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), (F.col("less") > 0).alias("shorter"))
     alike = letters_apart(F.col("letters_a"), F.col("letters_b"), _FEW) <= 2 * threshold
@@ -189,7 +193,7 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = saved(met.distinct())
     needed = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
     some = lines.select("line", "first", "id").join(small(needed, BROADCAST_ROWS), F.col("id") == F.col("need")).drop("need")
-    some = some.withColumn("more", letter_counts(F.col("line"), _LETTERS))
+    some = with_letter_counts(some, "more", _LETTERS)
     left = some.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"), F.col("more").alias("more_a"))
     right = some.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"), F.col("more").alias("more_b"))
     both = pairs.join(left, "a").join(right, "b").where(letters_apart(F.col("more_a"), F.col("more_b"), _LETTERS) <= 2 * threshold)
@@ -220,7 +224,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     facts = found.join(linked.withColumnRenamed("line", "_line"), F.col("line") == F.col("_line"), "left").drop("_line")
     told = facts.where("times > 1 or links is not null").select(
         _id().alias("_a"), F.xxhash64(F.lit(1), "line").alias("_b"), "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
-    rows = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("number", "line"))
+    texts = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(text).alias("_hash"), F.split(F.col(f"`{text}`"), "\n").alias("_lines"))
+    rows = texts.select("_id", "_hash", F.posexplode("_lines").alias("number", "line"))
     rows = rows.where(F.col("line").rlike(WORD)).select(
         "_id", "_hash", "number", _id().alias("_la"), F.xxhash64(F.lit(1), "line").alias("_lb"))
     hit = rows.join(small(told, BROADCAST_ROWS), (F.col("_la") == F.col("_a")) & (F.col("_lb") == F.col("_b")))

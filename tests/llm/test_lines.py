@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -103,3 +104,32 @@ def test_empty_table_repeated_rows_and_extra_columns(spark):
     out = lines.without_repeats(df)
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, BASE[0], 25, "k"), (1, BASE[0], 25, "k"), (None, "x", 1, "n"), (None, None, None, "n")], key=repr)
+
+
+def test_methods_of_the_probes_are_short_enough_for_the_compiler(spark, folder, capsys):
+    """The JVM only interprets methods above 8000 bytes."""
+    found = lines.distinct_lines(spark.read.parquet(f"{folder}/documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines.probe_rows(found, lines.THRESHOLD).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_lines_beyond_ascii(spark):
+    """Characters of one to four bytes, changed for one another, are one edit each."""
+    rnd = random.Random(12)
+    letters = "aé漢😀 ?"
+    base = ["".join(rnd.choice(letters) for _ in range(n)) for n in (20, 21, 33, 60)]
+    rows = []
+    for i in range(80):
+        line = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(line))
+            line[at:at + rnd.randint(0, 1)] = rnd.choice(["", *letters])
+        rows.append((i, "".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in lines.dedup_lines(df).select("row.doc_id", "n_lines", "repeats", "nears", "links", "kept").collect()}
+    assert got == brute(rows) and sum(r[2] for r in got.values()) > 5
