@@ -26,7 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingle sets with a Jaccard similarity of 0.8 link."""
+    """The document with the smallest id of each group: SimHash links, and bands behind them, propose pairs, and those with a
+    Jaccard similarity of 0.8 of their five-word shingle sets link."""
     return simhash.keep_one(docs)
 
 

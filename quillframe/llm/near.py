@@ -5,8 +5,9 @@ four; nodes that share a band are candidates, and the exact similarity of their
 sets decides. A pair at similarity 0.8 shares no band with probability
 (1 - 0.8^4)^32 = 4.8e-8, a nearer one with less.
 
-Links connect groups, they do not list all pairs. First every node is compared with the
-smallest node of each of its bands' cells. Cells that these links have not joined whole are
+Links connect groups, they do not list all pairs. First the pairs that the caller proposes
+(SimHash links, module ``simhash``) are compared, then every node with the smallest node of
+each of its bands' cells, where these links have not joined them. Cells that are not joined whole are
 then compared inside tasks, all pairs of different groups, and only a link that joins
 two groups leaves the task. A large cell is cut into pieces by the bytes of its sets,
 and every two pieces meet in a task of their own. Cells with the same members count once.
@@ -30,6 +31,7 @@ SIMILARITY = 0.8  # Jaccard similarity of linked texts at least
 BANDS, ROWS = 32, 4
 PIECE_BYTES, PIECE_ROWS = 8 << 20, 4_096  # of the sets of a piece, about
 SEED = 42
+SIGNATURE = "set binary, size int, bands array<bigint>"
 _STEP = 4096  # shingles that are hashed at once
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,11 +68,6 @@ def signature(raw: bytes, width: int = WIDTH) -> tuple[bytes, int, list[int]]:
     return xxhash.xxh3_128_digest(found.tobytes(), SEED), len(found), bands
 
 
-def signature_column(text: str = "text", width: int = WIDTH) -> Column:
-    """Struct ``set, size, bands`` of a text; a null text is empty."""
-    return text_udf(lambda raw: signature(raw, width), "set binary, size int, bands array<bigint>")(text_bytes(text))
-
-
 def _set_column(text: str, width: int) -> Column:
     return text_udf(lambda raw: (shingle_set(raw, width).tobytes(),), "s binary")(text_bytes(text))["s"]
 
@@ -79,7 +76,7 @@ def _like(common: np.ndarray, size: np.ndarray, other: int, similarity: float) -
     return common >= similarity * (size + other - common) - 1e-9
 
 
-def _sized(n: Column, m: Column, similarity: float) -> Column:
+def sized(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
@@ -158,16 +155,26 @@ def open_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return arrow_rows(laid.select("cell", "i", "j", "own", "node", "root", "shingles"), rows, "a bigint, b bigint")
 
 
-def node_roots(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows ``node, root`` of the nodes with a link. ``nodes`` has ``node, size, bands``, ``texts`` a row ``node, text`` of each node."""
-    members = saved(cell_members(nodes))
-    needed = members.select(F.col("node").alias("_n")).distinct()
+def _rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    """``df`` with the root of its column ``node``: the node itself where it has no link."""
+    return df.join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(node) == F.col("_n"), "left").withColumn(
+        root, F.coalesce("_r", node)).drop("_n", "_r")
+
+
+def node_roots(nodes: DataFrame, texts: DataFrame, proposed: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows ``node, root`` of the nodes with a link. ``nodes`` has ``node, size, bands``, ``texts`` a row ``node, text`` of each node,
+    ``proposed`` the pairs ``leader, node, size`` that are compared first; bands find what these leave apart."""
+    members, proposed = saved(cell_members(nodes)), saved(proposed)
+    needed = members.select(F.col("node").alias("_n")).unionByName(proposed.select(F.explode(F.array("leader", "node")).alias("_n"))).distinct()
     sets = saved(texts.join(needed, F.col("node") == F.col("_n")).select("node", _set_column("text", width).alias("shingles")))
-    first = members.where((F.col("node") != F.col("least.node")) & _sized(F.col("size"), F.col("least.size"), similarity))
-    links = saved(leader_links(first.select(F.col("least.node").alias("leader"), "node", "size").distinct(), sets, similarity))
+    links = saved(leader_links(proposed, sets, similarity))
+    roots = checkpointed(components(links))
+    first = members.where((F.col("node") != F.col("least.node")) & sized(F.col("size"), F.col("least.size"), similarity))
+    first = first.select(F.col("least.node").alias("leader"), "node", "size").distinct()
+    apart = _rooted(_rooted(first, roots, "leader", "_a"), roots, "node", "_b").where("_a <> _b").select("leader", "node", "size")
+    links = links.unionByName(saved(leader_links(saved(apart), sets, similarity)))
     roots = checkpointed(components(links))
-    named = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-        "cell", "node", "size", F.coalesce("root", "node").alias("root"))
+    named = _rooted(members, roots, "node", "root").select("cell", "node", "size", "root")
     split = named.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
     more = saved(open_links(named.join(split, "cell"), sets, similarity))
     return components(links.unionByName(more))

@@ -164,21 +164,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def proposed_pairs(nodes: DataFrame, similarity: float, distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``leader, node, size`` of ``nodes`` (``node, size, fp``) within ``distance`` bits whose sizes allow the similarity.
+
+    Nodes of one fingerprint are led by the smallest of them, and that one by the smallest
+    node of the smallest linked fingerprint below its own. So a node is led once, however many are near it.
+    """
+    some = nodes.where("size > 0").select("node", "size", "fp")
+    first = checkpointed(some.groupBy("fp").agg(F.min("node").alias("leader"), F.min_by("size", "node").alias("leader_size")))
+    links = grid_links(first.select("fp"), distance)
+    lower = links.groupBy(F.greatest("a", "b").alias("fp")).agg(F.min(F.least("a", "b")).alias("low"))
+    across = first.select("fp", F.col("leader").alias("node"), F.col("leader_size").alias("size")).join(lower, "fp").drop("fp").join(
+        first.withColumnRenamed("fp", "low"), "low").drop("low")
+    equal = some.join(first, "fp").where("node <> leader").drop("fp")
+    return equal.unionByName(across).where(near.sized(F.col("size"), F.col("leader_size"), similarity)).select("leader", "node", "size")
+
+
 def keep_one(docs: DataFrame, width: int = near.WIDTH, similarity: float = near.SIMILARITY) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``: the smallest ``doc_id`` (null last), of repeated ones one.
 
-    Texts link at a Jaccard similarity of ``similarity`` of their ``width``-word shingles (module ``near``); texts without
+    SimHash links of at most three bits propose pairs, and those whose ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` link. Pairs at that similarity that three bits lose are found by bands of minimum hashes (module ``near``). Texts without
     words are one group. Rows are told by their id and a hash of all columns, so repeated or null ids are no matter.
     """
     kind = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), kind.alias("_kind"))
     place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_kind").alias("kind"))
-    narrow = saved(rows.select(near.signature_column("_text", width).alias("s"), place.alias("place")).select("s.*", "place"))
-    nodes = saved(narrow.groupBy("set").agg(F.min("place").alias("place"), F.min("size").alias("size"), F.first("bands").alias("bands"))
+    marks = text_udf(lambda raw: (*near.signature(raw, width), *_signed(raw, WIDTH)), f"{near.SIGNATURE}, fp bigint")(text_bytes("_text"))
+    narrow = saved(rows.select(marks.alias("s"), place.alias("place")).select("s.*", "place"))
+    nodes = saved(narrow.groupBy("set").agg(F.min("place").alias("place"), F.min("size").alias("size"), F.first("bands").alias("bands"), F.min_by("fp", "place").alias("fp"))
                   .withColumn("node", F.monotonically_increasing_id()))
     at = F.col("_id").eqNullSafe(F.col("place.id")) & (F.col("_kind") == F.col("place.kind"))
     texts = rows.select("_id", "_kind", "_text").join(nodes.select("node", "place"), at).groupBy("node").agg(F.first("_text").alias("text"))
-    roots = checkpointed(near.node_roots(nodes, texts, width, similarity))
+    roots = checkpointed(near.node_roots(nodes, texts, proposed_pairs(nodes, similarity), width, similarity))
     rooted = nodes.select("node", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     winner = rooted.groupBy("root").agg(F.min("place").alias("place"))
     copies = narrow.groupBy("place").agg(F.count("*").alias("copies"))

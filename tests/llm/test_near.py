@@ -73,3 +73,24 @@ def test_dense_group_between_the_similarities(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want and len(want) > 1
     monkeypatch.setattr(near, "PIECE_ROWS", 64)
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want
+
+
+def test_simhash_proposes_the_links(spark, monkeypatch):
+    """Without bands, copies within three bits are found; texts within three bits that are not similar stay."""
+    rnd = random.Random(21)
+    texts, at = {}, 0
+    for _ in range(30):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(400)]
+        for _ in range(2):
+            texts[at], at = " ".join(base), at + 1
+            base = [*base[:-1], f"x{rnd.randrange(4000)}"]
+    for _ in range(3):
+        texts[at], at = "same three words " * 200 + " ".join(f"y{rnd.randrange(4000)}" for _ in range(150)), at + 1
+    fps = {d: int.from_bytes(simhash.fingerprint(t.encode()), "big") for d, t in texts.items()}
+    close = [d for d in range(0, 60, 2) if (fps[d] ^ fps[d + 1]).bit_count() <= 3]
+    assert len(close) > 15 and (fps[60] ^ fps[61]).bit_count() <= 3
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == plain_kept(texts) == {*range(0, 60, 2), 60, 61, 62}
+    members = near.cell_members
+    monkeypatch.setattr(near, "cell_members", lambda nodes: members(nodes).limit(0))
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(texts) - {d + 1 for d in close}
