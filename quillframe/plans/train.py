@@ -446,7 +446,8 @@ def train_clusters(df: DataFrame, names: Sequence[str] | None = None, k: int = 3
     now = fitted.transform(df)
     features = numeric_cols(now)
     data = assemble(now, features).persist()
-    made = {a: clusterers(k)[a]().fit(data) for a in (names or clusterers(k))}
+    vectors = data.select("features")  # not cached itself, so a fit keeps its decoded vectors instead of decoding the rows in every iteration
+    made = {a: clusterers(k)[a]().fit(vectors) for a in (names or clusterers(k))}
     rows = sorted(((a, round(silhouette(m.transform(data)), 6)) for a, m in made.items()), key=lambda t: -t[1])
     data.unpersist()
     return Trained("clustering", rows[0][0], made[rows[0][0]], fitted, features, [], False, report(df, rows, "algorithm string, silhouette double"))

@@ -49,3 +49,15 @@ def test_kmeans_leaves_the_vectors_to_the_fit(spark, monkeypatch):
     out = qf.apply(df, "analysis.cluster_kmeans", max_k=3).collect()
     assert [x["k"] for x in out if x["best"]] == [2]
     assert len(given) == 2 and not any(level.useMemory for level in given)
+
+
+def test_cluster_training_leaves_the_vectors_to_the_fits(spark, monkeypatch):
+    from quillframe.plans import train
+
+    given = []
+    for kind in (train.KMeans, train.GaussianMixture):
+        monkeypatch.setattr(kind, "fit", lambda self, data, *a, fit=kind.fit: given.append(data.storageLevel) or fit(self, data, *a))
+    df = spark.range(300).select((F.col("id") % 2 * 10 + F.rand(1)).alias("a"), (F.col("id") % 3 * 10 + F.rand(2)).alias("b"))
+    out = train.train_clusters(df, ["kmeans", "gaussian_mixture"]).comparison.collect()
+    assert {r["algorithm"] for r in out} == {"kmeans", "gaussian_mixture"}
+    assert len(given) == 2 and not any(level.useMemory for level in given)
