@@ -21,6 +21,10 @@ from quillframe.functions.ordered import narrow_table, reliable_checkpoint
 
 MARGIN = 1e-12  # a cosine this far below the threshold counts as equal to it
 BLOCK_ROWS = 4_096  # vectors of a block of the product
+ROW_WORDS = 400  # words of a vector, on average, that make a block full before it has all its rows
+TILE_ROWS, CHUNK = 256, 1 << 20  # fixed values: rows of a tile of the product, products at a time
+DOWN, ACROSS = 16, 64  # fixed values: rows and columns of a group in a tile
+DENSE, DENSE_WORDS = 0.004, 1_024  # share of the pairs of rows from which a word is cheaper in a dense product, and the most words of one
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -144,81 +148,179 @@ def first_kept(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
 
 
 class _Block:
-    """Inverted index of some vectors."""
+    """Some vectors by words: of each word in ``terms`` the rows that have it and their weights. Rows are in the order of ``ids``."""
 
-    def __init__(self, ids: list[int], terms: list[np.ndarray], weights: list[np.ndarray]):
-        self.ids = np.array(ids)
-        t, w = np.concatenate(terms), np.concatenate(weights)
-        rows = np.repeat(np.arange(len(ids)), [len(x) for x in terms])
+    PARTS = {"ids": np.int64, "terms": np.int64, "starts": np.int64, "rows": np.int32, "w": np.float64, "floor": np.float64}
+
+    def __init__(self, **parts):
+        vars(self).update(parts)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, sizes: np.ndarray, t: np.ndarray, w: np.ndarray) -> _Block:
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(ids)] = np.arange(len(ids))
+        rows = np.repeat(place, sizes)
         order = np.lexsort((rows, t))
-        self.rows, self.w = rows[order], w[order]
-        self.t, starts = np.unique(t[order], return_index=True)
-        self.ends = np.append(starts, len(order))
-        self.most = np.maximum.reduceat(self.w, starts)
-
-    def best(self, own: int, t: np.ndarray, w: np.ndarray, k: int) -> Iterator[tuple[int, float]]:
-        """The k nearest others. Words come by what they can add at most; once those that are left cannot lift a new row
-        to the k-th score, they are added only to the rows that can still reach it."""
-        at = np.searchsorted(self.t, t)
-        held = (at < len(self.t)) & (self.t[np.minimum(at, len(self.t) - 1)] == t)
-        at, w = at[held], w[held]
-        bound = w * self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
-        score, some = np.zeros(len(self.ids)), None
-        score[self.ids == own] = -np.inf
-        for n, i in enumerate(order):
-            if some is None and n and len(score) > k:
-                kth = np.partition(score, -k)[-k]
-                if left[n] < kth - 1e-9:
-                    some = np.nonzero(score + left[n] >= kth - 1e-9)[0]
-            a, b = self.ends[at[i]], self.ends[at[i] + 1]
-            rows, add = self.rows[a:b], w[i] * self.w[a:b]
-            if some is not None and len(some) < len(rows):
-                p = np.minimum(np.searchsorted(rows, some), len(rows) - 1)
-                here = rows[p] == some
-                score[some[here]] += add[p[here]]
-            else:
-                score[rows] += add
-        some = np.arange(len(score)) if some is None else some
-        some = some[score[some] > 0]
-        for r in some[np.lexsort((self.ids[some], -np.round(score[some], 12)))[:k]]:
-            yield int(self.ids[r]), float(score[r])
+        terms, starts = np.unique(t[order], return_index=True)
+        return cls(ids=np.sort(ids), terms=terms, starts=np.append(starts, len(order)), rows=rows[order].astype(np.int32), w=w[order], floor=np.zeros(len(ids)))
+
+    @classmethod
+    def read(cls, parts: dict[str, pa.Scalar]) -> _Block:
+        return cls(**{k: np.frombuffer(parts[k].as_buffer(), kind) for k, kind in cls.PARTS.items()})
+
+    def write(self) -> dict[str, bytes]:
+        return {k: getattr(self, k).astype(kind, copy=False).tobytes() for k, kind in self.PARTS.items()}
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _products(a: _Block, b: _Block) -> Iterator[tuple[int, np.ndarray]]:
+    """The cosines of a's rows and b's rows, some rows of a at a time; rows and columns are padded with zeros to whole groups.
+
+    Words that many rows of both blocks have go through a dense product, the others by their pairs of rows.
+    """
+    at = np.minimum(np.searchsorted(b.terms, a.terms), max(len(b.terms) - 1, 0))
+    ia = np.nonzero(b.terms[at] == a.terms)[0]
+    ib = at[ia]
+    na, nb = a.starts[ia + 1] - a.starts[ia], b.starts[ib + 1] - b.starts[ib]
+    often = na * nb
+    dense = np.nonzero(often > DENSE * len(a.ids) * len(b.ids))[0]
+    dense = dense[np.argsort(-often[dense], kind="stable")[:DENSE_WORDS]]
+    column = np.full(len(ia), -1)
+    column[dense] = np.arange(len(dense))
+    wide = -(-len(b.ids) // ACROSS) * ACROSS
+    right, cells = np.zeros((len(dense), wide)), _ranges(b.starts[ib[dense]], nb[dense])
+    right[np.repeat(np.arange(len(dense)), nb[dense]), b.rows[cells]] = b.w[cells]
+    held = _ranges(a.starts[ia], na)
+    rows, w, word = a.rows[held], a.w[held], np.repeat(np.arange(len(ia)), na)
+    order = np.argsort(rows // TILE_ROWS, kind="stable")
+    rows, w, word = rows[order], w[order], word[order]
+    cuts = np.searchsorted(rows // TILE_ROWS, np.arange(-(-len(a.ids) // TILE_ROWS) + 1))
+    for n, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        first = n * TILE_ROWS
+        r, x, k = rows[low:high] - first, w[low:high], word[low:high]
+        tall = -(-min(TILE_ROWS, len(a.ids) - first) // DOWN) * DOWN
+        left, own = np.zeros((tall, len(dense))), column[k] >= 0
+        left[r[own], column[k[own]]] = x[own]
+        tile = left @ right
+        flat = tile.reshape(-1)
+        r, x, k = r[~own], x[~own], k[~own]
+        sizes, starts = nb[k], b.starts[ib[k]]
+        done = np.cumsum(sizes)
+        edges = np.unique(np.append(np.searchsorted(done, np.arange(0, done[-1] if len(done) else 0, CHUNK)), len(k)))
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            cells = _ranges(starts[i:j], sizes[i:j])
+            flat += np.bincount(np.repeat(r[i:j].astype(np.int64) * wide, sizes[i:j]) + b.rows[cells], np.repeat(x[i:j], sizes[i:j]) * b.w[cells], len(flat))
+        yield first, tile
+
+
+def _first_k(who: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every ``who`` the k largest scores; ties go to the smaller ``other``."""
+    order = np.lexsort((other, -np.round(score, 12), who))
+    who, other, score = who[order], other[order], score[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], other[keep], score[keep]
+
+
+def _best_rows(groups: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, place, score`` of what can be among a row's k best, at ``floor`` or above; ``groups`` are rows by groups by places.
+
+    The k-th largest of the groups' maxima is reached by k places, so no place below it counts. ``floor`` is raised to it.
+    """
+    most = groups.max(2)
+    if most.shape[1] >= k:
+        np.maximum(floor, np.partition(most, -k, axis=1)[:, -k], out=floor)
+    least = np.maximum(floor - 2e-12, 1e-300)
+    row, group = np.nonzero(most >= least[:, None])
+    some = groups[row, group]
+    n, place = np.nonzero(some >= least[row, None])
+    return row[n], group[n] * groups.shape[2] + place, some[n, place]
+
+
+def _neighbours(a: _Block, b: _Block, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``id, other, cosine``: for each of a's rows what can be among its k nearest in b and, if b is another block, the other way round."""
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    up = np.append(b.floor, np.full(-len(b.ids) % ACROSS, np.inf))
+    for first, tile in _products(a, b):
+        tall, wide = tile.shape
+        if a is b:
+            here = np.arange(min(tall, len(a.ids) - first))
+            tile[here, here + first] = 0
+        floor = np.append(a.floor[first:first + tall], np.full(max(first + tall - len(a.ids), 0), np.inf))
+        row, place, score = _best_rows(tile.reshape(tall, wide // ACROSS, ACROSS), floor, k)
+        row, place, score = _first_k(row, place, score, k)
+        yield a.ids[row + first], b.ids[place], score
+        if a is not b:
+            place, row, score = _best_rows(tile.reshape(tall // DOWN, DOWN, wide).transpose(2, 0, 1), up, k)
+            new = (place, row + first, score)
+            held = _first_k(*(np.concatenate(x) for x in zip(held, new, strict=True)), k)
+            last = np.nonzero(np.bincount(held[0], minlength=wide) == k)[0]
+            up[last] = np.maximum(up[last], held[2][np.searchsorted(held[0], last) + k - 1])
+    yield b.ids[held[0]], a.ids[held[1]], held[2]
+
+
+def _packed(rows: int, words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Vectors to blocks of at most that many rows and words, each with its nearest rows inside the block."""
+
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        made = _Block.of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        ids, others, scores = (np.concatenate(x) for x in zip(*_neighbours(made, made, k), strict=True))
+        full = np.searchsorted(made.ids, ids)
+        full = np.nonzero(np.bincount(full, minlength=len(made.ids)) == k)[0]
+        made.floor[full] = scores[np.searchsorted(ids, made.ids[full]) + k - 1]
+        own = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(scores)], ["id", "other", "cosine"])
+        return pa.RecordBatch.from_pydict({"block": [int(made.ids[0])], "own": pa.ListArray.from_arrays([0, len(own)], own)} | {
+            name: pa.array([data], pa.binary()) for name, data in made.write().items()})
+
+    def run(batches):
+        held, some, much = [], 0, 0
+        for batch in batches:
+            ids, t, w = (batch.column(i) for i in range(3))
+            ids, sizes, t, w = ids.to_numpy(), t.value_lengths().to_numpy(), t.flatten().to_numpy(), w.flatten().to_numpy()
+            ends, at = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+            while at < len(ids):
+                take = min(len(ids) - at, rows - some, int(np.searchsorted(ends[at + 1:] - ends[at], words - much, "right")))
+                take = take if held else max(take, 1)
+                if take:
+                    part = slice(ends[at], ends[at + take])
+                    held.append((ids[at:at + take], sizes[at:at + take], t[part], w[part]))
+                    some, much, at = some + take, much + int(ends[at + take] - ends[at]), at + take
+                if at < len(ids):
+                    yield block(held)
+                    held, some, much = [], 0, 0
+        if held:
+            yield block(held)
+
+    return run
 
 
 def top_neighbours(vectors: DataFrame, key: str, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``id, other, cosine``: of each vector the k others with the largest cosine above zero; ties go to the smaller key.
 
-    A product in blocks: the vectors are dealt into blocks of about ``rows`` and every two blocks meet once, so a
-    task holds one block's index and streams another block past it. The work is that of all pairs; only k rows a
-    vector and block leave a task.
+    A product in blocks of about ``rows`` vectors that share their most frequent words. Every two blocks are read together
+    once, from the checkpoint and not through a shuffle. A vector's k-th best cosine inside its own block is known before,
+    and only rows that reach it leave a task. The work is that of all pairs.
     """
-    n = vectors.count()
-    count = max(-(-n // rows), min(n // 64, 4), 1)
-    own = F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-    named = reliable_checkpoint(vectors.select(F.col(key).alias("id"), "t", "w", own.alias("own")))
-    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    index = named.select("id", "t", "w", F.col("own").alias("block"), every.alias("probe"), F.lit(0).alias("asks"))
-    asks = named.select("id", "t", "w", every.alias("block"), F.col("own").alias("probe"), F.lit(1).alias("asks"))
-    laid = index.unionByName(asks).repartition("block", "probe").sortWithinPartitions("block", "probe", "asks", "id")
+    n, words = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    count = max(-(-4 * n // (3 * rows)), -(-4 * words // (3 * rows * ROW_WORDS)), min(n // 64, 4), 1)
+    often = F.reverse("t")
+    laid = vectors.select(F.col(key).cast("long").alias("id"), "t", "w").repartitionByRange(count, *[F.get(often, F.lit(i)) for i in range(3)], "id")
+    kinds = "block long, own array<struct<id: long, other: long, cosine: double>>, " + ", ".join(f"{name} binary" for name in _Block.PARTS)
+    blocks = reliable_checkpoint(laid.sortWithinPartitions(*[F.get(often, F.lit(i)) for i in range(3)], "id").mapInArrow(_packed(rows, rows * ROW_WORDS, k), kinds))
+    left, right = (blocks.select(*[F.col(name).alias(f"{side}_{name}") for name in ("block", *_Block.PARTS)]) for side in "ab")
 
     def run(batches):
-        here, held, block = None, ([], [], []), None
         for batch in batches:
-            out = []
-            for i, t, w, b, p, ask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (b, p) != here:
-                    here, held, block = (b, p), ([], [], []), None
-                if not ask:
-                    for kept, value in zip(held, (i, np.array(t), np.array(w)), strict=True):
-                        kept.append(value)
-                elif held[0] or block:
-                    block = block or _Block(*held)
-                    held = ([], [], [])
-                    out += [(i, other, s) for other, s in block.best(i, np.array(t), np.array(w), k)]
-            ids, others, scores = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(scores, pa.float64())], ["id", "other", "cosine"])
-
-    found = laid.select("id", "t", "w", "block", "probe", "asks").mapInArrow(run, "id long, other long, cosine double")
+            for i in range(batch.num_rows):
+                a, b = (_Block.read({name: batch.column(f"{side}_{name}")[i] for name in _Block.PARTS}) for side in "ab")
+                for ids, others, scores in _neighbours(a, b, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(scores, pa.float64())], ["id", "other", "cosine"])
+
+    met = left.join(right.hint("shuffle_replicate_nl"), F.col("a_block") < F.col("b_block"))
+    found = met.mapInArrow(run, "id long, other long, cosine double").unionByName(blocks.select(F.inline("own")))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "other"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)

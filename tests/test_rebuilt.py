@@ -127,6 +127,25 @@ def test_top_neighbours_in_blocks(spark):
     assert got == {i: w for i, w in want.items() if w}
 
 
+def test_neighbours_meet_without_copies_of_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "ROW_WORDS", 6)  # blocks are full by their words before they have 16 rows
+    rows = [*texts(60, 8), *["w1 w2 w3 w4"] * 30]
+    v = unit(rows)
+    want = {}
+    for i in range(len(rows)):
+        s = sorted((-round(sum(x * v[j].get(w, 0) for w, x in v[i].items()), 12), j) for j in range(len(rows)) if j != i)
+        want[i] = [j for d, j in s if d < 0][:3]
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, t string")
+    vectors = sparse.unit_vectors(sparse.weighted_terms(df, "i", F.filter(F.split("t", " "), lambda w: w != "")), "i")
+    near = sparse.top_neighbours(vectors, "i", 3, rows=16)
+    got = {}
+    for r in sorted(near.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["id"], []).append(r["other"])
+    assert got == {i: w for i, w in want.items() if w}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan  # no copy of a vector for every block
+
+
 def test_baskets_of_many_items(spark):
     rnd = random.Random(8)
     baskets = {g: {f"i{min(int(rnd.expovariate(0.02)), 199)}" for _ in range(rnd.choice([2, 5, 120]))} for g in range(60)}
