@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from quillframe.columns import col, pick, pick_many, resolve, resolve_all, text_cols
 from quillframe.functions.levels import oversample, shuffled_position
-from quillframe.functions.ordered import index_rows, reliable_checkpoint
+from quillframe.functions.ordered import index_rows, narrow_table, reliable_checkpoint
 from quillframe.functions.profile import fit, r, safe_div
 from quillframe.functions.quantile import fit_quantiles
-from quillframe.functions.sparse import first_kept, once, top_neighbours, unit_length, unit_vectors, weighted_terms
+from quillframe.functions.sparse import first_kept, once, tfidf_vectors, top_neighbours, unit_length, weighted_terms
 from quillframe.functions.tokens import WORD, rewritten, spaced, without, word_pairs, words
 from quillframe.operators.clean import keep_one, row_order, strip, title_case
 from quillframe.registry import operator
@@ -850,7 +850,7 @@ def text_similarity(df: DataFrame, column: str | None = None, order_by: Sequence
     c, tokens = first_text(df, column), terms(vector_stopwords(stop_words))
     ix = index_rows(df, order_by).df
     rows = ix.where(F.col("_idx") < n) if n is not None else ix
-    vectors = reliable_checkpoint(unit_vectors(weighted_terms(rows, "_idx", tokens(text(c)), vocab), "_idx"))
+    vectors = reliable_checkpoint(tfidf_vectors(rows, "_idx", tokens(text(c)), vocab))
     if n is None:
         near = top_neighbours(vectors, "_idx", k)
         return near.select(F.col("id").alias("document"), "rank", F.col("other").alias("neighbour"), r("cosine", 3).alias("similarity"))
@@ -875,15 +875,15 @@ def text_dedup(df: DataFrame, column: str | None = None, threshold: float = 0.9,
         raise ValueError("action must be flag or remove")
     c, tokens = first_text(df, column), terms(vector_stopwords(stop_words))
     ix = index_rows(df, order_by)
-    vectors = reliable_checkpoint(unit_vectors(weighted_terms(ix.df, "_idx", tokens(text(c)), vocab), "_idx"))
+    vectors = reliable_checkpoint(tfidf_vectors(ix.df, "_idx", tokens(text(c)), vocab))
     prints = vectors.select("_idx", F.xxhash64("t", "w").alias("_a"), F.xxhash64(F.lit(1), "w", "t").alias("_b"))
     first = reliable_checkpoint(prints.groupBy("_a", "_b").agg(F.min("_idx").alias("_first")))  # 128 bits name a vector
-    distinct = reliable_checkpoint(vectors.join(first.select(F.col("_first").alias("_idx")), "_idx", "left_semi"))
-    near = first_kept(distinct, "_idx", threshold)
     same = prints.join(first, ["_a", "_b"]).select("_idx", "_first")
-    table = same.join(near, F.col("_first") == F.col("id"), "left").select(
-        "_idx", F.coalesce("of", F.when(F.col("_idx") != F.col("_first"), F.col("_first"))).alias("_of"))
-    out = ix.df.join(table, "_idx", "left").withColumns({
+    copies = narrow_table(same.where(F.col("_idx") != F.col("_first")))
+    near = narrow_table(first_kept(vectors.join(copies.select("_idx"), "_idx", "left_anti"), "_idx", threshold))
+    again = copies.join(near.withColumnRenamed("id", "_first"), "_first", "left").select("_idx", F.coalesce("of", "_first").alias("_of"))
+    flagged = narrow_table(again.unionByName(near.select(F.col("id").alias("_idx"), F.col("of").alias("_of"))))
+    out = ix.df.join(flagged, "_idx", "left").withColumns({
         "_text_is_duplicate": F.col("_of").isNotNull(), "_text_duplicate_of": F.coalesce("_of", F.lit(-1).cast("long"))}).drop("_idx", "_of")
     return out.where(~F.col("_text_is_duplicate")).drop("_text_is_duplicate", "_text_duplicate_of") if action == "remove" else out
 

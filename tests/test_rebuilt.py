@@ -112,6 +112,40 @@ def test_text_dedup_loses_no_pair(spark, threshold):
     assert got == of and 0 < len(kept) < len(rows)
 
 
+def first_near(rows, threshold):
+    v = unit(rows)
+    near = lambda a, b: sum(x * v[b].get(w, 0) for w, x in v[a].items()) >= threshold - 1e-12
+    of, kept = {}, []
+    for i in range(len(rows)):
+        of[i] = next((k for k in kept if v[i] and near(k, i)), -1)
+        if of[i] < 0:
+            kept.append(i)
+    return of
+
+
+@pytest.mark.parametrize("name, value", [("CROWD", 2), ("SENT_WORDS", 0), ("FIRST_WORDS", 60), ("PLACE_PAIRS", 3), ("TOKENS", 50)])
+def test_text_dedup_by_every_path(spark, monkeypatch, name, value):
+    """Rounds of heads, words that are too many to be sent, blocks of postings, spread places, and tokens in parts."""
+    monkeypatch.setattr(sparse, name, value)
+    rows = [*texts(260, 5), *["w1 w2 only w3 w4"] * 2, "w1 w2 lone w3 w4", "w1 w2 w3 w4 w5 w6 w7"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, t string").repartition(3)
+    got = {r["i"]: r["_text_duplicate_of"] for r in qf.apply(df, "nlp.text_dedup", column="t", order_by=["i"], threshold=0.8, stop_words=[]).collect()}
+    assert got == first_near(rows, 0.8)
+
+
+def test_few_far_pairs_are_computed(spark, monkeypatch):
+    """Texts that share some of their first words and little else are told apart by what is left of them, without their vectors."""
+    asked, checked = [], sparse._checked
+    monkeypatch.setattr(sparse, "_checked", lambda maybe, *a: asked.append(maybe.count()) or checked(maybe, *a))
+    rnd = random.Random(3)
+    rows = [" ".join([f"rare{i // 4}", *(f"w{min(rnd.randrange(60), rnd.randrange(60))}" for _ in range(40))]) for i in range(200)]
+    rows += [f"{t} more" for t in rows[:5]]
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, t string")
+    got = {r["i"]: r["_text_duplicate_of"] for r in qf.apply(df, "nlp.text_dedup", column="t", order_by=["i"], stop_words=[]).collect()}
+    assert got == first_near(rows, 0.9) and sum(x >= 0 for x in got.values()) == 5
+    assert sum(asked) < 500  # 5,805 pairs share one of their first words
+
+
 def test_top_neighbours_in_blocks(spark):
     rows = texts(90, 6)
     v = unit(rows)
