@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.ordered import narrow_table, reliable_checkpoint
 
-SENT_WORDS, SENT_BYTES, TOKENS = 2_000_000, 32 << 20, 1 << 21  # words sent to all tasks and their bytes at most, tokens counted at a time
+SENT_WORDS, SENT_BYTES, TOKENS = 2_000_000, 32 << 20, 1 << 20  # words sent to all tasks and their bytes at most, tokens counted at a time
 MARGIN, SLACK = 1e-12, 1e-6  # a cosine this far below the threshold counts as equal to it, and what bounds in short numbers may lose
 BLOCK_ROWS = 4_096  # vectors of a block of the product
 ROW_WORDS = 400  # words of a vector, on average, that make a block full before it has all its rows
-TILE_ROWS, CHUNK = 256, 1 << 20  # fixed values: rows of a tile of the product, products at a time
-FIRST_WORDS, PLACE_PAIRS = 1_000_000, 100_000  # fixed values: first words of a block of postings, pairs computed at one place
+TILE_ROWS, CHUNK = 256, 1 << 18  # fixed values: rows of a tile of the product, products at a time
+FIRST_WORDS, PLACE_PAIRS = 300_000, 100_000  # fixed values: first words of a block of postings, pairs computed at one place
 CROWD = 256  # rows that share a first word with a row, on average, from which large groups are cleared first
 DOWN, ACROSS = 16, 64  # fixed values: rows and columns of a group in a tile
 DENSE, DENSE_WORDS = 0.004, 1_024  # share of the pairs of rows from which a word is cheaper in a dense product, and the most words of one
@@ -118,6 +118,7 @@ def tfidf_vectors(df: DataFrame, key: str, tokens: Column, vocab: int | None = N
                 cell, tf = np.unique(cell, return_counts=True)
                 yield keys[low:high], *np.divmod(cell, max(len(words.dictionary), 1)), tf, words.dictionary
                 low = high
+            pa.default_memory_pool().release_unused()  # the worker lives on and has other steps to do
 
     def count(batches):
         for _, _, word, _, dictionary in parts(batches):
